@@ -220,17 +220,25 @@ def primary_fields(e: str = "e") -> dict[str, Column]:
 
 
 def normalize_product_views(
-    events: DataFrame, registry: DataFrame, extract_ids: bool = True, include_metadata: bool = True
+    events: DataFrame,
+    registry: DataFrame,
+    extract_ids: bool = True,
+    include_metadata: bool = True,
+    variant_ids: bool = True,
 ) -> DataFrame:
-    """One normalised product per parsed event; all other input columns are kept and ``event_id`` must be unique."""
+    """One normalised product per parsed event; all other input columns are kept and ``event_id`` must be unique.
+
+    Without ``variant_ids`` only the product's own URL is analysed, which needs no shuffle and so suits streams.
+    """
     product = _products(events, include_metadata)
     if extract_ids:
         product = extracted_ids(product, registry, "url", "store_id", "extracted_ids")
+    else:
+        product = product.withColumn("extracted_ids", F.expr(_NO_STRINGS))
+    if extract_ids and variant_ids:
         product = _with_variant_ids(product, registry)
     else:
-        product = product.withColumn("extracted_ids", F.expr(_NO_STRINGS)).withColumn(
-            "variants", F.transform("variants", lambda v: v.withField("extracted_ids", F.lit(None).cast("array<string>")))
-        )
+        product = product.withColumn("variants", F.transform("variants", _without_ids))
     return product.withColumn("variant_count", F.size("variants")).withColumn("has_variants", F.col("variant_count") > 1)
 
 
@@ -271,6 +279,10 @@ def _products(events: DataFrame, include_metadata: bool) -> DataFrame:
     return shaped
 
 
+def _without_ids(v: Column) -> Column:
+    return v.withField("extracted_ids", F.lit(None).cast("array<string>"))
+
+
 def _with_variant_ids(products: DataFrame, registry: DataFrame) -> DataFrame:
     """Adds the ids of every variant URL: variants are exploded, analysed like any URL and put back in order.
 
@@ -288,7 +300,7 @@ def _with_variant_ids(products: DataFrame, registry: DataFrame) -> DataFrame:
         ).alias("sorted")
     )
     joined = products.join(back, "event_id", "left")
-    empty = F.transform("variants", lambda v: v.withField("extracted_ids", F.lit(None).cast("array<string>")))
+    empty = F.transform("variants", _without_ids)
     return joined.withColumn("variants", F.coalesce(F.col("sorted.v"), empty)).drop("sorted").select(
         *products.columns
     )

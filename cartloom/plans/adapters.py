@@ -76,6 +76,23 @@ def product_urls(d: Dialect) -> str:
     FROM {{part}}"""
 
 
+def golden_urls(d: Dialect) -> str:
+    """Golden cases written down by hand per URL shape, one per part; every eleventh expects a wrong id."""
+    k = "cast({} + p_partkey as string)".format
+    wrong = "CASE WHEN p_partkey % 11 = 6 THEN 'wrong' ELSE {} END".format
+    return f"""
+    SELECT p_partkey AS case_id,
+      CASE p_partkey % 3 WHEN 0 THEN 'Target' WHEN 1 THEN 'Generic' ELSE 'Kohls' END AS store_name,
+      CASE WHEN p_partkey % 3 = 0 THEN '5246' END AS store_id,
+      CASE p_partkey % 3 WHEN 0 THEN 'https://www.target.com/p/x/-/A-' || {k(10000000)}
+        WHEN 1 THEN 'https://www.example.org/product/P-' || {k(1000000)} || '?utm_id=1'
+        ELSE 'https://www.kohls.com/product/prd-' || {k(1000000)} || '/n.jsp' END AS url,
+      CASE p_partkey % 3 WHEN 0 THEN {d.arr(wrong(k(10000000)))}
+        WHEN 1 THEN {d.arr("'P-' || " + k(1000000), wrong(k(1000000)))}
+        ELSE {d.arr(wrong("'prd-' || " + k(1000000)), k(1000000))} END AS expected_skus
+    FROM {{part}}"""
+
+
 def cart_lines(d: Dialect) -> str:
     """Cart lines: titles with colour suffixes and typos, some lines without URL, image or caller-given SKU."""
     return f"""
@@ -321,6 +338,7 @@ def fetch_log(d: Dialect) -> str:
 
 ADAPTERS = {
     "product_urls": product_urls,
+    "golden_urls": golden_urls,
     "cart_lines": cart_lines,
     "viewed_products": viewed_products,
     "store_registry": store_registry,
