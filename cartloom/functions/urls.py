@@ -47,6 +47,7 @@ PUBLIC_SUFFIXES = [
 PRIVATE_HOSTS = ["localhost", "127.0.0.1", "0.0.0.0", "::1", "[::1]"]
 PRIVATE_RANGES = r"^(?:10\.|172\.(?:1[6-9]|2\d|3[01])\.|192\.168\.|169\.254\.)"
 
+PART_COLUMNS = ["u_url", "u_text", "u_scheme", "u_host", "u_port", "u_path", "u_query", "u_error", "u_message"]
 COMPONENTS = ["href", "encoded_href", "hostname", "pathname", "search", "domain", "key", "original"]
 _IPV4_OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
@@ -122,10 +123,23 @@ def _clean_query(query: Column) -> Column:
     return F.when((query == "") | (text == ""), F.lit("")).otherwise(F.concat(F.lit("?"), text))
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """Emits computed columns through a one-row generator.
+
+    Filters and projections on them then read the result instead of being rewritten in terms of the whole computation,
+    which would evaluate long column chains several times per row and make their plans grow with every step.
+    """
+    others = [c for c in df.columns if c not in columns]
+    return df.select(*others, F.inline(F.array(F.struct(*columns))))
+
+
 def with_url_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
-    """Adds ``u_error``, ``u_message``, ``u_host``, ``u_path``, ``u_query``: a validated but not normalised split."""
+    """Adds a validated but not normalised split of a URL.
+
+    ``u_url, u_text, u_scheme, u_host, u_port, u_path, u_query, u_error, u_message``.
+    """
     url = F.col(url_col)
-    return (
+    split = (
         df.withColumn("u_url", F.when(url.startswith("www."), F.concat(F.lit("https://"), url)).otherwise(url))
         .withColumn("u_text", F.regexp_replace(F.regexp_replace("u_url", r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", ""))
         .withColumn("u_scheme", F.lower(F.regexp_extract("u_text", r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)))
@@ -181,13 +195,9 @@ def with_url_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
             )
             .when(F.col("u_bad_host"), F.concat(F.lit("Invalid URL format: "), F.col("u_url"))),
         )
+        .drop("u_main", "u_rest", "u_authority", "u_hostport", "u_bad_host")
     )
-
-
-_PART_COLUMNS = [
-    "u_url", "u_text", "u_scheme", "u_main", "u_rest", "u_query", "u_authority", "u_path", "u_hostport", "u_port",
-    "u_host", "u_bad_host", "u_error", "u_message",
-]
+    return settled(split, *PART_COLUMNS)
 
 
 def domain_of(host: Column, suffixes: Iterable[str] = PUBLIC_SUFFIXES) -> Column:
@@ -204,7 +214,7 @@ def domain_of(host: Column, suffixes: Iterable[str] = PUBLIC_SUFFIXES) -> Column
 
 def branded_domain(host: Column, domain: Column) -> Column:
     """Domain with the first brand subdomain kept in front of it."""
-    inner = F.expr("''") if host is None else host.substr(F.lit(1), F.length(host) - F.length(domain) - 1)
+    inner = host.substr(F.lit(1), F.length(host) - F.length(domain) - 1)
     brand = F.get(F.array_intersect(F.split(inner, r"\."), F.array(*[F.lit(b) for b in BRAND_SUBDOMAINS])), 0)
     return F.when(
         (F.length(host) > F.length(domain)) & brand.isNotNull() & ~domain.startswith(F.concat(brand, F.lit("."))),
@@ -241,7 +251,7 @@ def with_url_components(
         .withColumn("error", F.col("u_error"))
         .withColumn("message", F.col("u_message"))
     )
-    return out.drop("u_base", *_PART_COLUMNS)
+    return out.drop("u_base", *PART_COLUMNS)
 
 
 def is_public_host(host: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartloom.functions.text import js_trim
-from cartloom.functions.urls import with_url_parts
+from cartloom.functions.urls import settled, with_url_parts
 
 # URLs that are not product pages, in the order the rules are tried.
 NON_PRODUCT_RULES = [
@@ -62,8 +62,6 @@ GENERIC_PARAMS = [
 DOMAIN_FORM = r"(?i)^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+$"
 SAMPLE = 3
 
-_TEMP = ["u_scheme", "u_query", "u_path", "u_host", "u_port", "u_error"]
-
 
 def mining_url_normalize(df: DataFrame, url_col: str = "url") -> DataFrame:
     """Adds ``m_url`` (https where no scheme is given, host and path lower-cased, one trailing slash dropped), ``m_valid``,
@@ -195,15 +193,17 @@ def analyze_url_shape(df: DataFrame, url_col: str = "url") -> DataFrame:
     base = base.withColumn("seg_count", F.size("segs"))
     for back in range(4):
         base = base.withColumn(f"seg{back}", F.try_element_at("segs", F.lit(-1 - back)))
+    has_query = F.col("m_query") != ""
+    base = base.withColumns({f"first_{p}": F.when(has_query, _param_value(p)) for p in ID_PARAMS})
+    base = base.withColumns({f"last_{p}": F.when(has_query, _param_value(p, True)) for p in SECONDARY_PARAMS})
     by_param = [
         F.when(
-            _param_value(p).rlike(NUMERIC) | _param_value(p).rlike(ALPHANUMERIC),
-            F.struct(F.lower(_param_value(p)).alias("id"), F.lit(p).alias("param"), _param_value(p).alias("value")),
+            F.col(f"first_{p}").rlike(NUMERIC) | F.col(f"first_{p}").rlike(ALPHANUMERIC),
+            F.struct(F.lower(f"first_{p}").alias("id"), F.lit(p).alias("param"), F.col(f"first_{p}").alias("value")),
         )
         for p in ID_PARAMS
     ]
-    has_query = F.col("m_query") != ""
-    second = {p: F.when(has_query & _param_value(p, True).rlike(NUMERIC), _param_value(p, True)) for p in SECONDARY_PARAMS}
+    second = {p: F.when(F.col(f"last_{p}").rlike(NUMERIC), F.col(f"last_{p}")) for p in SECONDARY_PARAMS}
     found = (
         base.withColumn("in_path", F.coalesce(*[_segment_candidate(b) for b in range(3)]))
         .withColumn("in_query", F.when(F.col("in_path").isNull() & has_query, F.coalesce(*by_param)))
@@ -220,6 +220,10 @@ def analyze_url_shape(df: DataFrame, url_col: str = "url") -> DataFrame:
             ).otherwise(F.expr("cast(array() as array<struct<p: string, v: string>>)")),
         )
     )
+    found = settled(
+        found.select(*df.columns, "m_url", "m_valid", "m_host", "m_path", "m_query", "in_path", "in_query", "id_location", "primary_id", "extra"),
+        "in_path", "in_query", "id_location", "primary_id", "extra",
+    )
     extra_values = F.transform("extra", lambda x: x["v"])
     fresh = F.filter(
         "extra",

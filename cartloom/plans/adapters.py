@@ -217,7 +217,7 @@ def raw_views(d: Dialect) -> str:
         WHEN 1 THEN '{{{{"store_id":" 77 ","name":" ' || p_name || ' ","product_url":"' || {url} || '","image_url":"p.png","offers":[{{{{"price":{{{{"amount":99,"currency":"EUR"}}}},"sku":"O' || {k} || '","url":"' || {url} || '?variant=40000' || {k} || '"}}}},{{{{"price":1250,"sku":"O' || {k} || 'B"}}}},{{{{"price":"5","url":"x"}}}}],"gtin":["00' || {k} || '",""],"category":["' || p_type || '"],"rating":[3,"x"]}}}}'
         WHEN 2 THEN '{{{{"store_id":"","name":"' || p_name || '","page_url":"' || {url} || '","image_url_list":["l.png"],"offer_list":[{{{{"offer_amount":"' || {price} || '.99","offer_currency":"USD","offer_sku":"L' || {k} || '"}}}},{{{{"offer_amount":1500,"offer_sku":"L' || {k} || 'B"}}}},{{{{"offer_amount":12.5,"offer_sku":"L' || {k} || '"}}}}],"brand_list":["' || p_brand || '"],"breadcrumbs":"a > b"}}}}'
         WHEN 3 THEN '{{{{"store_id":5246,"name":"' || p_name || '","canonical":["' || {url} || '.html"],"url":"https://www.target.com/p/x/-/A-' || cast(10000000 + l_partkey as string) || '","sku":["S' || {k} || '","S' || {k} || 'B"],"sku_list":["S' || {k} || '"],"image":["i0.jpg"],"color_list":["' || {_COLOR} || '","green"],"price":[1999.6,"15"],"priceCurrency":["GBP"],"mpn_list":["M' || {k} || '"],"productID":["P' || {k} || '"],"productid_list":["P' || {k} || '"]}}}}'
-        WHEN 4 THEN '{{{{"name":"","url":"  ","priceInCents":["123","9"],"priceCurrency":["USD"],"description":["d1","d2"],"priceToSku":{{{{"12.5":"Z' || {k} || '","13":["Y' || {k} || '"]}}}}}}}}'
+        WHEN 4 THEN '{{{{"name":"","url":"  ","priceInCents":["123","9"],"priceCurrency":["USD"],"description":["d1","d2"],"priceToSku":{{{{"12.5":"Z' || {k} || '","13":["Y' || {k} || '"]}}}}' || '}}}}'
         WHEN 5 THEN '{{{{"store_id":[1],"name":7,"sku":"notalist","url":"' || {url} || '"}}}}'
         ELSE '{{{{"store_id":null,"name":"' || p_name || '","url":"not a url","price":["free"],"rating":4,"created_ts":"' || cast(l_orderkey as string) || '"}}}}'
       END AS raw
