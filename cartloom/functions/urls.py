@@ -66,61 +66,63 @@ def _decode(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("%")), F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)).otherwise(c)
 
 
-def _clean_path(path: Column) -> Column:
+def _resolve_dots(path: Column) -> Column:
+    """Resolves ``.`` and ``..`` segments."""
+    none = F.array().cast("array<string>")
+    segments = F.split(path, "/")
+    tagged = F.transform(segments, lambda s, i: F.struct(s.alias("s"), (i == F.size(segments) - 1).alias("last")))
+
+    def step(acc: Column, x: Column) -> Column:
+        closing = F.when(x["last"], F.array(F.lit(""))).otherwise(none)
+        parent = F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
+        return (
+            F.when(x["s"] == "..", F.concat(parent, closing))
+            .when(x["s"] == ".", F.concat(acc, closing))
+            .otherwise(F.array_append(acc, x["s"]))
+        )
+
+    return F.array_join(F.aggregate(tagged, none, step), "/")
+
+
+def _with_clean_path(df: DataFrame) -> DataFrame:
+    """Adds ``pathname``; every step looks at the path first, since most paths need none of the rewriting."""
     reserved = r"%(2[346BCFbcf]|3[ABDFabdf]|40)"
-    decoded = F.when(
-        F.contains(path, F.lit("%")), _decode(F.regexp_replace(path, reserved, "%25$1"))
-    ).otherwise(path)
-    escaped = F.when(
-        decoded.rlike(r"""[^!$-;=@-_a-z|~]|[`\x7f]"""), _escape(decoded, "!$%&'()+,/:;=@[\\]|~")
-    ).otherwise(decoded)
-    segments = F.split(escaped, "/")
-    resolved = F.array_join(
-        F.aggregate(
-            F.transform(segments, lambda s, i: F.struct(s.alias("s"), (i == F.size(segments) - 1).alias("last"))),
-            F.array().cast("array<string>"),
-            lambda acc, x: F.when(
-                x["s"] == "..",
-                F.concat(
-                    F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc),
-                    F.when(x["last"], F.array(F.lit(""))).otherwise(F.array().cast("array<string>")),
-                ),
-            )
-            .when(x["s"] == ".", F.when(x["last"], F.array_append(acc, F.lit(""))).otherwise(acc))
-            .otherwise(F.array_append(acc, x["s"])),
-        ),
-        "/",
+    p = F.col("c_path")
+    return (
+        df.withColumn("c_path", F.when(F.contains("u_path", F.lit("%")), _decode(F.regexp_replace("u_path", reserved, "%25$1"))).otherwise(F.col("u_path")))
+        .withColumn("c_path", F.when(p.rlike(r"""[^!$-;=@-_a-z|~]|[`\x7f]"""), _escape(p, "!$%&'()+,/:;=@[\\]|~")).otherwise(p))
+        .withColumn("c_path", F.when(F.contains(p, F.lit("/.")) & p.rlike(r"(^|/)\.{1,2}(/|$)"), _resolve_dots(p)).otherwise(p))
+        .withColumn("c_path", F.when(F.contains(p, F.lit("//")), F.regexp_replace(p, r"(?<!\b[a-z][a-z\d+.-]{1,50}:)/{2,}", "/")).otherwise(p))
+        .withColumn("c_path", F.when(p.endswith("/"), p.substr(F.lit(1), F.length(p) - 1)).otherwise(p))
+        .withColumn("pathname", F.when(F.col("u_error").isNull(), F.when(p == "", F.lit("/")).otherwise(p)))
+        .drop("c_path")
     )
-    plain = F.when(escaped.rlike(r"(^|/)\.{1,2}(/|$)"), resolved).otherwise(escaped)
-    single = F.regexp_replace(plain, r"(?<!\b[a-z][a-z\d+.-]{1,50}:)/{2,}", "/")
-    trimmed = F.regexp_replace(single, "/$", "")
-    return F.when(trimmed == "", F.lit("/")).otherwise(trimmed)
 
 
 def param_name(part: Column) -> Column:
     return F.substring_index(part, "=", 1)
 
 
-def _clean_query(query: Column) -> Column:
+def _with_clean_query(df: DataFrame) -> DataFrame:
+    """Adds ``search``: tracking parameters dropped, the others sorted by name and escaped where a URL needs it."""
+    q = F.col("c_query")
+    named = F.transform(
+        F.split("u_query", "&"), lambda p, i: F.struct(_decode(param_name(p)).alias("n"), i.alias("i"), p.alias("p"))
+    )
     kept = F.filter(
-        F.split(query, "&"),
-        lambda p: (p != "")
-        & ~_decode(param_name(p)).isin(TRACKING_PARAMS)
-        & ~_decode(param_name(p)).rlike(TRACKING_FAMILIES),
+        "c_params", lambda x: (x["p"] != "") & ~x["n"].isin(TRACKING_PARAMS) & ~x["n"].rlike(TRACKING_FAMILIES)
     )
-    ordered = F.array_sort(
-        F.transform(kept, lambda p, i: F.struct(_decode(param_name(p)).alias("n"), i.alias("i"), p.alias("p")))
+    coded = F.contains(q, F.lit("%")) | F.contains(q, F.lit("+"))
+    return (
+        df.withColumn("c_params", F.when(F.col("u_query") != "", named))
+        .withColumn("c_params", F.when(F.col("c_params").isNotNull(), F.array_sort(kept)))
+        .withColumn("c_query", F.coalesce(F.array_join("c_params.p", "&"), F.lit("")))
+        .withColumn("c_query", F.when(coded, F.coalesce(F.try_url_decode(q), q)).otherwise(q))
+        .withColumn("c_query", F.when(q.rlike(r"[^!$-&(-;=?-~]"), _escape(q, "!$%&()+,/:;=?@[\\]^`{|}~")).otherwise(q))
+        .withColumn("c_query", F.when(q.endswith("/"), q.substr(F.lit(1), F.length(q) - 1)).otherwise(q))
+        .withColumn("search", F.when(F.col("u_error").isNull(), F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q))))
+        .drop("c_params", "c_query")
     )
-    joined = F.array_join(ordered["p"], "&")
-    decoded = F.when(
-        F.contains(joined, F.lit("%")) | F.contains(joined, F.lit("+")),
-        F.coalesce(F.try_url_decode(joined), joined),
-    ).otherwise(joined)
-    escaped = F.when(
-        decoded.rlike(r"[^!$-&(-;=?-~]"), _escape(decoded, "!$%&()+,/:;=?@[\\]^`{|}~")
-    ).otherwise(decoded)
-    text = F.regexp_replace(escaped, "/$", "")
-    return F.when((query == "") | (text == ""), F.lit("")).otherwise(F.concat(F.lit("?"), text))
 
 
 def settled(df: DataFrame, *columns: str) -> DataFrame:
@@ -212,14 +214,20 @@ def domain_of(host: Column, suffixes: Iterable[str] = PUBLIC_SUFFIXES) -> Column
     return F.when(host.rlike(r"^(\[.*\]|[\d.]+)$"), host).otherwise(by_suffix)
 
 
-def branded_domain(host: Column, domain: Column) -> Column:
-    """Domain with the first brand subdomain kept in front of it."""
-    inner = host.substr(F.lit(1), F.length(host) - F.length(domain) - 1)
-    brand = F.get(F.array_intersect(F.split(inner, r"\."), F.array(*[F.lit(b) for b in BRAND_SUBDOMAINS])), 0)
-    return F.when(
-        (F.length(host) > F.length(domain)) & brand.isNotNull() & ~domain.startswith(F.concat(brand, F.lit("."))),
-        F.concat(brand, F.lit("."), domain),
-    ).otherwise(domain)
+def _with_domain(df: DataFrame, suffixes: Iterable[str]) -> DataFrame:
+    """Adds ``domain``: the registrable domain with the first brand subdomain kept in front of it."""
+    host, base, brand = F.col("hostname"), F.col("c_base"), F.col("c_brand")
+    inner = host.substr(F.lit(1), F.length(host) - F.length(base) - 1)
+    brands = F.array(*[F.lit(b) for b in BRAND_SUBDOMAINS])
+    return (
+        df.withColumn("c_base", domain_of(host, suffixes))
+        .withColumn("c_brand", F.when(F.length(host) > F.length(base), F.get(F.array_intersect(F.split(inner, r"\."), brands), 0)))
+        .withColumn(
+            "domain",
+            F.when(brand.isNotNull() & ~base.startswith(F.concat(brand, F.lit("."))), F.concat(brand, F.lit("."), base)).otherwise(base),
+        )
+        .drop("c_base", "c_brand")
+    )
 
 
 def url_key(text: Column) -> Column:
@@ -237,21 +245,20 @@ def with_url_components(
     """Adds href, encoded_href, hostname, pathname, search, domain, key, original, error and message."""
     ok = F.col("u_error").isNull()
     bare = F.regexp_replace("u_host", r"\.$", "")
-    out = (
-        with_url_parts(df, url_col)
-        .withColumn("hostname", F.when(ok, F.regexp_replace(bare, r"^www\.(?!www\.)([a-z\d-]{1,63}\.[a-z\d.-]{2,63})$", "$1")))
-        .withColumn("pathname", F.when(ok, _clean_path(F.col("u_path"))))
-        .withColumn("search", F.when(ok, F.when(F.col("u_query") == "", F.lit("")).otherwise(_clean_query(F.col("u_query")))))
-        .withColumn("u_base", domain_of(F.col("hostname"), suffixes))
-        .withColumn("domain", branded_domain(F.col("hostname"), F.col("u_base")))
-        .withColumn("href", F.concat(F.lit("https://"), "hostname", "pathname", "search"))
+    www = r"^www\.(?!www\.)([a-z\d-]{1,63}\.[a-z\d.-]{2,63})$"
+    parts = with_url_parts(df, url_col).withColumn(
+        "hostname", F.when(ok, F.when(F.col("u_host").startswith("www."), F.regexp_replace(bare, www, "$1")).otherwise(bare))
+    )
+    split = settled(_with_domain(_with_clean_query(_with_clean_path(parts)), suffixes), "pathname", "search", "domain")
+    return (
+        split.withColumn("href", F.concat(F.lit("https://"), "hostname", "pathname", "search"))
         .withColumn("encoded_href", encode_component(F.col("href")))
         .withColumn("key", url_key(F.concat("domain", F.lower("pathname"), F.lower("search"))))
         .withColumn("original", F.when(ok, F.col(url_col)))
         .withColumn("error", F.col("u_error"))
         .withColumn("message", F.col("u_message"))
+        .drop(*PART_COLUMNS)
     )
-    return out.drop("u_base", *PART_COLUMNS)
 
 
 def is_public_host(host: Column) -> Column:

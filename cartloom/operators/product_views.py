@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.functions.prices import amount_to_cents, is_number, price_currency, price_to_cents
+from cartloom.functions.urls import settled
 from cartloom.functions.text import blank_to_null, js_trim, non_blank, parse_integer, parse_number
 from cartloom.operators.product_ids import extracted_ids
 from cartloom.sources.events import parse_product_views, texts
@@ -90,24 +91,44 @@ def _variant(sku: Column, url: Column, image: Column, price: Column, currency: C
     )
 
 
-def _side_lists(e: str) -> tuple[Column, Column, Column, Column]:
-    urls = all_texts(F.col(f"{e}.url"))
-    images = F.coalesce(F.col(f"{e}.image"), F.col(f"{e}.image_url_list"), F.expr(_NO_STRINGS))
-    colors = F.concat(all_texts(F.col(f"{e}.color")), _list(F.col(f"{e}.color_list")))
-    return urls, images, colors, F.col(f"{e}.price")
+_PREPARED = ["skus", "gtins", "mpns", "product_ids", "urls", "images", "colors", "prices", "offer_variants", "listed_variants"]
+
+
+def prepare_views(events: DataFrame, e: str = "e") -> DataFrame:
+    """Adds the lists that variants are built from, computed once per event.
+
+    They are settled, because the variant rules look them up inside per-element functions, where an expression that is
+    merely a column of an earlier projection would be evaluated again for every element.
+    """
+    prices = F.transform(
+        f"{e}.price", lambda p: F.struct(price_to_cents(p).alias("cents"), price_currency(p).alias("currency"))
+    )
+    lists = {
+        **identifiers(e),
+        "urls": all_texts(F.col(f"{e}.url")),
+        "images": F.coalesce(F.col(f"{e}.image"), F.col(f"{e}.image_url_list"), F.expr(_NO_STRINGS)),
+        "colors": F.concat(all_texts(F.col(f"{e}.color")), _list(F.col(f"{e}.color_list"))),
+        "prices": prices,
+        "offer_variants": variants_from_offers(e),
+        "listed_variants": variants_from_offer_list(e),
+    }
+    return settled(events.select("*", *[c.alias(n) for n, c in lists.items()]), *_PREPARED)
 
 
 def variants_from_url_map(e: str = "e") -> Column:
     """One variant per URL and SKU of the URL map; image, colour and price by the URL's place in the URL list."""
-    urls, images, colors, prices = _side_lists(e)
 
     def of_entry(entry: Column) -> Column:
-        at = (F.array_position(urls, entry["key"]) - 1).cast("int")
-        price = F.get(prices, at)
+        at = (F.array_position("urls", entry["key"]) - 1).cast("int")
         return F.transform(
             _kept(texts(entry["value"])),
             lambda sku: _variant(
-                sku, entry["key"], F.get(images, at), price_to_cents(price), price_currency(price), F.get(colors, at)
+                sku,
+                entry["key"],
+                F.get("images", at),
+                F.get("prices", at)["cents"],
+                F.get("prices", at)["currency"],
+                F.get("colors", at),
             ),
         )
 
@@ -138,44 +159,44 @@ def variants_from_offer_list(e: str = "e") -> Column:
     )
 
 
-def variants_from_parallel_arrays(skus: Column, e: str = "e") -> Column:
+def variants_from_parallel_arrays() -> Column:
     """One variant per distinct SKU; the SKU's last offer comes first, then the side lists by position."""
-    urls, images, colors, prices = _side_lists(e)
-    offers = F.concat(variants_from_offers(e), variants_from_offer_list(e))
 
     def of_sku(sku: Column, i: Column) -> Column:
-        offer = F.try_element_at(F.filter(offers, lambda o: o["sku"] == sku), F.lit(-1))
-        price = F.get(prices, i)
-        own_price = offer["price"]
+        def last(offers: str) -> Column:
+            return F.try_element_at(F.filter(offers, lambda o: o["sku"] == sku), F.lit(-1))
+
+        offer = F.coalesce(last("listed_variants"), last("offer_variants"))
+        price = F.get("prices", i)
         return _variant(
             sku,
-            F.coalesce(offer["url"], F.get(urls, i)),
-            F.get(images, i),
-            F.coalesce(own_price, price_to_cents(price)),
-            F.coalesce(offer["currency"], F.when(own_price.isNull(), price_currency(price))),
-            F.get(colors, i),
+            F.coalesce(offer["url"], F.get("urls", i)),
+            F.get("images", i),
+            F.coalesce(offer["price"], price["cents"]),
+            F.coalesce(offer["currency"], F.when(offer["price"].isNull(), price["currency"])),
+            F.get("colors", i),
         )
 
-    return F.transform(skus, of_sku)
+    return F.transform("skus", of_sku)
 
 
-def choose_variants(skus: Column, e: str = "e") -> Column:
-    """Variants of the best source an event has: URL map, offers, offer list, parallel lists; first per SKU is kept."""
+def choose_variants(e: str = "e") -> Column:
+    """Variants of the best source an event has: URL map, offers, offer list, parallel lists."""
     has_map = F.size(F.coalesce(F.map_keys(f"{e}.urlToSku"), F.expr(_NO_STRINGS))) > 0
-    has_offers = F.coalesce(F.exists(f"{e}.offers", lambda o: F.coalesce(o["sku"], F.lit("")) != ""), F.lit(False))
-    has_list = F.coalesce(F.exists(f"{e}.offer_list", lambda o: F.coalesce(o["offer_sku"], F.lit("")) != ""), F.lit(False))
     return (
         F.when(has_map, variants_from_url_map(e))
-        .when(has_offers, variants_from_offers(e))
-        .when(has_list, variants_from_offer_list(e))
-        .when(F.size(skus) > 0, variants_from_parallel_arrays(skus, e))
+        .when(F.size("offer_variants") > 0, F.col("offer_variants"))
+        .when(F.size("listed_variants") > 0, F.col("listed_variants"))
+        .when(F.size("skus") > 0, variants_from_parallel_arrays())
         .otherwise(F.expr(_NO_VARIANTS))
     )
 
 
-def first_per_sku(variants: Column) -> Column:
-    skus = F.transform(variants, lambda v: v["sku"])
-    return F.filter(variants, lambda v, i: F.array_position(skus, v["sku"]) == i + 1)
+def with_chosen_variants(prepared: DataFrame) -> DataFrame:
+    """Adds ``variants``: the chosen ones, first per SKU."""
+    chosen = settled(prepared.withColumn("variants", choose_variants()), "variants")
+    skus = F.col("variants.sku")
+    return chosen.withColumn("variants", F.filter("variants", lambda v, i: F.array_position(skus, v["sku"]) == i + 1))
 
 
 def primary_price(e: str = "e") -> Column:
@@ -244,14 +265,8 @@ def normalize_product_views(
 
 def _products(events: DataFrame, include_metadata: bool) -> DataFrame:
     kept = [c for c in events.columns if c != "e"]
-    ids = identifiers()
     fields = primary_fields()
-    with_ids = events.select(
-        *kept,
-        "e",
-        *[c.alias(n) for n, c in ids.items()],
-    )
-    shaped = with_ids.select(
+    shaped = with_chosen_variants(prepare_views(events)).select(
         *kept,
         fields["title"].alias("title"),
         fields["url"].alias("url"),
@@ -262,13 +277,16 @@ def _products(events: DataFrame, include_metadata: bool) -> DataFrame:
         *[fields[n].alias(n) for n in ("brand", "description", "category", "color")],
         first_number(F.col("e.rating")).alias("rating"),
         primary_price().alias("pp"),
-        choose_variants(F.col("skus")).alias("variants"),
-        *ids,
+        "variants",
+        "skus",
+        "gtins",
+        "mpns",
+        "product_ids",
     ).select(
         "*",
         F.col("pp.price").alias("price"),
         F.nullif(F.col("pp.currency"), F.lit("")).alias("currency"),
-    ).drop("pp").withColumn("variants", first_per_sku(F.col("variants")))
+    ).drop("pp")
     for kind in ("skus", "gtins", "mpns"):
         shaped = shaped.withColumn(kind, F.when(F.size(kind) > 0, F.col(kind)))
     if not include_metadata:

@@ -180,7 +180,8 @@ def _segment_candidate(back: int) -> Column:
 
 def _param_value(name: str, last_any_case: bool = False) -> Column:
     rule = rf"(?is)^.*(?:^|&){name}=([^&]*)" if last_any_case else rf"(?:^|&){name}=([^&]*)"
-    raw = F.regexp_extract("m_query", rule, 1)
+    asked = F.contains("lower_query" if last_any_case else "m_query", F.lit(f"{name}="))
+    raw = F.when(asked, F.regexp_extract("m_query", rule, 1))
     return F.when(F.contains(raw, F.lit("%")), F.coalesce(F.try_url_decode(raw), raw)).otherwise(raw)
 
 
@@ -194,8 +195,9 @@ def analyze_url_shape(df: DataFrame, url_col: str = "url") -> DataFrame:
     for back in range(4):
         base = base.withColumn(f"seg{back}", F.try_element_at("segs", F.lit(-1 - back)))
     has_query = F.col("m_query") != ""
-    base = base.withColumns({f"first_{p}": F.when(has_query, _param_value(p)) for p in ID_PARAMS})
-    base = base.withColumns({f"last_{p}": F.when(has_query, _param_value(p, True)) for p in SECONDARY_PARAMS})
+    base = base.withColumn("lower_query", F.lower("m_query"))
+    base = base.withColumns({f"first_{p}": _param_value(p) for p in ID_PARAMS})
+    base = base.withColumns({f"last_{p}": _param_value(p, True) for p in SECONDARY_PARAMS})
     by_param = [
         F.when(
             F.col(f"first_{p}").rlike(NUMERIC) | F.col(f"first_{p}").rlike(ALPHANUMERIC),

@@ -78,8 +78,8 @@ def collect_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _variants(build) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = _views(spark, sf_dir).withColumn("skus", views.identifiers()["skus"])
-        return e.withColumn("vs", build()).where(F.size("vs") > 0).select("event_id", _as_text("vs").alias("variants"))
+        built = build(views.prepare_views(_views(spark, sf_dir)))
+        return built.where(F.size("variants") > 0).select("event_id", _as_text("variants").alias("variants"))
 
     return query
 
@@ -168,11 +168,11 @@ QUERIES: dict[str, Query] = {
     "price_to_cents": price_cents,
     "coerce_store_id": coerce_store_id,
     "collect_identifiers": collect_identifiers,
-    "variants_from_url_map": _variants(views.variants_from_url_map),
-    "variants_from_offers": _variants(views.variants_from_offers),
-    "variants_from_offer_list": _variants(views.variants_from_offer_list),
-    "variants_from_parallel_arrays": _variants(lambda: views.variants_from_parallel_arrays(F.col("skus"))),
-    "choose_variants": _variants(lambda: views.first_per_sku(views.choose_variants(F.col("skus")))),
+    "variants_from_url_map": _variants(lambda p: p.withColumn("variants", views.variants_from_url_map())),
+    "variants_from_offers": _variants(lambda p: p.withColumn("variants", F.col("offer_variants"))),
+    "variants_from_offer_list": _variants(lambda p: p.withColumn("variants", F.col("listed_variants"))),
+    "variants_from_parallel_arrays": _variants(lambda p: p.withColumn("variants", views.variants_from_parallel_arrays())),
+    "choose_variants": _variants(views.with_chosen_variants),
     "primary_fields": primary_fields,
     "normalize_product_views": normalize_product_views,
     "normalize_views_without_metadata": normalize_without_metadata,
