@@ -46,10 +46,8 @@ def _has(c: str) -> Column:
 
 def final_cart_lines(items: DataFrame) -> DataFrame:
     """Lines of the last cart event of each session in arrival order."""
-    last = items.groupBy("session_id").agg(F.max("cart_pos").alias("last_pos"))
-    return items.join(last, (items["session_id"] == last["session_id"]) & (F.col("cart_pos") == F.col("last_pos"))).select(
-        *[items[c] for c in items.columns]
-    )
+    last = items.groupBy("session_id").agg(F.max("cart_pos").alias("cart_pos"))
+    return items.join(last, ["session_id", "cart_pos"], "left_semi")
 
 
 def session_store_values(views: DataFrame, items: DataFrame) -> DataFrame:

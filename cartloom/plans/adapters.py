@@ -277,6 +277,12 @@ def session_cart_items(d: Dialect) -> str:
     FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey"""
 
 
+def known_golden(d: Dialect) -> str:
+    """URLs the golden set already has."""
+    return """
+    SELECT 'https://www.shop.example.com/p/' || cast(100000 + p_partkey as string) AS url FROM {part} WHERE p_partkey % 6 = 0"""
+
+
 def jsonld_docs(d: Dialect) -> str:
     """Schema.org documents with nested offers, variants and models, some not products."""
     k = "cast(p_partkey as string)"
@@ -348,6 +354,7 @@ ADAPTERS = {
     "raw_carts": raw_carts,
     "session_views": session_views,
     "session_cart_items": session_cart_items,
+    "known_golden": known_golden,
     "jsonld_docs": jsonld_docs,
     "asin_requests": asin_requests,
     "asin_mapping": asin_mapping,

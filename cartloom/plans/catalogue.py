@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from cartloom.plans import event_oracle, event_queries, match_oracle, match_queries, url_oracle, url_queries
+from cartloom.plans import (
+    event_oracle,
+    event_queries,
+    match_oracle,
+    match_queries,
+    session_oracle,
+    session_queries,
+    url_oracle,
+    url_queries,
+)
 
-QUERIES = {**url_queries.QUERIES, **event_queries.QUERIES, **match_queries.QUERIES}
-ORACLE = {**url_oracle.ORACLE, **event_oracle.ORACLE, **match_oracle.ORACLE}
+QUERIES = {**url_queries.QUERIES, **event_queries.QUERIES, **match_queries.QUERIES, **session_queries.QUERIES}
+ORACLE = {**url_oracle.ORACLE, **event_oracle.ORACLE, **match_oracle.ORACLE, **session_oracle.ORACLE}
