@@ -141,64 +141,42 @@ def with_url_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
     ``u_url, u_text, u_scheme, u_host, u_port, u_path, u_query, u_error, u_message``.
     """
     url = F.col(url_col)
-    split = (
-        df.withColumn("u_url", F.when(url.startswith("www."), F.concat(F.lit("https://"), url)).otherwise(url))
-        .withColumn("u_text", F.regexp_replace(F.regexp_replace("u_url", r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", ""))
-        .withColumn("u_scheme", F.lower(F.regexp_extract("u_text", r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)))
-        .withColumn("u_main", F.substring_index("u_text", "#", 1))
-        .withColumn(
-            "u_rest",
-            F.regexp_replace(
-                F.translate(F.substring_index("u_main", "?", 1), "\\", "/"), r"^[A-Za-z]+:/*", ""
-            ),
-        )
-        .withColumn("u_query", F.expr("substring(u_main, length(substring_index(u_main, '?', 1)) + 2)"))
-        .withColumn("u_authority", F.substring_index("u_rest", "/", 1))
-        .withColumn("u_path", F.expr("substring(u_rest, length(u_authority) + 1)"))
-        .withColumn("u_hostport", F.lower(F.substring_index("u_authority", "@", -1)))
-        .withColumn("u_port", F.regexp_extract("u_hostport", r":(\d*)$", 1))
-        .withColumn("u_host", _decode(F.regexp_replace("u_hostport", r":\d*$", "")))
-        .withColumn(
-            "u_host",
-            F.when(
-                F.col("u_host").rlike(r"[^\x00-\x7f]"),
-                F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), F.col("u_host"))),
-            ).otherwise(F.col("u_host")),
-        )
-        .withColumn(
-            "u_bad_host",
-            F.col("u_host").isNull()
-            | ~(
-                F.col("u_host").rlike(r"^[^\x00-\x20#%/:<>?@\[\\\]^|\x7f]+$") | F.col("u_host").rlike(r"^\[[0-9a-f:.]+\]$")
-            )
-            | (
-                F.col("u_host").rlike(r"(^|\.)\d+\.?$")
-                & ~F.col("u_host").rlike(rf"^{_IPV4_OCTET}(?:\.{_IPV4_OCTET}){{3}}\.?$")
-            )
-            | (F.coalesce(F.col("u_port").try_cast("int"), F.lit(0)) > 65535)
-            | (F.length("u_port") > 9),
-        )
-        .withColumn(
-            "u_error",
-            F.when(
-                F.coalesce(F.length(url), F.lit(0)).eqNullSafe(0)
-                | ~F.col("u_scheme").isin("http", "https")
-                | F.col("u_bad_host"),
-                F.lit("InvalidUrlError"),
-            ),
-        )
-        .withColumn(
-            "u_message",
-            F.when(F.coalesce(F.length(url), F.lit(0)) == 0, F.lit("URL must be a non-empty string"))
-            .when(F.col("u_scheme") == "", F.concat(F.lit("Invalid URL format: "), F.col("u_url")))
-            .when(
-                ~F.col("u_scheme").isin("http", "https"),
-                F.concat(F.lit("Invalid protocol: "), "u_scheme", F.lit(":. Only HTTP(S) protocols are allowed")),
-            )
-            .when(F.col("u_bad_host"), F.concat(F.lit("Invalid URL format: "), F.col("u_url"))),
-        )
-        .drop("u_main", "u_rest", "u_authority", "u_hostport", "u_bad_host")
-    )
+    host, port = F.col("u_host"), F.col("u_port")
+    missing = F.coalesce(F.length(url), F.lit(0)) == 0
+    foreign = ~F.col("u_scheme").isin("http", "https")
+    name_form = host.rlike(r"^[^\x00-\x20#%/:<>?@\[\\\]^|\x7f]+$") | host.rlike(r"^\[[0-9a-f:.]+\]$")
+    numeric = host.rlike(r"(^|\.)\d+\.?$")
+    ipv4 = host.rlike(rf"^{_IPV4_OCTET}(?:\.{_IPV4_OCTET}){{3}}\.?$")
+    ascii_host = F.when(
+        F.col("u_host0").rlike(r"[^\x00-\x7f]"),
+        F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), F.col("u_host0"))),
+    ).otherwise(F.col("u_host0"))
+    # one projection whose later columns refer to the earlier ones
+    steps = {
+        "u_url": F.when(url.startswith("www."), F.concat(F.lit("https://"), url)).otherwise(url),
+        "u_text": F.regexp_replace(F.regexp_replace("u_url", r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", ""),
+        "u_scheme": F.lower(F.regexp_extract("u_text", r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)),
+        "u_main": F.substring_index("u_text", "#", 1),
+        "u_rest": F.regexp_replace(F.translate(F.substring_index("u_main", "?", 1), "\\", "/"), r"^[A-Za-z]+:/*", ""),
+        "u_query": F.expr("substring(u_main, length(substring_index(u_main, '?', 1)) + 2)"),
+        "u_authority": F.substring_index("u_rest", "/", 1),
+        "u_path": F.expr("substring(u_rest, length(u_authority) + 1)"),
+        "u_hostport": F.lower(F.substring_index("u_authority", "@", -1)),
+        "u_port": F.regexp_extract("u_hostport", r":(\d*)$", 1),
+        "u_host0": _decode(F.regexp_replace("u_hostport", r":\d*$", "")),
+        "u_host": ascii_host,
+        "u_bad_host": host.isNull()
+        | ~name_form
+        | (numeric & ~ipv4)
+        | (F.coalesce(port.try_cast("int"), F.lit(0)) > 65535)
+        | (F.length(port) > 9),
+        "u_error": F.when(missing | foreign | F.col("u_bad_host"), F.lit("InvalidUrlError")),
+        "u_message": F.when(missing, F.lit("URL must be a non-empty string"))
+        .when(F.col("u_scheme") == "", F.concat(F.lit("Invalid URL format: "), F.col("u_url")))
+        .when(foreign, F.concat(F.lit("Invalid protocol: "), "u_scheme", F.lit(":. Only HTTP(S) protocols are allowed")))
+        .when(F.col("u_bad_host"), F.concat(F.lit("Invalid URL format: "), F.col("u_url"))),
+    }
+    split = df.select("*", *[c.alias(n) for n, c in steps.items()]).select(*df.columns, *PART_COLUMNS)
     return settled(split, *PART_COLUMNS)
 
 

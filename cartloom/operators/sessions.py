@@ -267,14 +267,14 @@ def _price_hits(lines: DataFrame, views: DataFrame) -> DataFrame:
     """
     step = 1.1
     cents = F.col("item_price") / 100.0
-    cell = F.floor(F.log(F.lit(step), cents)).cast("long")
+    cell = F.floor(F.log(step, cents)).cast("long")
     probes = lines.where(cents > 0).select("session_id", "item_pos", cents.alias("x"), cell.alias("cell"))
     spans = unique_products(views).where(F.col("price_max") > 0).select(
         "session_id",
         (F.greatest("price_min", F.lit(0.0001)) * 0.9).alias("lo"),
         (F.col("price_max") * 1.1).alias("hi"),
     )
-    first, last = (F.floor(F.log(F.lit(step), F.col(c))).cast("long") for c in ("lo", "hi"))
+    first, last = (F.floor(F.log(step, F.col(c))).cast("long") for c in ("lo", "hi"))
     cells = (
         spans.select("session_id", "lo", "hi", first.alias("a"), last.alias("b"))
         .select("session_id", "lo", "hi", "a", "b", F.explode(F.sequence("a", "b")).alias("cell"))

@@ -74,15 +74,16 @@ def mining_url_normalize(df: DataFrame, url_col: str = "url") -> DataFrame:
     default_port = F.when(F.col("u_scheme") == "https", F.lit("443")).otherwise(F.lit("80"))
     port = F.when((F.col("u_port") == "") | (F.col("u_port") == default_port), F.lit("")).otherwise(F.concat(F.lit(":"), "u_port"))
     tail = F.expr("substring(u_text, length(substring_index(substring_index(u_text, '#', 1), '?', 1)) + 1)")
-    out = (
-        parts.withColumn("m_valid", ok)
-        .withColumn("m_host", F.when(ok, F.col("u_host")))
-        .withColumn("m_path", F.when(ok, F.when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)))
-        .withColumn("m_query", F.when(ok, F.col("u_query")))
-        .withColumn(
-            "m_url",
-            F.when(ok, F.concat("u_scheme", F.lit("://"), "m_host", port, "m_path", tail)).otherwise(F.lower(text)),
-        )
+    out = parts.withColumns(
+        {
+            "m_valid": ok,
+            "m_host": F.when(ok, F.col("u_host")),
+            "m_path": F.when(ok, F.when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)),
+            "m_query": F.when(ok, F.col("u_query")),
+        }
+    ).withColumn(
+        "m_url",
+        F.when(ok, F.concat("u_scheme", F.lit("://"), "m_host", port, "m_path", tail)).otherwise(F.lower(text)),
     )
     return out.select(*df.columns, "m_url", "m_valid", "m_host", "m_path", "m_query")
 
@@ -192,12 +193,11 @@ def analyze_url_shape(df: DataFrame, url_col: str = "url") -> DataFrame:
     """
     base = mining_url_normalize(df, url_col).withColumn("segs", F.filter(F.split("m_path", "/"), lambda s: s != ""))
     base = base.withColumn("seg_count", F.size("segs"))
-    for back in range(4):
-        base = base.withColumn(f"seg{back}", F.try_element_at("segs", F.lit(-1 - back)))
+    base = base.withColumns({f"seg{back}": F.try_element_at("segs", F.lit(-1 - back)) for back in range(4)})
     has_query = F.col("m_query") != ""
-    base = base.withColumn("lower_query", F.lower("m_query"))
-    base = base.withColumns({f"first_{p}": _param_value(p) for p in ID_PARAMS})
-    base = base.withColumns({f"last_{p}": _param_value(p, True) for p in SECONDARY_PARAMS})
+    base = base.withColumn("lower_query", F.lower("m_query")).withColumns(
+        {f"first_{p}": _param_value(p) for p in ID_PARAMS} | {f"last_{p}": _param_value(p, True) for p in SECONDARY_PARAMS}
+    )
     by_param = [
         F.when(
             F.col(f"first_{p}").rlike(NUMERIC) | F.col(f"first_{p}").rlike(ALPHANUMERIC),
