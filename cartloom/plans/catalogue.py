@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 from cartloom.plans import (
     event_oracle,
     event_queries,
@@ -9,9 +13,31 @@ from cartloom.plans import (
     match_queries,
     session_oracle,
     session_queries,
+    table_oracle,
+    table_queries,
     url_oracle,
     url_queries,
 )
+from cartloom.plans.url_queries import Query
+from cartloom.session import apply_settings
+
+
+def _registered(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        apply_settings(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
-QUERIES = {**url_queries.QUERIES, **event_queries.QUERIES, **match_queries.QUERIES, **session_queries.QUERIES}
-ORACLE = {**url_oracle.ORACLE, **event_oracle.ORACLE, **match_oracle.ORACLE, **session_oracle.ORACLE}
+QUERIES: dict[str, Query] = {
+    name: _registered(query)
+    for part in (url_queries, event_queries, match_queries, session_queries, table_queries)
+    for name, query in part.QUERIES.items()
+}
+ORACLE: dict[str, str] = {
+    name: text
+    for part in (url_oracle, event_oracle, match_oracle, session_oracle, table_oracle)
+    for name, text in part.ORACLE.items()
+}
