@@ -28,15 +28,15 @@ _COLON = "'^(.+?)\\s+([A-Za-z]+(?:\\s+[A-Z0-9]+)?)\\s*:-\\s*.+$'"
 _URLKEY = "nullif(regexp_replace(lower({0}), '/+$', ''), '')".format
 _NUM = "try_cast(regexp_extract(amount, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)') AS double)"
 
-BASE = f"""v AS ({with_ids(view_sql("session_views"))}), items AS ({view_sql("session_cart_items")}),
+BASE = f"""v AS MATERIALIZED ({with_ids(view_sql("session_views"))}), items AS ({view_sql("session_cart_items")}),
     fin0 AS (SELECT * EXCLUDE (last_pos) FROM (SELECT *, max(cart_pos) OVER (PARTITION BY session_id) AS last_pos FROM items) WHERE cart_pos = last_pos),
-    fin AS (SELECT *, {_IMAGE} AS image_skus, CASE WHEN colon THEN trim(regexp_extract(name, {_COLON}, 1)) WHEN len(parts) > 1 THEN trim(array_to_string(parts[1:len(parts) - 1], ' - ')) ELSE trim(name) END AS base,
+    fin AS MATERIALIZED (SELECT *, {_IMAGE} AS image_skus, CASE WHEN colon THEN trim(regexp_extract(name, {_COLON}, 1)) WHEN len(parts) > 1 THEN trim(array_to_string(parts[1:len(parts) - 1], ' - ')) ELSE trim(name) END AS base,
         CASE WHEN colon THEN trim(regexp_extract(name, {_COLON}, 2)) WHEN len(parts) > 1 THEN trim(parts[len(parts)]) END AS color
       FROM (SELECT *, regexp_matches(name, {_COLON}) AS colon, regexp_split_to_array(name, '\\s+[-–—]\\s+') AS parts FROM ({with_ids("SELECT * FROM fin0")}))),
-    vals AS (SELECT DISTINCT session_id, lower(url) AS url_key, 'color' AS kind, unnest(color_list) AS value FROM v WHERE url IS NOT NULL
+    vals AS MATERIALIZED (SELECT DISTINCT session_id, lower(url) AS url_key, 'color' AS kind, unnest(color_list) AS value FROM v WHERE url IS NOT NULL
       UNION ALL SELECT DISTINCT session_id, lower(url), 'sku', unnest(sku_list) FROM v WHERE url IS NOT NULL
       UNION ALL SELECT DISTINCT session_id, lower(url), 'url_id', unnest(url_ids) FROM v WHERE url IS NOT NULL),
-    up AS (SELECT session_id, lower(url) AS url_key, min(view_pos) AS first_pos, arg_min(name, view_pos) AS name, arg_min(url, view_pos) AS url, count(*) AS view_count,
+    up AS MATERIALIZED (SELECT session_id, lower(url) AS url_key, min(view_pos) AS first_pos, arg_min(name, view_pos) AS name, arg_min(url, view_pos) AS url, count(*) AS view_count,
         min({_NUM}) AS price_min, max({_NUM}) AS price_max FROM v WHERE url IS NOT NULL GROUP BY ALL),
     sizes AS (SELECT session_id, url_key, count(*) FILTER (kind = 'color') AS colors, count(*) FILTER (kind = 'sku') AS skus, count(*) FILTER (kind = 'url_id') AS extracted_ids FROM vals GROUP BY ALL),
     ups AS (SELECT up.*, coalesce(colors, 0) AS colors, coalesce(skus, 0) AS skus, coalesce(extracted_ids, 0) AS extracted_ids FROM up LEFT JOIN sizes USING (session_id, url_key)),
@@ -49,7 +49,7 @@ def _each(strategy: str, keys: str, table: str, on: str) -> str:
     return _EACH.format(strategy, "p.first_pos", keys, table, on)
 
 
-HITS = f"""hits AS (
+HITS = f"""hits AS MATERIALIZED (
     {_each('image_sku', 'unnest(image_skus)', 'sk', "p.kind = 'sku' AND p.value = f.k")}
     UNION ALL {_each('extracted_id_sku', 'unnest(url_ids)', 'sk', "p.kind = 'sku' AND p.value = f.k")}
     UNION ALL {_each('url', _URLKEY('url'), 'up', f"{_URLKEY('p.url')} = f.k")}

@@ -89,5 +89,7 @@ ORACLE: dict[str, str] = {
     "image_batch_summary": f"WITH {_CLASS} SELECT domain, coalesce(code, 'OK') AS code, count(*) AS total, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed FROM cl GROUP BY 1, 2",
     "stream_normalize_events": f"SELECT event_id, item_pos, title, url, price, extracted_ids FROM ({EVENTS['normalize_cart_events']})",
     "stream_url_dedup": f"""SELECT DISTINCT key FROM ({components_sql("SELECT url FROM events JOIN pages ON event_id % 250 = page_id")}) WHERE err IS NULL""",
-    "stream_batch_summary": "SELECT cast(0 AS bigint) AS failed_windows, cast(0 AS bigint) AS uneven_windows",
+    "stream_batch_summary": """WITH v AS (SELECT ts, date_trunc('hour', ts) AS w FROM events JOIN pages ON event_id % 250 = page_id)
+        SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, count(*) AS total, count(*) AS successful, cast(0 AS bigint) AS failed FROM v
+        WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM v) - INTERVAL 1 DAY GROUP BY w""",
 }

@@ -190,7 +190,7 @@ def stream_normalize_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _timed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as visits of page URLs: the event id picks the page."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return events.join(pages, F.col("event_id") % 250 == F.col("page_id")).select("event_id", "ts", "url")
 
@@ -204,13 +204,14 @@ def stream_url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _as_stream(spark, _timed_urls(spark, sf_dir), "visits-in")
     summary = jobs.stream_batch_summary(stream, reg.builtin_registry(spark), "ts", "1 day", "1 hour")
-    return _drained(spark, summary, "visits-out").agg(F.count_if(F.col("failed") > 0).alias("failed_windows"), F.count_if(F.col("total") != F.col("successful")).alias("uneven_windows"))
+    closed = _drained(spark, summary, "visits-out")
+    return closed.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "total", "successful", "failed")
 
 
 def stream_session_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Carts of the sessions that closed in a stream of order events."""
     carts, products = view(spark, sf_dir, "cart_lines"), view(spark, sf_dir, "viewed_products")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").alias("ts"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
     path = scratch_dir(spark, "sessions")
     closed = jobs.closed_sessions(_as_stream(spark, orders, "orders-in"), "ts", "30 minutes", "1 hour")
 
