@@ -103,9 +103,9 @@ def unique_product_values(views: DataFrame) -> DataFrame:
     )
 
 
-def unique_products(views: DataFrame) -> DataFrame:
-    """Products of a session by lower-cased URL: views, first name and URL, price range, number of colours, SKUs and ids."""
-    base = (
+def product_views_by_url(views: DataFrame) -> DataFrame:
+    """Products of a session by lower-cased URL: first place, first name and URL, views, price range."""
+    return (
         views.where(F.col("url").isNotNull())
         .groupBy("session_id", F.lower("url").alias("url_key"))
         .agg(
@@ -117,6 +117,11 @@ def unique_products(views: DataFrame) -> DataFrame:
             F.max(parse_number(F.col("amount"))).alias("price_max"),
         )
     )
+
+
+def unique_products(views: DataFrame) -> DataFrame:
+    """The products of a session with their number of colours, SKUs and URL ids."""
+    base = product_views_by_url(views)
     sizes = unique_product_values(views).groupBy("session_id", "url_key").agg(
         F.count_if(F.col("kind") == "color").alias("colors"),
         F.count_if(F.col("kind") == "sku").alias("skus"),
@@ -217,7 +222,7 @@ def _line_keys(lines: DataFrame) -> DataFrame:
 
 def _product_keys(views: DataFrame) -> DataFrame:
     """``session_id, kind, key, first_pos``: first product of the session per key."""
-    products = unique_products(views)
+    products = product_views_by_url(views)
     values = unique_product_values(views).join(products.select("session_id", "url_key", "first_pos", "name"), ["session_id", "url_key"])
     own = products.select(
         "session_id",
@@ -246,7 +251,7 @@ def _title_hits(lines: DataFrame, views: DataFrame, small_session: int = SMALL_S
     """First product whose name contains, or is contained in, the name of the cart line."""
     carts = lines.where(F.col("name").isNotNull()).select("session_id", F.lower("name").alias("title")).distinct()
     names = (
-        unique_products(views).where(F.col("name").isNotNull())
+        product_views_by_url(views).where(F.col("name").isNotNull())
         .groupBy("session_id", F.lower("name").alias("title"))
         .agg(F.min("first_pos").alias("product_pos"))
     )
@@ -269,7 +274,7 @@ def _price_hits(lines: DataFrame, views: DataFrame) -> DataFrame:
     cents = F.col("item_price") / 100.0
     cell = F.floor(F.log(step, cents)).cast("long")
     probes = lines.where(cents > 0).select("session_id", "item_pos", cents.alias("x"), cell.alias("cell"))
-    spans = unique_products(views).where(F.col("price_max") > 0).select(
+    spans = product_views_by_url(views).where(F.col("price_max") > 0).select(
         "session_id",
         (F.greatest("price_min", F.lit(0.0001)) * 0.9).alias("lo"),
         (F.col("price_max") * 1.1).alias("hi"),
@@ -290,7 +295,7 @@ def _price_hits(lines: DataFrame, views: DataFrame) -> DataFrame:
     hits = probes.join(cells, ["session_id", "cell"]).where(
         F.coalesce(inside[0], no) | F.coalesce(inside[1], no) | F.coalesce(inside[2], no)
     )
-    free = unique_products(views).where(F.col("price_min") * 0.9 <= 0).select("session_id").distinct()
+    free = product_views_by_url(views).where(F.col("price_min") * 0.9 <= 0).select("session_id").distinct()
     zero = lines.where(F.col("item_price") == 0).join(free, "session_id", "left_semi")
     return hits.select("session_id", "item_pos").unionByName(zero.select("session_id", "item_pos"))
 
@@ -440,7 +445,7 @@ def title_similarity_best(views: DataFrame, items: DataFrame, small_session: int
     lines = final_cart_lines(items)
     title = js_trim(F.lower("name"))
     carts = lines.where(F.col("name").isNotNull()).select("session_id", title.alias("title")).distinct()
-    names = unique_products(views).where(F.col("name").isNotNull()).groupBy("session_id", title.alias("title")).agg(F.min("first_pos").alias("product_pos"))
+    names = product_views_by_url(views).where(F.col("name").isNotNull()).groupBy("session_id", title.alias("title")).agg(F.min("first_pos").alias("product_pos"))
     ck, pk = containment_keys(F.col("title"))
     pairs = title_pairs(carts, names, ck, pk, small_session)
     best = (
@@ -565,7 +570,7 @@ def title_prefix_suffix_mining(views: DataFrame, items: DataFrame, small_session
     )
     rests = parts.where(_has("brand")).select("session_id", F.col("rest").alias("title"), F.lower("brand").alias("brand")).distinct()
     names = (
-        unique_products(views).where(F.col("name").isNotNull())
+        product_views_by_url(views).where(F.col("name").isNotNull())
         .groupBy("session_id", F.lower("name").alias("title"))
         .agg(F.min("first_pos").alias("product_pos"))
     )
@@ -588,7 +593,7 @@ def title_prefix_suffix_mining(views: DataFrame, items: DataFrame, small_session
 def price_unit_check(views: DataFrame, items: DataFrame) -> DataFrame:
     """Whether the cart and the products of a session seem to use different price units."""
     cart = final_cart_lines(items).groupBy("session_id").agg(F.avg("item_price").alias("avg_cart_price"))
-    product = unique_products(views).groupBy("session_id").agg(F.avg("price_min").alias("avg_product_price"))
+    product = product_views_by_url(views).groupBy("session_id").agg(F.avg("price_min").alias("avg_product_price"))
     joined = cart.join(product, "session_id", "full").na.fill(0.0)
     return (
         joined.withColumn("cart_unit", F.when(F.col("avg_cart_price") > 1000, F.lit("cents")).otherwise(F.lit("dollars")))
