@@ -48,7 +48,10 @@ def similarity_keys(t: Column, threshold: float) -> Column:
     share = threshold / (2 - threshold)
     word_keys = _tagged("w", _prefix(words(t), F.ceil(F.size(words(t)) * share - 1e-9).cast("int")))
     pairs = character_pairs(t)
-    pair_keys = _tagged("b", _prefix(pairs, F.ceil(F.size(pairs) * share - 1e-9).cast("int")))
+    # texts without any pair count as equal in their pairs, so all of them meet
+    pair_keys = F.when(F.size(pairs) == 0, F.array(F.lit("b"))).otherwise(
+        _tagged("b", _prefix(pairs, F.ceil(F.size(pairs) * share - 1e-9).cast("int")))
+    )
     slack = 1 - 2 * (1 - threshold)
     numbered = _numbered_pairs(t)
     untouched = F.greatest(F.ceil(F.length(t) * slack - 1 - 1e-9).cast("int"), F.lit(1))
