@@ -60,7 +60,7 @@ def test_product_ids(spark):
 
 
 def test_unknown_store_id_turns_off_domain_rules_and_long_ids_fail(spark):
-    rows = [("https://www.target.com/p/A-12345678", "nope"), ("https://coachoutlet.com/x?pid=" + "a" * 26, None)]
+    rows = [("https://www.target.com/p/A-12345678/x", "nope"), ("https://coachoutlet.com/x?pid=" + "a" * 26, None)]
     unknown, long_id = url_analysis(spark.createDataFrame(rows, "url string, store_id string"), builtin_registry(spark)).orderBy(F.desc("url")).collect()
     assert unknown.store_id is None and unknown.product_ids == []
     assert long_id.error == "ZodError" and not long_id.success
