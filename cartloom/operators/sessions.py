@@ -22,7 +22,7 @@ from cartloom.functions.text import (
 )
 from cartloom.functions.urls import with_url_parts
 from cartloom.operators.title_pairs import SMALL_SESSION_TITLES, containment_keys, title_pairs
-from cartloom.operators.url_mining import ID_PARAMS, analyze_url_shape, bare_domain, non_product_filter, shape_ids
+from cartloom.operators.url_mining import analyze_url_shape, bare_domain, non_product_filter, shape_ids
 from cartloom.sources.registry import dim_store_by_domain, dim_store_by_id
 
 # Predicted strategies in evaluation order with their confidence, score weights and bands.

@@ -77,7 +77,7 @@ def product_urls(d: Dialect) -> str:
 
 
 def golden_urls(d: Dialect) -> str:
-    """Golden cases written down by hand per URL shape, one per part; every eleventh expects a wrong id."""
+    """Golden cases, one per part in three URL shapes; every eleventh expects a wrong id and must fail."""
     k = "cast({} + p_partkey as string)".format
     wrong = "CASE WHEN p_partkey % 11 = 6 THEN 'wrong' ELSE {} END".format
     return f"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from cartloom.functions.urls import PUBLIC_SUFFIXES  # noqa: F401
 from cartloom.plans.adapters import view_sql
 from cartloom.plans.url_oracle import ALL_URLS, NON_PRODUCT_RULES, parts_sql, shape_sql, text
 

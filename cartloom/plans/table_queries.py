@@ -37,7 +37,7 @@ def read_url_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_store_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog through one JSON document per nation of the suppliers."""
+    """The catalog through JSON documents, one per line, in the shared folder."""
     path = scratch_dir(spark, "catalog")
     entry = F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit(',"name":"'), "name", F.lit('","attributes":'), "attributes", F.lit("}"))
     docs = view(spark, sf_dir, "store_catalog").select(F.concat(F.lit('{"@rows":"1","@total":"1","store":['), entry, F.lit("]}")).alias("value"))

@@ -13,7 +13,7 @@ from cartloom.operators import product_ids as ids
 from cartloom.operators import url_mining as mining
 from cartloom.plans.adapters import table, view
 from cartloom.sources.files import catalog_from_table
-from cartloom.sources.registry import builtin_registry
+from cartloom.sources.registry import builtin_registry, store_lookup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,8 +84,6 @@ def extract_generic_query_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_store_query_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cartloom.sources.registry import store_lookup
-
     urls = store_lookup(_components(spark, sf_dir).where(F.col("error").isNull()), builtin_registry(spark))
     return urls.select(
         "url_id", joined(F.array_sort(ids.store_pattern_ids(F.lower("search"), F.col("query_patterns")))).alias("ids")
@@ -94,8 +92,6 @@ def extract_store_query_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transform_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path ids of the stores that rewrite them, before and after."""
-    from cartloom.sources.registry import store_lookup
-
     urls = store_lookup(_components(spark, sf_dir).where(F.col("error").isNull()), builtin_registry(spark))
     raw = urls.where(F.col("rewrite_find").isNotNull()).withColumn(
         "raw_ids", ids.store_pattern_ids(F.lower("pathname"), F.col("path_patterns"))
@@ -131,7 +127,7 @@ def image_sku(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def golden_url_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every analysed URL as a golden case that expects the ids of its key-dedup survivor."""
+    """Golden cases of every part, passed and failed per store."""
     golden = view(spark, sf_dir, "golden_urls")
     checked = ids.golden_url_check(golden, builtin_registry(spark))
     return ids.golden_check_by_store(checked, "store_name")
