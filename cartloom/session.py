@@ -40,9 +40,12 @@ def apply_settings(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (local tests) a temporary folder of this machine is used.
+    A local session runs in one process, so there a temporary folder serves where the setting is missing; a cluster session without the
+    setting is refused, since its executors would write to disks that the others cannot read.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="cartloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
