@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartloom.session import scratch_dir
+
 #: Words are maximal runs of other characters than space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: So many of the heaviest keys are looked up by broadcast; any other key then has less than 1/HOT_KEYS of all rows.
@@ -46,13 +48,32 @@ def seeded(column: Column | str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), value)), 1, 15), 16, 10).cast("long")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: what several steps read is worked out once, and a lost executor costs no more than its tasks."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As ``written``, in buckets of ``key``: joins and groups by the key read it without a shuffle."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, how: str = "inner") -> DataFrame:
     """Adds the columns of ``right``, which has one row per key, to each row of ``left``; ``how`` is inner or left.
 
     ``weight`` is the number of rows of ``left`` with the key, or in proportion to it. The HOT_KEYS heaviest keys are broadcast, which is
     a fixed number of rows; the rows of ``left`` that they serve don't meet by key but are dealt out by a hash of the row. So no task gets
-    more than 1/HOT_KEYS of the rows for one key, and nothing is dropped. Rows with a null key match nothing.
+    more than 1/HOT_KEYS of the rows for one key, and nothing is dropped. Rows with a null key match nothing. ``right`` is written down
+    first, since it is read twice.
     """
+    right = written(right, "lookup")
     values = [c for c in right.columns if c not in keys]
     hot = right.orderBy(F.col(weight).desc(), *keys).limit(HOT_KEYS)
     hot = hot.select(*[F.col(k).alias(f"h_{k}") for k in keys], F.struct(*values, F.lit(1).alias("is_")).alias("h_"))
