@@ -109,9 +109,9 @@ def remove_repeats(docs: DataFrame, text_column: str = "text", window: int = WIN
     schema = "digest binary, copies long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     results = texts.join(marks, "digest", "left").select("digest", "text", "copies", "marks").mapInArrow(run, schema)
     values = [c for c in results.columns if c not in ("digest", "copies")]
-    results = results.select(F.col("digest").alias(digest), F.struct("copies", *values).alias("out_"), F.col("copies").alias("weight_"))
     (out,) = own_columns(keyed, "out_")
-    back = lookup_join(keyed, results.withColumnRenamed("out_", out), [digest], "weight_", "left").drop("weight_")
+    results = results.select(F.col("digest").alias(digest), F.struct(*values).alias(out), F.col("copies").alias("weight_"))
+    back = lookup_join(keyed, results, [digest], "weight_", "left").drop("weight_")
     return replace_columns(back, {v: F.col(out)[v] for v in values}).drop(digest, out)
 
 

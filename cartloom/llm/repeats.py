@@ -171,7 +171,12 @@ def covered(part: Slice, n_units: np.ndarray, copies: np.ndarray, marks: list, w
             change[base[i] + n_units[i]] -= 1
         elif found:
             for m in found:
-                at = m["first"] + base[i] + (np.asarray(m["offsets"], dtype=np.int64) if m["offsets"] is not None else np.arange(m["windows"]))
-                np.add.at(change, at, 1)
-                np.add.at(change, at + window, -1)
+                at = m["first"] + base[i]
+                if m["offsets"] is None:
+                    change[at] += 1
+                    change[at + m["windows"] - 1 + window] -= 1
+                else:
+                    each = at + np.asarray(m["offsets"], dtype=np.int64)
+                    np.add.at(change, each, 1)
+                    np.add.at(change, each + window, -1)
     return np.cumsum(change[:-1]) > 0
