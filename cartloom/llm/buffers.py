@@ -143,6 +143,23 @@ def words(part: Slice) -> Words:
     return Words(start, end, row, bound)
 
 
+def line_spans(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Byte span and row of every line (what stands between line feeds), and where each row's lines begin; any text has one at least."""
+    n_rows = len(part.start)
+    feeds = np.flatnonzero(part.data == 10)
+    owner = np.searchsorted(part.start, feeds, side="right") - 1
+    valid = (owner >= 0) & (feeds < part.end[np.maximum(owner, 0)])
+    feeds, owner = feeds[valid], owner[valid]
+    start = np.concatenate([part.start, feeds + 1])
+    row = np.concatenate([np.arange(n_rows), owner])
+    order = np.lexsort((start, row))
+    start, row = start[order], row[order]
+    bound = np.searchsorted(row, np.arange(n_rows + 1))
+    end = np.append(start[1:] - 1, part.end[-1])
+    end[bound[1:] - 1] = part.end
+    return start, end, row, bound
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Least value of every run of ``width`` values."""
     n = len(values)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cartloom.llm import op1_mixing, op2_suffix_arrays, op3_substrings, op4_bpe, op5_quality, op6_near_dups, op9_topk, op10_warc
+from cartloom.llm import op1_mixing, op2_suffix_arrays, op3_substrings, op4_bpe, op5_quality, op6_near_dups, op8_line_dedup, op9_topk, op10_warc
 
-_PARTS = (op1_mixing, op2_suffix_arrays, op3_substrings, op4_bpe, op5_quality, op6_near_dups, op9_topk, op10_warc)
+_PARTS = (op1_mixing, op2_suffix_arrays, op3_substrings, op4_bpe, op5_quality, op6_near_dups, op8_line_dedup, op9_topk, op10_warc)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: text for part in _PARTS for name, text in part.ORACLE.items()}

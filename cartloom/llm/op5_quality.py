@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartloom.llm.buffers import Rolling, Slice, mix, slices, words
+from cartloom.llm.buffers import Rolling, Slice, line_spans, mix, slices, words
 from cartloom.llm.common import read, replace_columns, seeded
 
 #: The classifier is fitted on so many labelled documents at most, chosen by a seeded digest of their ids.
@@ -113,19 +113,7 @@ def measure(part: Slice, rolling: Rolling, word_rolling: Rolling) -> Lines:
         np.add.at(cover, inside[twice], 1)
         np.add.at(cover, inside[twice] + REPEAT_WINDOW, -1)
         repeated = np.cumsum(cover[:-1]) > 0
-    # lines: from the start of a text or after a line feed to before the next
-    feeds = np.flatnonzero(data == 10)
-    row_of = np.searchsorted(part.start, feeds, side="right") - 1
-    valid = (row_of >= 0) & (feeds < part.end[np.maximum(row_of, 0)])
-    feeds, row_of = feeds[valid], row_of[valid]
-    order = np.argsort(np.concatenate([part.start, feeds + 1]) * 2 + np.concatenate([np.zeros(n_rows, np.int64), np.ones(len(feeds), np.int64)]), kind="stable")
-    start = np.concatenate([part.start, feeds + 1])[order]
-    row = np.concatenate([np.arange(n_rows), row_of])[order]
-    by_row = np.argsort(row, kind="stable")  # empty texts share their start with the next
-    start, row = start[by_row], row[by_row]
-    bound = np.searchsorted(row, np.arange(n_rows + 1))
-    end = np.append(start[1:] - 1, part.end[-1])
-    end[bound[1:] - 1] = part.end
+    start, end, row, bound = line_spans(part)
     first, last = np.searchsorted(w.start, start), np.searchsorted(w.start, end)
     n_words = last - first
     line_key = mix(rolling.spans(prefix, start, end) + (end - start).astype(np.uint64)) ^ row_key[row]

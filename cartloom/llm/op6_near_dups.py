@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cartloom.llm import sketches
 from cartloom.llm.buffers import slices
-from cartloom.llm.common import lookup_join, own_columns, read, replace_columns, written
+from cartloom.llm.common import lookup_join, own_columns, read, written
 from cartloom.llm.components import components
 
 SHINGLE = 5
