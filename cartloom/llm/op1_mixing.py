@@ -12,7 +12,7 @@ output column are replaced.
 from __future__ import annotations
 
 import math
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -139,6 +139,7 @@ def mix_sources(
     for r in rows:
         for s in r["members"]:
             totals[s] = totals.get(s, 0) + r["words"]
+    patterns = Counter(s for r in rows for s in r["members"])
     quotas = source_quotas(totals, weights, max_epochs)
     names = list(quotas)
     at = {s: i for i, s in enumerate(names)}
@@ -146,8 +147,8 @@ def mix_sources(
     plan = []
     for r, flow in zip(rows, flows, strict=True):
         given = sum(flow.values())
-        # a pattern of one source gives what that source asks, to the last bit
-        given = quotas[r["members"][0]] if len(r["members"]) == 1 else given
+        # where a source and a pattern have only each other, the flow is the quota to the last bit
+        given = quotas[r["members"][0]] if len(r["members"]) == 1 and patterns[r["members"][0]] == 1 else given
         full = int(given // r["words"]) if r["words"] else 0
         steps, upto = [], 0.0
         for s, words in sorted(flow.items()):

@@ -44,7 +44,7 @@ ENTITY = re.compile(
 #: A text without a match of this has no entity.
 TRIGGER = r"[@0-9]|(" + "|".join(_GENDER) + r")\.? "
 _SYLLABLES = {"latin": "ba ce di fo gu la me ni ro su ta ve".split(), "cyrillic": "ба ве ди го лу ма не ри со та".split(), "greek": "βα γε δι κο λυ μα νε ρι σο τα".split()}
-_ENDS = {("latin", "female"): "a", ("latin", "male"): "on", ("cyrillic", "female"): "а", ("cyrillic", "male"): "ов", ("greek", "female"): "α", ("greek", "male"): "ος"}
+_ENDS = {("latin", "female"): "a", ("latin", "male"): "on", ("cyrillic", "female"): "а", ("cyrillic", "male"): "ов", ("greek", "female"): "α", ("greek", "male"): "ος", ("latin", "family"): "er", ("greek", "family"): "ου"}
 
 
 def luhn(digits: str) -> int:
@@ -76,9 +76,11 @@ def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
     for m in ENTITY.finditer(text):
         kind = m.lastgroup
         if kind == "name":
-            # each word of a name is an entity, so a surname alone still refers to the same person
+            # each word of a name is an entity, so a family name alone still refers to the same family; it has a gender in Cyrillic only
             for word in re.finditer(r"[^ ]+", m["name"]):
-                yield f"name/{_GENDER[m['title']]}", word.group().casefold(), m.start("name") + word.start(), m.start("name") + word.end()
+                canonical = word.group().casefold()
+                family = word.end() == len(m["name"]) and not "а" <= canonical[0] <= "я"
+                yield f"name/{'family' if family else _GENDER[m['title']]}", canonical, m.start("name") + word.start(), m.start("name") + word.end()
         elif _valid(kind, m.group()):
             surface = m.group()
             canonical = {"email": str.lower, "ip": lambda s: ".".join(str(int(x)) for x in s.split("."))}.get(kind, lambda s: re.sub(r"[ ().-]", "", s))(surface)
