@@ -247,11 +247,12 @@ def normalize_product_views(
     include_metadata: bool = True,
     variant_ids: bool = True,
 ) -> DataFrame:
-    """One normalised product per parsed event; all other input columns are kept and ``event_id`` must be unique.
+    """One normalised product per parsed event; all other input columns are kept and ``event_id`` must be unique. Events that could not be
+    read give none.
 
     Without ``variant_ids`` only the product's own URL is analysed, which needs no shuffle and so suits streams.
     """
-    product = _products(events, include_metadata)
+    product = _products(events.where(F.col("e").isNotNull()), include_metadata)
     if extract_ids:
         product = extracted_ids(product, registry, "url", "store_id", "extracted_ids")
     else:

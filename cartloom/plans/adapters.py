@@ -224,6 +224,21 @@ def raw_views(d: Dialect) -> str:
     FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey""".replace("{{{{", "{{").replace("}}}}", "}}")
 
 
+def _with_broken(events: str) -> str:
+    """Every eleventh event or so can't be read: cut off, no object, empty or missing."""
+    return f"""
+    SELECT event_id, CASE length(event_id || raw) % 44 WHEN 3 THEN substr(raw, 1, length(raw) - 1) WHEN 14 THEN '[1,2]' WHEN 25 THEN '' WHEN 36 THEN NULL ELSE raw END AS raw
+    FROM ({events}) whole"""
+
+
+def mixed_views(d: Dialect) -> str:
+    return _with_broken(raw_views(d))
+
+
+def mixed_carts(d: Dialect) -> str:
+    return _with_broken(raw_carts(d))
+
+
 def raw_carts(d: Dialect) -> str:
     """Raw cart events as JSON text: one event per line item with up to four product entries."""
     url = "'https://www.shop.example.com/product/prod-' || cast(100000 + l_partkey as string)"
@@ -352,6 +367,8 @@ ADAPTERS = {
     "store_catalog": store_catalog,
     "raw_views": raw_views,
     "raw_carts": raw_carts,
+    "mixed_views": mixed_views,
+    "mixed_carts": mixed_carts,
     "session_views": session_views,
     "session_cart_items": session_cart_items,
     "known_golden": known_golden,

@@ -182,6 +182,8 @@ CARTS = f"""lines AS (SELECT event_id, j, pos - 1 AS item_pos, json_extract(j, '
     deduped AS (SELECT * FROM valid WHERE coalesce(trim(url), '') = '' UNION ALL
       SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY event_id, url ORDER BY item_pos) AS rn FROM valid WHERE coalesce(trim(url), '') <> '') WHERE rn = 1)"""
 
+_READABLE = "coalesce(json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN raw END) = 'OBJECT', false)"
+
 ORACLE: dict[str, str] = {
     "read_product_views": f"WITH {RAW} SELECT {STORE} AS store_id, {_first('name')} AS name, coalesce(len({_strings('sku')}), -1) AS skus, count(*) AS events FROM ev GROUP BY 1, 2, 3",
     "read_cart_events": f"""SELECT CASE json_type(raw, '$.store_id') WHEN 'VARCHAR' THEN nullif(trim(json_extract_string(raw, '$.store_id')), '') ELSE json_extract_string(raw, '$.store_id') END AS store_id,
@@ -212,7 +214,8 @@ ORACLE: dict[str, str] = {
         SELECT event_id, n AS variant_count, n > 1 AS has_variants, variant_pos, v.sku AS sku, named.url, v.image_url AS image_url, v.price AS price, v.currency AS currency, v.color AS color,
         CASE WHEN len(x.extracted_ids) > 0 THEN array_to_string(x.extracted_ids, '|') END AS extracted_ids
         FROM named LEFT JOIN {_ids_of("SELECT vkey, url, store_id FROM named", "vkey")} x ON named.vkey = x.vkey""",
-    "product_view_batch_summary": f"SELECT count(*) AS total, count(*) AS successful, 0 AS failed, count(*) AS total_products FROM ({view_sql('raw_views')})",
+    "product_view_batch_summary": f"""SELECT count(*) AS total, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (ok) AS total_products
+        FROM (SELECT {_READABLE} AS ok FROM ({view_sql('mixed_views')}))""",
     "validate_events": f"""WITH {RAW}, checked AS (SELECT event_id, list_filter([
         CASE WHEN NOT json_valid(j) THEN '$' END,
         CASE WHEN t_name NOT IN ('VARCHAR', 'ARRAY') THEN 'name' END,
@@ -227,5 +230,8 @@ ORACLE: dict[str, str] = {
         FROM keyed LEFT JOIN {_ids_of("SELECT lkey, url, store_id FROM keyed", "lkey")} x ON keyed.lkey = x.lkey""",
     "cart_dedup": f"""WITH l AS (SELECT *, coalesce(CASE WHEN trim(url) <> '' THEN url END, nullif(array_to_string(extracted_ids, '|'), '')) AS k FROM ({view_sql("cart_lines")}))
         SELECT session_id, item_pos, url, quantity FROM (SELECT *, row_number() OVER (PARTITION BY session_id, k ORDER BY item_pos) AS rn FROM l) WHERE rn = 1 OR k IS NULL""",
-    "cart_batch_summary": f"""WITH {CARTS} SELECT (SELECT count(*) FROM ({view_sql("raw_carts")})) AS total, (SELECT count(*) FROM ({view_sql("raw_carts")})) AS successful, 0 AS failed, count(*) AS total_products FROM deduped""",
+    "cart_batch_summary": f"""WITH {CARTS}, m AS MATERIALIZED (SELECT event_id, {_READABLE} AS ok FROM ({view_sql("mixed_carts")})) SELECT count(*) AS total, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok) AS failed,
+        (SELECT count(*) FROM deduped WHERE event_id IN (SELECT event_id FROM m WHERE ok)) AS total_products FROM m""",
+    "validate_cart_events": f"""WITH m AS MATERIALIZED (SELECT event_id, CASE WHEN {_READABLE} THEN raw END AS j FROM ({view_sql("mixed_carts")}))
+        SELECT event_id, j IS NOT NULL AS is_valid, CASE WHEN j IS NULL THEN '$' ELSE '' END AS reason FROM m""",
 }

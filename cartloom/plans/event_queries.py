@@ -12,7 +12,7 @@ from cartloom.operators.product_ids import result_summary
 from cartloom.plans.adapters import view
 from cartloom.plans.url_queries import Query, joined
 from cartloom.session import scratch_dir
-from cartloom.sources.events import event_violations, parse_cart_events, parse_product_views, read_cart_events, read_product_views
+from cartloom.sources.events import CART_KINDS, event_violations, parse_cart_events, parse_product_views, read_cart_events, read_product_views
 from cartloom.sources.registry import builtin_registry
 
 
@@ -119,8 +119,8 @@ def product_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def product_view_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _views(spark, sf_dir)
-    products = _products(spark, sf_dir, extract_ids=False)
+    events = parse_product_views(view(spark, sf_dir, "mixed_views"))
+    products = views.normalize_product_views(events, builtin_registry(spark), extract_ids=False)
     return result_summary(carts.batch_results(events, products), "products")
 
 
@@ -129,6 +129,11 @@ def validate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("event_id", (F.size("violations") == 0).alias("is_valid"), joined(F.array_sort("violations")).alias("reason"))
 
 
+def validate_cart_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = event_violations(view(spark, sf_dir, "mixed_carts"), CART_KINDS)
+    return checked.select("event_id", (F.size("violations") == 0).alias("is_valid"), joined(F.array_sort("violations")).alias("reason"))
+
+
 def cart_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carts.cart_lines(_carts(spark, sf_dir)).select("event_id", F.col("item_pos").cast("long").alias("item_pos"), "store_id", "name", "url", "item_price")
 
@@ -155,7 +160,7 @@ def cart_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cart_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _carts(spark, sf_dir)
+    events = parse_cart_events(view(spark, sf_dir, "mixed_carts"))
     products = carts.normalize_cart_events(events, builtin_registry(spark), extract_ids=False)
     return result_summary(carts.batch_results(events, products), "products")
 
@@ -179,6 +184,7 @@ QUERIES: dict[str, Query] = {
     "product_variants": product_variants,
     "product_view_batch_summary": product_view_batch_summary,
     "validate_events": validate_events,
+    "validate_cart_events": validate_cart_events,
     "cart_lines": cart_lines,
     "cart_line_filter": cart_line_filter,
     "normalize_cart_events": normalize_cart_events,

@@ -40,6 +40,8 @@ _CLASS = f"""cl AS (SELECT *, code IS NULL AS success, CASE WHEN code IS NOT NUL
         WHEN {_MEDIA} NOT IN ('image/jpeg', 'image/png', 'image/webp') THEN 'INVALID_CONTENT_TYPE' ELSE coalesce({_SIZE('cast(content_length AS bigint)')}, {_SIZE('size_bytes')}) END AS code
     FROM (SELECT *, starts_with(image_url, 'http') AS ok FROM ({_FETCH}))))"""
 
+_PAGE = "event_id % (SELECT max(page_id) + 1 FROM pages) = page_id"
+
 ORACLE: dict[str, str] = {
     "read_url_log": f"SELECT nullif(trim(store_id), '') AS store_id, count(*) AS row_count, count(nullif(trim(url_ids_csv), '')) AS with_ids FROM ({_LOG}) GROUP BY 1",
     "read_store_catalog": f"WITH {_CATALOG} SELECT * FROM cat",
@@ -62,7 +64,8 @@ ORACLE: dict[str, str] = {
     "catalog_views": f"""WITH {_CATALOG}, a AS (SELECT DISTINCT store_id FROM ({_LOG})) SELECT store_id, name, CASE WHEN product_search_enabled THEN name END AS enabled_name, coalesce(product_search_enabled, false) AS is_enabled
         FROM a LEFT JOIN cat ON try_cast(a.store_id AS bigint) = cat.id""",
     "catalog_enabled": f"WITH {_CATALOG} SELECT id, name FROM cat WHERE product_search_enabled",
-    "write_catalog_snapshot": f"WITH {_CATALOG} SELECT count(*) AS total_stores, count(*) FILTER (product_search_enabled) AS catalog_enabled, count(*) FILTER (NOT product_search_enabled) AS catalog_disabled FROM cat",
+    "write_catalog_snapshot": f"""WITH {_CATALOG} SELECT '2025-01-31' AS snapshot_date, count(*) AS stores, count(*) AS total_stores, count(*) FILTER (product_search_enabled) AS catalog_enabled,
+        count(*) FILTER (NOT product_search_enabled) AS catalog_disabled FROM cat UNION ALL SELECT '2025-01-30', count(*), NULL, NULL, NULL FROM cat WHERE product_search_enabled""",
     "write_report_tables": f"WITH {_STATS} SELECT *, 'url_log' AS report_source FROM stats",
     "store_row_stats": f"WITH {_STATS} SELECT * FROM stats",
     "coverage_split": f"{_COVERED} SELECT store_id, covered FROM cov",
@@ -88,8 +91,8 @@ ORACLE: dict[str, str] = {
     "image_retry_queue": f"""WITH {_CLASS} SELECT request_id, code AS error_code, CASE WHEN retry_after = '120' THEN 120 WHEN retry_after IS NOT NULL THEN 1680 END AS retry_seconds FROM cl WHERE NOT success AND NOT is_permanent""",
     "image_batch_summary": f"WITH {_CLASS} SELECT domain, coalesce(code, 'OK') AS code, count(*) AS total, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed FROM cl GROUP BY 1, 2",
     "stream_normalize_events": f"SELECT event_id, item_pos, title, url, price, extracted_ids FROM ({EVENTS['normalize_cart_events']})",
-    "stream_url_dedup": f"""SELECT DISTINCT key FROM ({components_sql("SELECT url FROM events JOIN pages ON event_id % 250 = page_id")}) WHERE err IS NULL""",
-    "stream_batch_summary": """WITH v AS (SELECT ts, date_trunc('hour', ts) AS w FROM events JOIN pages ON event_id % 250 = page_id)
+    "stream_url_dedup": f"""SELECT DISTINCT key, 1 AS rows FROM ({components_sql(f"SELECT url FROM events JOIN pages ON {_PAGE}")}) WHERE err IS NULL""",
+    "stream_batch_summary": f"""WITH v AS (SELECT ts, date_trunc('hour', ts) AS w FROM events JOIN pages ON {_PAGE})
         SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, count(*) AS total, count(*) AS successful, cast(0 AS bigint) AS failed FROM v
         WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM v) - INTERVAL 1 DAY GROUP BY w""",
 }

@@ -42,8 +42,7 @@ def read_store_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit(',"name":"'), "name", F.lit('","attributes":'), "attributes", F.lit("}"))
     docs = view(spark, sf_dir, "store_catalog").select(F.concat(F.lit('{"@rows":"1","@total":"1","store":['), entry, F.lit("]}")).alias("value"))
     docs.write.text(path)
-    stores = spark.read.schema(files.CATALOG_SCHEMA).json(path).select(F.posexplode("store").alias("pos", "s")).select("pos", "s.*")
-    return files.catalog_entries(stores, F.col("attributes")).select("id", "name", "product_search_enabled")
+    return files.read_store_catalog(spark, path, one_per_line=True).select("id", "name", "product_search_enabled")
 
 
 def read_golden_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +50,8 @@ def read_golden_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "golden")
     doc = F.to_json(F.struct(F.col("store_name").alias("name"), F.col("store_id").alias("id"), F.array(F.struct("url", F.col("expected_skus").alias("expectedSkus"))).alias("testCases")))
     view(spark, sf_dir, "golden_urls").select(doc.alias("value")).write.text(path)
-    cases = spark.read.schema(files.GOLDEN_SCHEMA).json(path)
-    return cases.select("name", F.explode("testCases").alias("t")).groupBy("name").agg(F.count(F.lit(1)).alias("cases"), F.sum(F.size("t.expectedSkus")).alias("skus"))
+    cases = files.read_golden_urls(spark, path, one_per_line=True)
+    return cases.groupBy(F.col("store_name").alias("name")).agg(F.count(F.lit(1)).alias("cases"), F.sum(F.size("expected_skus")).alias("skus"))
 
 
 def dim_store_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +92,13 @@ def catalog_enabled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_catalog_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = files.write_catalog_snapshot(_catalog(spark, sf_dir), scratch_dir(spark, "snapshot"), "2025-01-31")
-    return totals.drop("snapshot_date")
+    """Two dates, the first of them written twice: both stay, and the totals are those of the last written one."""
+    path, catalog = scratch_dir(spark, "snapshot"), _catalog(spark, sf_dir)
+    files.write_catalog_snapshot(catalog, path, "2025-01-30")
+    files.write_catalog_snapshot(catalog.where("product_search_enabled"), path, "2025-01-30")
+    totals = files.write_catalog_snapshot(catalog, path, "2025-01-31")
+    history = spark.read.parquet(path).groupBy(F.col("snapshot_date").cast("string").alias("snapshot_date")).agg(F.count(F.lit(1)).alias("stores"))
+    return history.join(totals.withColumn("snapshot_date", F.col("snapshot_date").cast("string")), "snapshot_date", "left")
 
 
 def write_report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,16 +193,17 @@ def stream_normalize_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _timed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as visits of page URLs: the event id picks the page."""
+    """Events as visits of page URLs: the event id picks one of all pages."""
     events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return events.join(pages, F.col("event_id") % 250 == F.col("page_id")).select("event_id", "ts", "url")
+    n_pages = pages.agg(F.max("page_id")).first()[0] + 1
+    return events.join(pages, F.col("event_id") % n_pages == F.col("page_id")).select("event_id", "ts", "url")
 
 
 def stream_url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _as_stream(spark, _timed_urls(spark, sf_dir), "urls-in")
-    out = _drained(spark, jobs.stream_url_dedup(stream, "ts", "400 days"), "urls-out")
-    return out.select("key").distinct()
+    out = _drained(spark, jobs.stream_url_dedup(stream, "ts", "1 day"), "urls-out")
+    return out.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def stream_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

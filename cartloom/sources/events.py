@@ -90,16 +90,21 @@ def texts(v: Column) -> Column:
     )
 
 
+def _is_object(raw_col: str) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(raw_col)).startswith("OBJECT"), F.lit(False))
+
+
 def parse_product_views(df: DataFrame, raw_col: str = "raw") -> DataFrame:
-    """Replaces a JSON text column by the typed event struct ``e``."""
-    return df.withColumn("e", F.from_json(raw_col, PRODUCT_VIEW_SCHEMA)).drop(raw_col)
+    """Replaces a JSON text column by the typed event struct ``e``, which is null where the text is no JSON object."""
+    return df.withColumn("e", F.when(_is_object(raw_col), F.from_json(raw_col, PRODUCT_VIEW_SCHEMA))).drop(raw_col)
 
 
 def parse_cart_events(df: DataFrame, raw_col: str = "raw") -> DataFrame:
-    """Replaces a JSON text column by the typed event struct ``e``; a missing product list reads as empty."""
-    parsed = df.withColumn("e", F.from_json(raw_col, CART_SCHEMA)).drop(raw_col)
+    """Replaces a JSON text column by the typed event struct ``e``; a missing product list reads as empty, and the struct is null where the
+    text is no JSON object."""
+    parsed = df.withColumn("e", F.when(_is_object(raw_col), F.from_json(raw_col, CART_SCHEMA))).drop(raw_col)
     listed = F.coalesce(F.col("e.product_list"), F.from_json(F.lit("[]"), "array<" + _item_type() + ">"))
-    return parsed.withColumn("e", F.col("e").withField("product_list", listed))
+    return parsed.withColumn("e", F.when(F.col("e").isNotNull(), F.col("e").withField("product_list", listed)))
 
 
 def _item_type() -> str:

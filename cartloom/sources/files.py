@@ -24,11 +24,15 @@ def _first_alias(columns: list[str], aliases: list[str]) -> str | None:
     return next((by_name[a] for a in aliases if a in by_name), None)
 
 
-def read_url_log(spark: SparkSession, path: str) -> DataFrame:
-    """CSV URL log with a header; columns are found by their known names, short rows read as null, extra cells are ignored."""
+def read_url_log(spark: SparkSession, path: str, quoted_breaks: bool = True) -> DataFrame:
+    """CSV URL log with a header; columns are found by their known names, short rows read as null, extra cells are ignored.
+
+    Cells may hold quoted line breaks, so each file is read as a whole, as a stream; ``quoted_breaks=False`` lets Spark split the files of
+    logs that have none.
+    """
     raw = (
         spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
-        .option("quote", '"').option("escape", '"').option("multiLine", False).csv(path)
+        .option("quote", '"').option("escape", '"').option("multiLine", quoted_breaks).csv(path)
     )
     return resolve_log_columns(raw)
 
@@ -54,10 +58,12 @@ def catalog_entries(stores: DataFrame, attributes: Column) -> DataFrame:
     )
 
 
-def read_store_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Store catalog as the catalog service returns it, one JSON document per file."""
-    doc = spark.read.schema(CATALOG_SCHEMA).option("multiLine", True).json(path)
-    stores = doc.select(F.posexplode("store").alias("pos", "s")).select("pos", "s.id", "s.name", "s.attributes")
+def read_store_catalog(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Store catalog as the catalog service returns it: one JSON document per file, or per line, which lets Spark split large files."""
+    doc = spark.read.schema(CATALOG_SCHEMA).option("multiLine", not one_per_line).json(path)
+    # of a store listed twice the later entry counts: by file, then by place in the document
+    doc = doc.select("store", F.col("_metadata.file_path").alias("file"))
+    stores = doc.select("file", F.posexplode("store").alias("nth", "s")).select(F.struct("file", "nth").alias("pos"), "s.id", "s.name", "s.attributes")
     return catalog_entries(stores, F.col("attributes"))
 
 
@@ -85,9 +91,10 @@ def catalog_lookup(requests: DataFrame, catalog: DataFrame, id_col: str = "store
 
 
 def write_catalog_snapshot(catalog: DataFrame, path: str, snapshot_date: str) -> DataFrame:
-    """Writes the catalog under its snapshot date and returns the snapshot's totals."""
-    catalog.withColumn("snapshot_date", F.lit(snapshot_date)).write.mode("overwrite").partitionBy("snapshot_date").parquet(path)
-    written = catalog.sparkSession.read.parquet(path)
+    """Writes the catalog under its snapshot date, in place of an earlier one of that date, and returns the snapshot's totals."""
+    writer = catalog.withColumn("snapshot_date", F.lit(snapshot_date)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("snapshot_date").parquet(path)
+    written = catalog.sparkSession.read.parquet(path).where(F.col("snapshot_date") == snapshot_date)
     return written.groupBy("snapshot_date").agg(
         F.count(F.lit(1)).alias("total_stores"),
         F.count_if("product_search_enabled").alias("catalog_enabled"),
@@ -101,9 +108,9 @@ def write_report(report: DataFrame, path: str, source: str, file_format: str = "
     (writer.option("header", True) if file_format == "csv" else writer).format(file_format).save(path)
 
 
-def read_golden_urls(spark: SparkSession, path: str) -> DataFrame:
-    """Golden sets, one JSON document per store, as one row per test case."""
-    doc = spark.read.schema(GOLDEN_SCHEMA).option("multiLine", True).json(path)
+def read_golden_urls(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Golden sets, one JSON document per store (and file or line), as one row per test case."""
+    doc = spark.read.schema(GOLDEN_SCHEMA).option("multiLine", not one_per_line).json(path)
     return doc.select(
         F.col("name").alias("store_name"),
         F.try_variant_get("id", "$", "string").alias("store_id"),
