@@ -27,10 +27,14 @@ from cartloom.llm.buffers import slices
 from cartloom.llm.common import read
 
 #: Pieces kept from one slice to the next; only speed depends on it.
-KEEP_PIECES = 300_000
+KEEP_PIECES = 200_000
+#: Pieces whose words are replayed together; memory and speed depend on it.
+REPLAY_PIECES = 150_000
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Before a space that something other than white space follows, a new match always begins.
 _CUT = re.compile(r" (?=\S)")
+#: Texts in which a space stands before white space or at the end are cut with more care.
+_ODD = re.compile(r" (?:\s|\Z)")
 
 
 class Vocabulary:
@@ -73,11 +77,11 @@ def replay(words: Sequence[bytes], vocabulary: Vocabulary) -> list[bytes]:
     ends = np.cumsum(sizes)
     token = vocabulary.byte_rank[np.frombuffer(b"".join(words), dtype=np.uint8)]
     n = len(token)
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     full = sizes > 0
     after[ends[full] - 1] = -1
     before[(ends - sizes)[full]] = -1
-    rank_at = np.full(n, -1, dtype=np.int64)
+    rank_at = np.full(n, -1, dtype=np.int32)
     head = np.flatnonzero(after >= 0)
     rank_at[head] = vocabulary.merged(token[head], token[after[head]])
     index: dict[int, list[np.ndarray]] = {}
@@ -97,15 +101,18 @@ def replay(words: Sequence[bytes], vocabulary: Vocabulary) -> list[bytes]:
     head = np.flatnonzero(rank_at >= 0)
     if len(head):
         enter(head, rank_at[head])
-    word_of = np.repeat(np.arange(len(words)), sizes)
+    word_of = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     late: set[int] = set()
     while queue:
         rank = heapq.heappop(queue)
         parts = index.pop(rank)
-        at = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+        at = parts[0] if len(parts) == 1 else np.concatenate(parts)
         at = at[rank_at[at] == rank]
         if not len(at):
             continue
+        if len(at) > 1:
+            at.sort()
+            at = at[np.append(True, at[1:] != at[:-1])]
         if len(at) > 1 and (chained := after[at[:-1]] == at[1:]).any():
             # of pairs that share a token, the first, third, ... merge
             begins = np.flatnonzero(~np.append(False, chained))
@@ -119,7 +126,7 @@ def replay(words: Sequence[bytes], vocabulary: Vocabulary) -> list[bytes]:
         linked = follow >= 0
         before[follow[linked]] = at[linked]
         left = before[at]
-        touched = np.unique(np.concatenate([left[left >= 0], at]))
+        touched = np.concatenate([left[left >= 0], at])  # some twice, which the next visit drops
         rank_at[touched] = -1
         touched = touched[after[touched] >= 0]
         new = vocabulary.merged(token[touched], token[after[touched]])
@@ -151,6 +158,11 @@ def _one_by_one(word: bytes, vocabulary: Vocabulary) -> list[int]:
     return ids.tolist()
 
 
+def cut(text: str) -> list[str]:
+    """The text without the single spaces before which a new match always begins, cut there."""
+    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+
+
 class Encoder:
     """Encodes texts from the ids of their pieces, which it remembers."""
 
@@ -158,31 +170,29 @@ class Encoder:
         self.vocabulary = vocabulary
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
 
     def learn(self, texts: Iterable[str]) -> None:
         """Replays the merges over what the texts hold and earlier ones did not."""
         if len(self.later) > KEEP_PIECES:
-            self.first, self.later, self.words = {}, {}, {}
+            self.first, self.later = {}, {}
         begins, follows = set(), set()
         for text in texts:
-            begin, *rest = _CUT.split(text)
+            begin, *rest = cut(text)
             begins.add(begin)
             follows.update(rest)
-        begins, follows = [p for p in begins if p not in self.first], [p for p in follows if p not in self.later]
         # a piece after a cut begins with the space that was cut off
-        match = self.vocabulary.pattern.findall
-        parts = [[m.encode("utf-8", "replace") for m in match(p)] for p in begins] + [[m.encode("utf-8", "replace") for m in match(" " + p)] for p in follows]
-        new = list({w for ws in parts for w in ws}.difference(self.words))
-        self.words.update(zip(new, replay(new, self.vocabulary), strict=True))
-        word = self.words
-        ids = [word[ws[0]] if len(ws) == 1 else b"".join([word[w] for w in ws]) for ws in parts]
-        self.first.update(zip(begins, ids, strict=False))
-        self.later.update(zip(follows, ids[len(begins) :], strict=True))
+        for known, pieces, space in ((self.first, begins, ""), (self.later, follows, " ")):
+            fresh = [p for p in pieces if p not in known]
+            for i in range(0, len(fresh), REPLAY_PIECES):
+                some = fresh[i : i + REPLAY_PIECES]
+                matches = [self.vocabulary.pattern.findall(space + p) for p in some]
+                words = list({m for ms in matches for m in ms})
+                ids = dict(zip(words, replay([w.encode("utf-8", "replace") for w in words], self.vocabulary), strict=True))
+                known.update(zip(some, [ids[ms[0]] if len(ms) == 1 else b"".join([ids[m] for m in ms]) for ms in matches], strict=True))
 
     def encode(self, text: str) -> bytes:
         """The ids of a learnt text, as 32-bit integers."""
-        begin, *rest = _CUT.split(text)
+        begin, *rest = cut(text)
         return self.first[begin] + b"".join(map(self.later.__getitem__, rest))
 
 
@@ -227,8 +237,14 @@ def decode(encoded: DataFrame, ids_column: str = "ids", path: str | None = None)
         for batch in batches:
             for first in range(0, max(1, batch.num_rows), 256):
                 rows = batch.slice(first, 256)
-                texts = [None if x is None else b"".join([tokens[i] for i in x]) for x in rows.column(len(kept)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], pa.array(texts, pa.binary())], [*kept, "decoded"])
+                ids = rows.column(len(kept))
+                flat = ids.flatten()
+                if flat.null_count:
+                    raise ValueError("a null id can't be decoded")
+                cuts = np.append(0, np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))).tolist()
+                flat = np.asarray(flat)
+                texts = [b"".join([tokens[i] for i in flat[a:b].tolist()]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], pa.array(texts, pa.binary(), mask=np.asarray(ids.is_null()))], [*kept, "decoded"])
 
     schema = T.StructType([*source.schema.fields[: len(kept)], T.StructField("decoded", T.BinaryType())])
     return source.mapInArrow(run, schema)
