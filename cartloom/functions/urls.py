@@ -27,7 +27,8 @@ TRACKING_FAMILIES = r"^(utm|fb|hsa)_\w+"
 # Brand subdomains that stay part of the domain.
 BRAND_SUBDOMAINS = ["oldnavy", "bananarepublic", "athleta", "bananarepublicfactory", "gapfactory", "gap"]
 
-# Common public suffixes of more than one label; pass another list to ``with_domain`` to replace them.
+# Common public suffixes of more than one label. The full list is too large to ship; callers pass it, or their own, as
+# ``suffixes`` in the list's notation: "a.b", "*.b" for any label in front of b, "!a.b" for an exception to such a rule.
 PUBLIC_SUFFIXES = [
     "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "ltd.uk", "plc.uk", "net.uk", "sch.uk", "nhs.uk",
     "com.au", "net.au", "org.au", "edu.au", "gov.au", "id.au",
@@ -171,6 +172,7 @@ def with_url_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
         | (F.coalesce(port.try_cast("int"), F.lit(0)) > 65535)
         | (F.length(port) > 9),
         "u_error": F.when(missing | foreign | F.col("u_bad_host"), F.lit("InvalidUrlError")),
+        # fixed values: the texts that go with an error
         "u_message": F.when(missing, F.lit("URL must be a non-empty string"))
         .when(F.col("u_scheme") == "", F.concat(F.lit("Invalid URL format: "), F.col("u_url")))
         .when(foreign, F.concat(F.lit("Invalid protocol: "), "u_scheme", F.lit(":. Only HTTP(S) protocols are allowed")))
@@ -180,15 +182,34 @@ def with_url_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
     return settled(split, *PART_COLUMNS)
 
 
+# Second-level labels that are taken for suffixes below any two-letter country, so that unlisted countries' sites don't merge.
+COUNTRY_LEVELS = ["ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "mil", "ne", "net", "or", "org"]
+
+
 def domain_of(host: Column, suffixes: Iterable[str] = PUBLIC_SUFFIXES) -> Column:
-    """Registrable domain of a host: the longest known public suffix plus one label; IP addresses stay whole."""
-    suffixes = list(suffixes)
-    three = [s for s in suffixes if s.count(".") == 2]
-    two = [s for s in suffixes if s.count(".") == 1]
-    tails = {n: F.substring_index(host, ".", -n) for n in (2, 3, 4)}
-    by_suffix = (
-        F.when(tails[3].isin(three), tails[4]).when(tails[2].isin(two), tails[3]).otherwise(tails[2])
-    )
+    """Registrable domain of a host: the longest known public suffix plus one label; IP addresses stay whole.
+
+    Suffixes may have any number of labels; exceptions count before other rules, and longer rules before shorter ones.
+    """
+    exact, wild, spared = {}, {}, {}
+    for s in suffixes:
+        group, text = (spared, s[1:]) if s.startswith("!") else (wild, s[2:]) if s.startswith("*.") else (exact, s)
+        group.setdefault(text.count(".") + 1, []).append(text)
+
+    def tail(n: int) -> Column:
+        return F.substring_index(host, ".", -n)
+
+    labels = F.size(F.split(host, r"\."))
+    rules = [(tail(n).isin(names), tail(n)) for n, names in sorted(spared.items(), reverse=True)]
+    for n in sorted({*exact, *(k + 1 for k in wild)} - {1}, reverse=True):
+        if n in exact:
+            rules.append((tail(n).isin(exact[n]), tail(n + 1)))
+        if n - 1 in wild:
+            rules.append((tail(n - 1).isin(wild[n - 1]) & (labels >= n), tail(n + 1)))
+    by_suffix = tail(2)
+    by_suffix = F.when(tail(2).rlike(rf"^({'|'.join(COUNTRY_LEVELS)})\.[a-z]{{2}}$"), tail(3)).otherwise(by_suffix)
+    for holds, domain in reversed(rules):
+        by_suffix = F.when(holds, domain).otherwise(by_suffix)
     return F.when(host.rlike(r"^(\[.*\]|[\d.]+)$"), host).otherwise(by_suffix)
 
 

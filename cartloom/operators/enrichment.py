@@ -29,6 +29,7 @@ def store_mismatch_guard(cart: DataFrame, products: DataFrame) -> DataFrame:
         _first_store(products, "product_pos", "product_store_id"), "session_id"
     )
     named = (F.col("cart_store_id") != "") & (F.col("product_store_id") != "")
+    # fixed value: the wording of the rejection
     return both.where(named & (F.col("cart_store_id") != F.col("product_store_id"))).withColumn(
         "message",
         F.concat(

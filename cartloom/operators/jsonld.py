@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # Accepted contexts and the fields that lead to further SKUs, in the order they are followed.
 CONTEXTS = ["https://schema.org", "http://schema.org"]
 NESTED_FIELDS = ["offers", "hasVariant", "isVariantOf", "model"]
-MAX_DEPTH = 6
 
 
 def _text(v: Column, path: str) -> Column:
@@ -64,36 +63,26 @@ def _children(v: Column) -> Column:
 
 
 def jsonld_skus(df: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:
-    """Distinct SKUs of a document in depth-first order, with ``truncated`` set when nodes lie below the last level.
+    """Distinct SKUs of a document in depth-first order, from any depth.
 
-    Each level explodes the nested objects of the level above and carries the path taken, so sorting by path restores the
-    depth-first order. Nodes of one document are bounded by the document's own size.
+    One projection: a stack of nodes is worked off within the row, in as many steps as the document can have objects.
     """
-    root = with_document(df, json_col).select(id_col, "v", F.lit("").alias("path"))
-    root = root.where(F.schema_of_variant("v").startswith("OBJECT"))
-    level, found = root, []
-    for depth in range(MAX_DEPTH + 1):
-        found.append(
-            level.select(id_col, "path", F.posexplode(_own_skus(F.col("v"))).alias("pos", "sku"), F.lit(False).alias("cut"))
+    no_nodes, no_skus = F.expr("cast(array() as array<variant>)"), F.expr("cast(array() as array<string>)")
+    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    start = F.struct(F.when(is_object, F.array("v")).otherwise(no_nodes).alias("stack"), no_skus.alias("skus"))
+    most = F.length(json_col) - F.length(F.replace(F.col(json_col), F.lit("{"), F.lit("")))
+
+    def step(state: Column, _: Column) -> Column:
+        node, rest = F.get(state["stack"], F.lit(0)), F.slice(state["stack"], F.lit(2), F.greatest(F.size(state["stack"]) - 1, F.lit(0)))
+        open_ = F.size(state["stack"]) > 0
+        return F.struct(
+            F.when(open_, F.concat(_children(node), rest)).otherwise(state["stack"]).alias("stack"),
+            F.when(open_, F.concat(state["skus"], _own_skus(node))).otherwise(state["skus"]).alias("skus"),
         )
-        nested = level.select(id_col, "path", F.posexplode(_children(F.col("v"))).alias("child", "v")).select(
-            id_col, "v", F.concat("path", F.lpad(F.col("child").cast("string"), 9, "0"), F.lit("/")).alias("path")
-        )
-        if depth == MAX_DEPTH:
-            found.append(nested.select(id_col, "path", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("sku"), F.lit(True).alias("cut")))
-        level = nested
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    skus = rows.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.when(F.col("sku").isNotNull(), F.struct("path", "pos", "sku")))).alias("s"),
-        F.max("cut").alias("truncated"),
-    )
-    return df.join(skus, id_col, "left").select(
-        *df.columns,
-        F.coalesce(F.array_distinct(F.col("s.sku")), F.expr("cast(array() as array<string>)")).alias("skus"),
-        F.coalesce("truncated", F.lit(False)).alias("truncated"),
-    )
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.coalesce(most, F.lit(0)), F.lit(1))), start, step)
+    found = with_document(df, json_col).select(*df.columns, walked["skus"].alias("skus"))
+    return found.withColumn("skus", F.coalesce(F.array_distinct("skus"), no_skus))
 
 
 def jsonld_product_summary(df: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:

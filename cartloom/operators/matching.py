@@ -19,7 +19,7 @@ from cartloom.functions.text import (
     with_title_parts,
     with_title_similarity,
 )
-from cartloom.operators.title_pairs import SMALL_SESSION_TITLES, similarity_keys, smallest_supported_threshold, title_pairs
+from cartloom.operators.title_pairs import LEAST_KEYED, SMALL_SESSION_TITLES, all_title_pairs, similarity_keys, title_elements, title_pairs
 
 # Strategies in evaluation order with their confidence and whether they compare exactly.
 STRATEGIES = [
@@ -131,34 +131,38 @@ def product_keys(products: DataFrame) -> DataFrame:
     )
 
 
+def _best_titles(pairs: DataFrame) -> DataFrame:
+    """Best product of each cart title among the pairs, the first product on ties: ``session_id, key, best``."""
+    # a threshold is applied to the best pair only: a filter before the aggregate would score every pair twice
+    scored = with_title_similarity(pairs, "c_title", "p_title").groupBy("session_id", F.col("c_title").alias("key"))
+    return scored.agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("p_product_pos").alias("product_pos"))).alias("best"))
+
+
 def title_hits(cart: DataFrame, products: DataFrame, threshold: float, small_session: int = SMALL_SESSION_TITLES) -> DataFrame:
-    """Best product per (session, cart title) among titles at least ``threshold`` similar, as rows of the key table."""
-    if threshold < smallest_supported_threshold():
-        raise ValueError("title threshold must be above 0.5")
+    """Best product per (session, cart title) among titles at least ``threshold`` similar, as rows of the key table.
+
+    Below the similarity that blocking keys can settle, the cart titles that are still open are compared with all titles of their session.
+    """
     carts = cart.where(F.col("title") != "").select("session_id", comparable_title(F.col("title")).alias("title")).distinct()
     titles = (
         products.where(F.col("title") != "")
         .groupBy("session_id", comparable_title(F.col("title")).alias("title"))
         .agg(F.min("product_pos").alias("product_pos"))
     )
-    keys = similarity_keys(F.col("title"), threshold)
-    pairs = title_pairs(carts, titles, keys, keys, small_session)
-    # the threshold is applied to the best pair only: a filter before the aggregate would score every pair twice
-    return (
-        with_title_similarity(pairs, "c_title", "p_title")
-        .groupBy("session_id", F.col("c_title").alias("key"))
-        .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("p_product_pos").alias("product_pos"))).alias("best"))
-        .where(F.col("best.s") <= -threshold)
-        .select(
-            "session_id",
-            F.lit("title").alias("kind"),
-            "key",
-            F.struct(
-                F.col("best.product_pos").alias("product_pos"),
-                F.lit(0).alias("level"),
-                F.lit(None).cast("int").alias("variant_pos"),
-            ).alias("hit"),
-        )
+    keyed = max(threshold, LEAST_KEYED)
+    best = _best_titles(title_pairs(carts, titles, similarity_keys(keyed), title_elements, small_session)).where(F.col("best.s") <= -keyed)
+    if threshold < keyed:
+        open_ = carts.join(best.select("session_id", F.col("key").alias("title")), ["session_id", "title"], "left_anti")
+        best = best.unionByName(_best_titles(all_title_pairs(open_, titles)).where(F.col("best.s") <= -threshold))
+    return best.select(
+        "session_id",
+        F.lit("title").alias("kind"),
+        "key",
+        F.struct(
+            F.col("best.product_pos").alias("product_pos"),
+            F.lit(0).alias("level"),
+            F.lit(None).cast("int").alias("variant_pos"),
+        ).alias("hit"),
     )
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.functions.urls import with_url_components
+from cartloom.functions.urls import PUBLIC_SUFFIXES, with_url_components
 from cartloom.sources.registry import store_lookup
 
 # Generic identifier patterns and limits.
@@ -94,10 +96,12 @@ def with_product_ids(df: DataFrame, registry: DataFrame, store_col: str | None =
     )
 
 
-def url_analysis(urls: DataFrame, registry: DataFrame, url_col: str = "url", store_col: str | None = "store_id") -> DataFrame:
+def url_analysis(
+    urls: DataFrame, registry: DataFrame, url_col: str = "url", store_col: str | None = "store_id", suffixes: Iterable[str] = PUBLIC_SUFFIXES
+) -> DataFrame:
     """Identifiers per URL: ``store_id, product_ids, count, success, error, message`` next to the input columns."""
     kept = [c for c in urls.columns if c != store_col]
-    found = with_product_ids(with_url_components(urls, url_col), registry, store_col)
+    found = with_product_ids(with_url_components(urls, url_col, suffixes), registry, store_col)
     failed = F.coalesce(F.col("error"), F.col("id_error"))
     ok = failed.isNull()
     return found.select(
@@ -111,9 +115,9 @@ def url_analysis(urls: DataFrame, registry: DataFrame, url_col: str = "url", sto
     )
 
 
-def extracted_ids(df: DataFrame, registry: DataFrame, url_col: str, store_col: str, out_col: str) -> DataFrame:
+def extracted_ids(df: DataFrame, registry: DataFrame, url_col: str, store_col: str, out_col: str, suffixes: Iterable[str] = PUBLIC_SUFFIXES) -> DataFrame:
     """Adds the ids of a URL column; failures and missing URLs give an empty array."""
-    found = with_product_ids(with_url_components(df, url_col), registry, store_col)
+    found = with_product_ids(with_url_components(df, url_col, suffixes), registry, store_col)
     usable = F.col("error").isNull() & F.col("id_error").isNull()
     return found.select(
         *df.columns, F.coalesce(F.when(usable, F.col("found_ids")), F.expr(_NONE)).alias(out_col)

@@ -21,7 +21,7 @@ from cartloom.functions.text import (
     with_title_parts,
 )
 from cartloom.functions.urls import with_url_parts
-from cartloom.operators.title_pairs import SMALL_SESSION_TITLES, containment_keys, title_pairs
+from cartloom.operators.title_pairs import SMALL_SESSION_TITLES, containment_elements, containment_keys, title_pairs
 from cartloom.operators.url_mining import analyze_url_shape, bare_domain, non_product_filter, shape_ids
 from cartloom.sources.registry import dim_store_by_domain, dim_store_by_id
 
@@ -255,8 +255,7 @@ def _title_hits(lines: DataFrame, views: DataFrame, small_session: int = SMALL_S
         .groupBy("session_id", F.lower("name").alias("title"))
         .agg(F.min("first_pos").alias("product_pos"))
     )
-    ck, pk = containment_keys(F.col("title"))
-    pairs = title_pairs(carts, names, ck, pk, small_session)
+    pairs = title_pairs(carts, names, containment_keys(), containment_elements, small_session)
     hit = pairs.where(F.contains("c_title", "p_title") | F.contains("p_title", "c_title"))
     best = hit.groupBy("session_id", "c_title").agg(F.min("p_product_pos").alias("first_pos"))
     keyed = lines.select("session_id", "item_pos", F.lower("name").alias("c_title"))
@@ -346,7 +345,7 @@ def predict_match_strategy(views: DataFrame, items: DataFrame) -> DataFrame:
             F.coalesce(F.try_element_at(confidence, F.coalesce("predicted", F.lit(""))), F.lit("low")).alias("confidence"),
             F.col("predicted").isNotNull().alias("has_view"),
             all_hit.alias("alternatives"),
-            F.when(F.col("predicted").isNull(), F.lit("No matching product view found - cart item was not viewed before checkout"))
+            F.when(F.col("predicted").isNull(), F.lit("no viewed product matches"))
             .otherwise(F.concat(F.lit("Matches a viewed product by "), "predicted"))
             .alias("rationale"),
         )
@@ -446,8 +445,7 @@ def title_similarity_best(views: DataFrame, items: DataFrame, small_session: int
     title = js_trim(F.lower("name"))
     carts = lines.where(F.col("name").isNotNull()).select("session_id", title.alias("title")).distinct()
     names = product_views_by_url(views).where(F.col("name").isNotNull()).groupBy("session_id", title.alias("title")).agg(F.min("first_pos").alias("product_pos"))
-    ck, pk = containment_keys(F.col("title"))
-    pairs = title_pairs(carts, names, ck, pk, small_session)
+    pairs = title_pairs(carts, names, containment_keys(), containment_elements, small_session)
     best = (
         pairs.withColumn("score", simple_title_similarity(F.col("c_title"), F.col("p_title")))
         .groupBy("session_id", "c_title")
@@ -574,8 +572,7 @@ def title_prefix_suffix_mining(views: DataFrame, items: DataFrame, small_session
         .groupBy("session_id", F.lower("name").alias("title"))
         .agg(F.min("first_pos").alias("product_pos"))
     )
-    ck, pk = containment_keys(F.col("title"))
-    pairs = title_pairs(rests, names, ck, pk, small_session)
+    pairs = title_pairs(rests, names, containment_keys(), containment_elements, small_session)
     hit = (
         pairs.where(F.contains("p_title", "c_title") & ~F.col("p_title").startswith(F.col("c_brand")))
         .select("session_id", F.col("c_title").alias("rest"), F.col("c_brand").alias("brand_key"))
@@ -656,13 +653,13 @@ def improvement_suggestions(views: DataFrame, items: DataFrame) -> DataFrame:
     colors = unmatched_colors(views, items).groupBy("session_id").agg(F.count(F.lit(1)).alias("impact"))
     trusted = extracted_id_reliability(views, items).where("upgrade").select("session_id", F.col("matches").alias("impact"))
     parts = [
-        rows(with_params.join(unused, "session_id", "left_semi"), "ID Extraction", "Potential new query parameters for ID extraction", F.lit("medium")),
-        rows(images, "Image SKU Extraction", "New image URL SKU patterns detected", F.when(n > 0, F.lit("high")).otherwise(F.lit("low"))),
-        rows(prefixes, "Title Matching", "Brand prefix normalization opportunity", F.when(n > 1, F.lit("medium")).otherwise(F.lit("low"))),
-        rows(suffixes, "Title Matching", "Size/variant suffix normalization", F.lit("low")),
-        rows(units, "Price Matching", "Price format normalization needed", F.lit("medium")),
-        rows(colors, "Title + Color Matching", "Color synonym mapping opportunity", F.when(n > 2, F.lit("medium")).otherwise(F.lit("low"))),
-        rows(trusted, "Confidence Tuning", "Consider upgrading extracted_id to high confidence", F.lit("low")),
+        rows(with_params.join(unused, "session_id", "left_semi"), "ids", "unused_query_parameters", F.lit("medium")),
+        rows(images, "image_skus", "image_sku_patterns", F.when(n > 0, F.lit("high")).otherwise(F.lit("low"))),
+        rows(prefixes, "titles", "brand_prefixes", F.when(n > 1, F.lit("medium")).otherwise(F.lit("low"))),
+        rows(suffixes, "titles", "size_suffixes", F.lit("low")),
+        rows(units, "prices", "price_units", F.lit("medium")),
+        rows(colors, "title_colors", "color_synonyms", F.when(n > 2, F.lit("medium")).otherwise(F.lit("low"))),
+        rows(trusted, "confidence", "trusted_extracted_ids", F.lit("low")),
     ]
     out = parts[0]
     for more in parts[1:]:

@@ -150,7 +150,7 @@ def _segment_candidate(back: int) -> Column:
                 seg,
                 "numeric",
                 F.when(after_marker, F.lit("high")).otherwise(F.lit("medium")),
-                F.concat(F.lit("Numeric ID in pathname segment "), place, F.lit(" ("), seg, F.lit(")")),
+                F.concat(F.lit("number in path segment "), place, F.lit(" ("), seg, F.lit(")")),
             ),
         )
         .when(
@@ -159,13 +159,13 @@ def _segment_candidate(back: int) -> Column:
                 F.lower(F.regexp_extract(seg, PREFIXED, 2)),
                 "prefixed",
                 F.lit("high"),
-                F.concat(F.lit('Prefixed ID "'), F.regexp_replace(prefix, "[-_]$", ""), F.lit('-" in pathname ('), seg, F.lit(")")),
+                F.concat(F.lit('prefix "'), F.regexp_replace(prefix, "[-_]$", ""), F.lit('" before a number in the path ('), seg, F.lit(")")),
                 prefix,
             ),
         )
         .when(
             seg.rlike(UUID),
-            found(F.lower(seg), "uuid", F.lit("medium"), F.concat(F.lit("UUID in pathname segment "), place)),
+            found(F.lower(seg), "uuid", F.lit("medium"), F.concat(F.lit("uuid in path segment "), place)),
         )
         .when(
             after_marker & seg.rlike(ALPHANUMERIC),
@@ -173,7 +173,7 @@ def _segment_candidate(back: int) -> Column:
                 F.lower(seg),
                 "alphanumeric",
                 F.lit("high"),
-                F.concat(F.lit("Alphanumeric ID after product indicator ("), seg, F.lit(")")),
+                F.concat(F.lit("code after a product word in the path ("), seg, F.lit(")")),
             ),
         )
     )
@@ -235,7 +235,7 @@ def analyze_url_shape(df: DataFrame, url_col: str = "url") -> DataFrame:
     query_format = F.when(F.col("in_query.value").rlike(NUMERIC), F.lit("numeric")).otherwise(F.lit("alphanumeric"))
     described = F.coalesce(
         F.col("in_path.description"),
-        F.concat(F.lit('ID in search param "'), "in_query.param", F.lit('" ('), "in_query.value", F.lit(")")),
+        F.concat(F.lit('value of parameter "'), "in_query.param", F.lit('" ('), "in_query.value", F.lit(")")),
     )
     out = found.withColumn("fresh", fresh)
     return out.select(

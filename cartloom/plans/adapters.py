@@ -60,9 +60,9 @@ def product_urls(d: Dialect) -> str:
         WHEN 1 THEN 'http://shop.example.com/product/prod-' || {k(100000)} || '?utm_source=a'
         WHEN 2 THEN 'https://example.com/item?sku=' || {k(10000)} || '&ref=z'
         WHEN 3 THEN 'https://oldnavy.gap.com/browse/product.do?pid=' || {k(1000000)}
-        WHEN 4 THEN 'www.example.co.uk/a/' || {k(100000)} || '.html'
+        WHEN 4 THEN 'www.' || CASE p_partkey % 4 WHEN 0 THEN 'example.co.uk' WHEN 1 THEN 'alpha.com.gr' WHEN 2 THEN 'beta.com.gr' ELSE 'shop.gamma.co.hu' END || '/a/' || {k(100000)} || '.html'
         WHEN 5 THEN 'https://www.samsclub.com/ip/slug/prod' || {k(20000000)}
-        WHEN 6 THEN 'https://temu.com//x-g-' || {k(600000000000)} || '.html?sku_id=' || {k(17592700000)} || '&goods_id=' || {k(601099000000)}
+        WHEN 6 THEN 'https://temu.com//lamp-g-' || {k(510000000000)} || '.html?sku_id=' || {k(73300000000)} || '&goods_id=' || {k(420000000000)}
         WHEN 7 THEN 'HTTPS://M.Kohls.com/product/prd-' || {k(1000000)} || '/a.jsp?skuId=' || {k(70000000)} || '#frag'
         WHEN 8 THEN CASE p_partkey % 3 WHEN 0 THEN 'ftp://files.example.com/' || {k(0)} WHEN 1 THEN '' ELSE 'no url ' || {k(0)} END
         WHEN 9 THEN 'https://coachoutlet.com/on/x?b=2&a=1&pid=ABCDEFGHIJKLMNOPQRST' || {k(100000)}
@@ -301,6 +301,9 @@ def known_golden(d: Dialect) -> str:
 def jsonld_docs(d: Dialect) -> str:
     """Schema.org documents with nested offers, variants and models, some not products."""
     k = "cast(p_partkey as string)"
+    deep = f"""'"sku":"N8' || {k} || '"'"""
+    for i in reversed(range(8)):
+        deep = f"""'"sku":"N{i}' || {k} || '","{("offers", "hasVariant", "model")[i % 3]}":' || chr(123) || {deep} || chr(125)"""
     text = f"""
     SELECT p_partkey AS doc_id,
       CASE p_partkey % 9
@@ -310,7 +313,7 @@ def jsonld_docs(d: Dialect) -> str:
         WHEN 3 THEN '{{"@type":"Offer","name":"' || p_name || '"}}'
         WHEN 4 THEN '{{"@context":"https://schema.org","@type":"Product","name":"' || p_name || '","description":"d","model":[{{"sku":"W' || {k} || '","model":{{"sku":"X' || {k} || '"}}}}],"offers":{{"hasVariant":{{"isVariantOf":{{"model":{{"offers":[{{"sku":"Y' || {k} || '"}}]}}}}}}}}}}'
         WHEN 5 THEN '[{{"@context":"https://schema.org","@type":"Product","name":"x","sku":"Z' || {k} || '"}}]'
-        WHEN 6 THEN '{{"@context":"https://schema.org","@type":"Product","name":5,"sku":7}}'
+        WHEN 6 THEN CASE WHEN p_partkey % 2 = 0 THEN '{{"@context":"https://schema.org","@type":"Product","name":"deep",' || {deep} || '}}' ELSE '{{"@context":"https://schema.org","@type":"Product","name":5,"sku":7}}' END
         WHEN 7 THEN '{{"@context":"https://schema.org","@graph":[{{"@type":"Product","name":"g","sku":"G' || {k} || '"}}],"@type":"WebPage","name":"g"}}'
         ELSE '{{"@context":"https://schema.org","@type":"Product","name":"' || p_name || '","sku":["S' || {k} || '","S' || {k} || '","T"],"isVariantOf":[{{"hasVariant":[{{"sku":"T"}},{{"sku":"U' || {k} || '"}}]}}]}}'
       END AS json

@@ -69,7 +69,7 @@ PREDICT = f"""{BASE}, {HITS},
         CASE WHEN predicted IN ('image_sku', 'extracted_id_sku') THEN 'high' WHEN predicted IN ('url', 'extracted_id', 'title_color') THEN 'medium' ELSE 'low' END AS confidence,
         predicted IS NOT NULL AS has_view,
         array_to_string(list_filter([{", ".join(f"CASE WHEN s_{n} THEN '{n}' END" for n in [*_ORDER, "price"])}], lambda x: x IS NOT NULL AND x IS DISTINCT FROM predicted), '|') AS alternatives,
-        CASE WHEN predicted IS NULL THEN 'No matching product view found - cart item was not viewed before checkout' ELSE 'Matches a viewed product by ' || predicted END AS rationale
+        CASE WHEN predicted IS NULL THEN 'no viewed product matches' ELSE 'Matches a viewed product by ' || predicted END AS rationale
       FROM fin LEFT JOIN best USING (session_id, item_pos))"""
 
 QUALITY = f"""{BASE}, vp AS (SELECT session_id, err, sch, sku_list, url FROM ({parts_sql("SELECT session_id, url, sku_list FROM v")})),
@@ -120,13 +120,13 @@ def _suggest(cte: str, category: str, title: str, priority: str, impact: str, wh
 _URLS = f"""uq AS (SELECT session_id, q FROM ({parts_sql("SELECT session_id, url FROM v UNION ALL SELECT session_id, url FROM fin")}) WHERE err IS NULL AND q <> ''),
     unused AS (SELECT session_id, count(*) AS impact, bool_or(len(list_filter(string_split(q, '&'), lambda p: lower(split_part(p, '=', 1)) NOT IN ('id', 'productid', 'sku', 'pid', 'product_id'))) > 0) AS any_unused FROM uq GROUP BY 1)"""
 SUGGESTIONS = f"""WITH {BASE}, {HITS}, {MINED_TITLES}, {IMAGES}, {UNITS}, {COLORS}, {RELIABLE}, {_URLS}
-    {_suggest("unused", "ID Extraction", "Potential new query parameters for ID extraction", "'medium'", "impact", "any_unused")}
-    UNION ALL {_suggest("(SELECT session_id, coalesce(sum(images) FILTER (kind = 'numeric'), 0) AS n FROM images GROUP BY 1)", "Image SKU Extraction", "New image URL SKU patterns detected", "CASE WHEN n > 0 THEN 'high' ELSE 'low' END", "n")}
-    UNION ALL {_suggest("(SELECT session_id, count(prefix) AS n FROM mined GROUP BY 1)", "Title Matching", "Brand prefix normalization opportunity", "CASE WHEN n > 1 THEN 'medium' ELSE 'low' END", "n", "n > 0")}
-    UNION ALL {_suggest("(SELECT session_id, count(suffix) AS n FROM mined GROUP BY 1)", "Title Matching", "Size/variant suffix normalization", "'low'", "n", "n > 0")}
-    UNION ALL {_suggest("units", "Price Matching", "Price format normalization needed", "'medium'", "1", "cart_unit <> product_unit")}
-    UNION ALL {_suggest("(SELECT session_id, count(*) AS n FROM lost GROUP BY 1)", "Title + Color Matching", "Color synonym mapping opportunity", "CASE WHEN n > 2 THEN 'medium' ELSE 'low' END", "n")}
-    UNION ALL {_suggest("rel", "Confidence Tuning", "Consider upgrading extracted_id to high confidence", "'low'", "matches", "matches / attempts > 0.9")}"""
+    {_suggest("unused", "ids", "unused_query_parameters", "'medium'", "impact", "any_unused")}
+    UNION ALL {_suggest("(SELECT session_id, coalesce(sum(images) FILTER (kind = 'numeric'), 0) AS n FROM images GROUP BY 1)", "image_skus", "image_sku_patterns", "CASE WHEN n > 0 THEN 'high' ELSE 'low' END", "n")}
+    UNION ALL {_suggest("(SELECT session_id, count(prefix) AS n FROM mined GROUP BY 1)", "titles", "brand_prefixes", "CASE WHEN n > 1 THEN 'medium' ELSE 'low' END", "n", "n > 0")}
+    UNION ALL {_suggest("(SELECT session_id, count(suffix) AS n FROM mined GROUP BY 1)", "titles", "size_suffixes", "'low'", "n", "n > 0")}
+    UNION ALL {_suggest("units", "prices", "price_units", "'medium'", "1", "cart_unit <> product_unit")}
+    UNION ALL {_suggest("(SELECT session_id, count(*) AS n FROM lost GROUP BY 1)", "title_colors", "color_synonyms", "CASE WHEN n > 2 THEN 'medium' ELSE 'low' END", "n")}
+    UNION ALL {_suggest("rel", "confidence", "trusted_extracted_ids", "'low'", "matches", "matches / attempts > 0.9")}"""
 
 AVAILABLE = f"""WITH {BASE}, {HITS}, {SIMILAR},
     ap AS (SELECT session_id, count(*) AS products, count(*) FILTER (skus > 0) AS with_skus, count(*) FILTER (extracted_ids > 0) AS with_ids, count(*) FILTER (colors > 0) AS with_colors, coalesce(avg(skus) FILTER (skus > 0), 0) AS avg_skus FROM ups GROUP BY 1),

@@ -25,7 +25,8 @@ _FILTER = f"""filtered AS (SELECT *, list_filter([CASE WHEN coalesce(json_extrac
 # the document shapes are known, so their SKUs can be listed directly in depth-first order
 _K = "cast(doc_id AS varchar)"
 _SKUS = f"""CASE doc_id % 9 WHEN 0 THEN 'A' || {_K} || '|B' || {_K} || '|C' || {_K} || '|D' || {_K} WHEN 1 THEN 'V1' || {_K} || '|V2' || {_K} || '|V3' || {_K} || '|V4' || {_K}
-    WHEN 2 THEN 'E' || {_K} WHEN 4 THEN 'Y' || {_K} || '|W' || {_K} || '|X' || {_K} WHEN 8 THEN 'S' || {_K} || '|T|U' || {_K} ELSE '' END"""
+    WHEN 2 THEN 'E' || {_K} WHEN 4 THEN 'Y' || {_K} || '|W' || {_K} || '|X' || {_K} WHEN 8 THEN 'S' || {_K} || '|T|U' || {_K}
+    WHEN 6 THEN CASE WHEN doc_id % 2 = 0 THEN {" || '|' || ".join(f"'N{i}' || {_K}" for i in range(9))} ELSE '' END ELSE '' END"""
 _ASIN = f"""asins AS (SELECT r.*, CASE WHEN e IS NULL THEN upc END AS upc, CASE WHEN e IS NULL THEN sku END AS sku, CASE WHEN e IS NULL THEN mpn END AS mpn, e IS NULL AS success, e AS error,
     CASE e WHEN 'InvalidInputError' THEN 'Invalid ASINs provided' WHEN 'ProductNotFoundError' THEN 'Product not found for ASIN: ' || r.asin WHEN 'ApiResponseError' THEN 'API error: ' || coalesce(error_title, error_id) END AS message
     FROM (SELECT q.request_id, q.asin, nullif(m.upc, '') AS upc, m.sku, m.mpn, m.error_id, m.error_title,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartloom.functions.urls import BRAND_SUBDOMAINS, PUBLIC_SUFFIXES, TRACKING_PARAMS
+from cartloom.functions.urls import BRAND_SUBDOMAINS, COUNTRY_LEVELS, PUBLIC_SUFFIXES, TRACKING_PARAMS
 from cartloom.operators.url_mining import GENERIC_PARAMS, ID_PARAMS, NON_PRODUCT_RULES, SECONDARY_PARAMS
 from cartloom.plans.adapters import view_sql
 from cartloom.sources.store_rules import STORES
@@ -46,7 +46,7 @@ def components_sql(src: str, url: str = "url") -> str:
     FROM (SELECT *, list_filter(string_split(substr(hostname, 1, greatest(length(hostname) - length(base) - 1, 0)), '.'),
         lambda b: b IN {text_list(BRAND_SUBDOMAINS)})[1] AS brand
     FROM (SELECT *, CASE WHEN regexp_matches(hostname, '^[0-9.]+$') THEN hostname WHEN {tail(3)} IN {SUFFIX3} THEN {tail(4)}
-        WHEN {tail(2)} IN {SUFFIX2} THEN {tail(3)} ELSE {tail(2)} END AS base
+        WHEN {tail(2)} IN {SUFFIX2} OR regexp_matches({tail(2)}, '^({"|".join(COUNTRY_LEVELS)})[.][a-z][a-z]$') THEN {tail(3)} ELSE {tail(2)} END AS base
     FROM (SELECT *, string_split(hostname, '.') AS labels
     FROM (SELECT *,
       CASE WHEN starts_with(host, 'www.') AND NOT starts_with(host, 'www.www.') THEN substr(host, 5) ELSE host END AS hostname,
@@ -156,10 +156,10 @@ def shape_sql(mined: str) -> str:
         place = f"cast(len(segs) - {back} AS varchar)"
         cand.append(
             f"CASE WHEN NOT ({ok}) THEN NULL"
-            f" WHEN regexp_matches({s}, {num}) THEN {{'id': {s}, 'f': 'numeric', 'e': {back}, 'c': CASE WHEN {after} THEN 'high' ELSE 'medium' END, 'd': 'Numeric ID in pathname segment ' || {place} || ' (' || {s} || ')', 'x': cast(NULL AS varchar)}}"
-            f" WHEN regexp_matches({s}, {pre}) THEN {{'id': lower(regexp_extract({s}, {pre}, 2)), 'f': 'prefixed', 'e': {back}, 'c': 'high', 'd': 'Prefixed ID \"' || regexp_replace(regexp_extract({s}, {pre}, 1), '[-_]$', '') || '-\" in pathname (' || {s} || ')', 'x': regexp_extract({s}, {pre}, 1)}}"
-            f" WHEN regexp_matches({s}, {uuid}) THEN {{'id': lower({s}), 'f': 'uuid', 'e': {back}, 'c': 'medium', 'd': 'UUID in pathname segment ' || {place}, 'x': cast(NULL AS varchar)}}"
-            f" WHEN {after} AND regexp_matches({s}, {alnum}) THEN {{'id': lower({s}), 'f': 'alphanumeric', 'e': {back}, 'c': 'high', 'd': 'Alphanumeric ID after product indicator (' || {s} || ')', 'x': cast(NULL AS varchar)}} END"
+            f" WHEN regexp_matches({s}, {num}) THEN {{'id': {s}, 'f': 'numeric', 'e': {back}, 'c': CASE WHEN {after} THEN 'high' ELSE 'medium' END, 'd': 'number in path segment ' || {place} || ' (' || {s} || ')', 'x': cast(NULL AS varchar)}}"
+            f" WHEN regexp_matches({s}, {pre}) THEN {{'id': lower(regexp_extract({s}, {pre}, 2)), 'f': 'prefixed', 'e': {back}, 'c': 'high', 'd': 'prefix \"' || regexp_replace(regexp_extract({s}, {pre}, 1), '[-_]$', '') || '\" before a number in the path (' || {s} || ')', 'x': regexp_extract({s}, {pre}, 1)}}"
+            f" WHEN regexp_matches({s}, {uuid}) THEN {{'id': lower({s}), 'f': 'uuid', 'e': {back}, 'c': 'medium', 'd': 'uuid in path segment ' || {place}, 'x': cast(NULL AS varchar)}}"
+            f" WHEN {after} AND regexp_matches({s}, {alnum}) THEN {{'id': lower({s}), 'f': 'alphanumeric', 'e': {back}, 'c': 'high', 'd': 'code after a product word in the path (' || {s} || ')', 'x': cast(NULL AS varchar)}} END"
         )
     by_param = ", ".join(
         f"CASE WHEN regexp_matches({value(p)}, {num}) OR regexp_matches({value(p)}, {alnum}) THEN {{'id': lower({value(p)}), 'p': '{p}', 'v': {value(p)}}} END"
@@ -173,7 +173,7 @@ def shape_sql(mined: str) -> str:
       CASE WHEN in_path IS NOT NULL THEN in_path.c WHEN in_q IS NULL THEN 'low' ELSE 'high' END AS id_confidence,
       cast(in_path.e AS bigint) AS id_from_end, in_q.p AS id_param, in_path.x AS id_prefix,
       CASE WHEN m_err IS NOT NULL THEN 'Failed to parse URL' WHEN pid IS NULL THEN 'No pattern identified'
-        ELSE coalesce(in_path.d, 'ID in search param "' || in_q.p || '" (' || in_q.v || ')') || array_to_string(list_transform(fresh, lambda x: ' + ' || x.p || ' param'), '') END AS id_description
+        ELSE coalesce(in_path.d, 'value of parameter "' || in_q.p || '" (' || in_q.v || ')') || array_to_string(list_transform(fresh, lambda x: ' + ' || x.p || ' param'), '') END AS id_description
     FROM (SELECT *, list_filter(ex, lambda x, i: (pid IS NULL OR x.v <> pid) AND list_position(list_transform(ex, lambda y: y.v), x.v) = i) AS fresh
     FROM (SELECT *, coalesce(in_path.id, in_q.id) AS pid,
         CASE WHEN m_err IS NULL THEN list_filter([{extra}], lambda x: regexp_matches(x.v, {num})) ELSE [] END AS ex

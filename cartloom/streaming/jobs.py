@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cartloom.functions.urls import with_url_components
+from cartloom.functions.urls import PUBLIC_SUFFIXES, with_url_components
 from cartloom.operators.carts import normalize_raw_carts
 from cartloom.operators.enrichment import enrich_cart
 from cartloom.operators.product_ids import url_analysis
@@ -25,9 +25,9 @@ def stream_normalize_carts(events: DataFrame, registry: DataFrame) -> DataFrame:
     return normalize_raw_carts(events, registry)
 
 
-def stream_url_dedup(urls: DataFrame, event_time: str, delay: str, url_col: str = "url") -> DataFrame:
+def stream_url_dedup(urls: DataFrame, event_time: str, delay: str, url_col: str = "url", suffixes: Iterable[str] = PUBLIC_SUFFIXES) -> DataFrame:
     """First row per URL key within the watermark."""
-    keyed = with_url_components(urls, url_col).where(F.col("error").isNull())
+    keyed = with_url_components(urls, url_col, suffixes).where(F.col("error").isNull())
     return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["key"])
 
 

@@ -2,12 +2,14 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cartloom.functions.text import comparable_title, with_title_similarity, with_title_parts
 from cartloom.operators.enrichment import enrich_cart, enrichment_summary, store_mismatch_guard
 from cartloom.operators.matching import title_hits
 from cartloom.operators.sessions import title_similarity_best
+from cartloom.operators.title_pairs import similarity_keys, title_elements, title_pairs
 
 VARIANT = "struct<sku: string, url: string, image_url: string, price: bigint, currency: string, color: string, extracted_ids: array<string>>"
 IDS = "product_ids array<string>, extracted_ids array<string>, skus array<string>, gtins array<string>, mpns array<string>"
@@ -77,17 +79,29 @@ def random_titles(seed, n):
     return out
 
 
-def test_blocked_titles_equal_brute_force(spark):
-    c = cart(spark, *[{"item_pos": i, "title": t} for i, t in enumerate(random_titles(1, 60))])
-    p = products(spark, *[{"product_pos": i, "title": t} for i, t in enumerate(random_titles(2, 60))])
-    a = c.select("item_pos", comparable_title(F.col("title")).alias("a")).where("trim(a) != '' or a = ''")
+SHORT = ["abcde", "abc", "axcye", "axc", "a", "b", "ab", "ba", "aab", "abb c", "c abb", "xyz", "x y z"]
+
+
+@pytest.mark.parametrize(("threshold", "small"), [(t, 0) for t in (0, 0.3, 0.5, 0.55, 0.6, 0.66, 0.8, 0.95)] + [(0.3, 1000), (0.8, 1000)])
+def test_titles_equal_brute_force(spark, threshold, small):
+    c = cart(spark, *[{"item_pos": i, "title": t} for i, t in enumerate(random_titles(1, 40) + SHORT)])
+    p = products(spark, *[{"product_pos": i, "title": t} for i, t in enumerate(random_titles(2, 40) + SHORT[1::2])])
+    a = c.select("item_pos", comparable_title(F.col("title")).alias("a"))
     b = p.select("product_pos", comparable_title(F.col("title")).alias("b"))
     best = (
-        with_title_similarity(a.crossJoin(b), "a", "b").where("score >= 0.8").groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "product_pos")).alias("m"))
+        with_title_similarity(a.crossJoin(b), "a", "b").where(f"score >= {threshold}").groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "product_pos")).alias("m"))
     )
     want = {(r.a, r.m.product_pos) for r in best.collect()}
-    for small in (0, 1000):
-        assert {(r.key, r.hit.product_pos) for r in title_hits(c, p, 0.8, small_session=small).collect()} == want
+    assert {(r.key, r.hit.product_pos) for r in title_hits(c, p, threshold, small_session=small).collect()} == want
+
+
+def test_titles_that_share_a_brand_dont_all_meet(spark):
+    rng = random.Random(5)
+    title = lambda: "zephyrion " + " ".join("".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(7)) for _ in range(3))
+    c, p = ([(1, title(), i) for i in range(400)] for _ in range(2))
+    carts, names = spark.createDataFrame(c, "session_id long, title string, n int").drop("n"), spark.createDataFrame(p, "session_id long, title string, product_pos int")
+    # what meets by chance are rare character pairs, not the brand
+    assert title_pairs(carts, names, similarity_keys(0.8), title_elements).count() < 60_000
 
 
 def test_blocked_containment_equals_direct(spark):
