@@ -179,7 +179,7 @@ CARTS = f"""lines AS (SELECT event_id, j, pos - 1 AS item_pos, json_extract(j, '
     typed AS (SELECT event_id, item_pos, store_id, item ->> '$.name' AS name, item ->> '$.url' AS url, item ->> '$.image_url' AS image_url,
       cast(item ->> '$.item_price' AS double) AS item_price, cast(item ->> '$.quantity' AS bigint) AS quantity, cast(item ->> '$.line_total' AS bigint) AS line_total FROM lines),
     valid AS (SELECT * FROM typed WHERE coalesce(trim(url), '') <> '' OR (coalesce(trim(name), '') <> '' AND item_price IS NOT NULL)),
-    deduped AS (SELECT * FROM valid WHERE coalesce(trim(url), '') = '' UNION ALL
+    deduped AS MATERIALIZED (SELECT * FROM valid WHERE coalesce(trim(url), '') = '' UNION ALL
       SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY event_id, url ORDER BY item_pos) AS rn FROM valid WHERE coalesce(trim(url), '') <> '') WHERE rn = 1)"""
 
 _READABLE = "coalesce(json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN raw END) = 'OBJECT', false)"
@@ -224,10 +224,12 @@ ORACLE: dict[str, str] = {
         SELECT event_id, len(v) = 0 AS is_valid, array_to_string(list_sort(v), '|') AS reason FROM checked""",
     "cart_lines": f"WITH {CARTS} SELECT event_id, item_pos, store_id, name, url, item_price FROM typed",
     "cart_line_filter": f"WITH {CARTS} SELECT event_id, item_pos, name, url FROM valid",
-    "normalize_cart_events": f"""WITH {CARTS}, keyed AS (SELECT event_id || '#' || item_pos AS lkey, * FROM deduped)
+    "normalize_cart_events": f"""WITH {CARTS}, urls AS MATERIALIZED (SELECT row_number() OVER () AS ukey, * FROM (SELECT DISTINCT url, store_id FROM deduped)),
+        x AS MATERIALIZED (SELECT * FROM {_ids_of("SELECT ukey, url, store_id FROM urls", "ukey")}),
+        keyed AS (SELECT d.*, u.ukey FROM deduped d JOIN urls u ON d.url IS NOT DISTINCT FROM u.url AND d.store_id IS NOT DISTINCT FROM u.store_id)
         SELECT event_id, item_pos, CASE WHEN trim(name) <> '' THEN name END AS title, CASE WHEN trim(keyed.url) <> '' THEN keyed.url END AS url, CASE WHEN trim(image_url) <> '' THEN image_url END AS image_url,
         keyed.store_id, cast(item_price AS bigint) AS price, quantity, line_total, '' AS product_ids, coalesce(array_to_string(x.extracted_ids, '|'), '') AS extracted_ids
-        FROM keyed LEFT JOIN {_ids_of("SELECT lkey, url, store_id FROM keyed", "lkey")} x ON keyed.lkey = x.lkey""",
+        FROM keyed LEFT JOIN x USING (ukey)""",
     "cart_dedup": f"""WITH l AS (SELECT *, coalesce(CASE WHEN trim(url) <> '' THEN url END, nullif(array_to_string(extracted_ids, '|'), '')) AS k FROM ({view_sql("cart_lines")}))
         SELECT session_id, item_pos, url, quantity FROM (SELECT *, row_number() OVER (PARTITION BY session_id, k ORDER BY item_pos) AS rn FROM l) WHERE rn = 1 OR k IS NULL""",
     "cart_batch_summary": f"""WITH {CARTS}, m AS MATERIALIZED (SELECT event_id, {_READABLE} AS ok FROM ({view_sql("mixed_carts")})) SELECT count(*) AS total, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok) AS failed,

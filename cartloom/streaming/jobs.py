@@ -65,12 +65,14 @@ def stream_session_enrich(
     """Enriches the carts of sessions as they close.
 
     The stream carries only the closed sessions; cart lines and products come from the tables the normalising streams
-    write, cut down to those sessions. ``sink`` must overwrite what an earlier try of the same batch wrote. Lines that
-    arrive after their session closed stay in their table and are found by ``late_lines``.
+    write. The loaders get ``session_id, session_start, session_end`` of the closed windows: a loader of a table with event times takes the
+    lines within them, so that a session id with several windows is enriched window by window, and prunes the table's days by the
+    earliest start and latest end. ``sink`` must overwrite what an earlier try of the same batch wrote. Lines that arrive after their
+    session closed stay in their table and are found by ``late_lines``.
     """
 
     def enrich(batch: DataFrame, batch_id: int) -> None:
-        closed = batch.select("session_id").distinct()
+        closed = batch.select("session_id", "session_start", "session_end").distinct()
         sink(enrich_cart(load_cart(closed), load_products(closed), min_confidence), batch_id)
 
     return (
