@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from functools import wraps
-
-from pyspark.sql import DataFrame, SparkSession
-
 from cartloom.plans import (
     event_oracle,
     event_queries,
@@ -19,20 +15,10 @@ from cartloom.plans import (
     url_queries,
 )
 from cartloom.plans.url_queries import Query
-from cartloom.session import apply_settings
-
-
-def _registered(query: Query) -> Query:
-    @wraps(query)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        apply_settings(spark)
-        return query(spark, sf_dir)
-
-    return run
 
 
 QUERIES: dict[str, Query] = {
-    name: _registered(query)
+    name: query
     for part in (url_queries, event_queries, match_queries, session_queries, table_queries)
     for name, query in part.QUERIES.items()
 }

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 def build_session(app_name: str = "cartloom", master: str | None = None, cores: int | None = None) -> SparkSession:
     """Session for tests and local benches; a cluster passes its own session to every job instead."""
     cores = cores or os.cpu_count() or 8
-    spark = (
+    return (
         SparkSession.builder.appName(app_name)
         .master(master or f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", str(cores))
@@ -24,17 +24,6 @@ def build_session(app_name: str = "cartloom", master: str | None = None, cores:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-    apply_settings(spark)
-    return spark
-
-
-def apply_settings(spark: SparkSession) -> None:
-    """Settings the jobs need in any session.
-
-    The URL steps are long chains of derived columns; inferring constraints over them below a join grows exponentially
-    with the chain and adds nothing, since the filters that matter are written out.
-    """
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
