@@ -83,7 +83,8 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight:
     left = left.withColumn("s_", F.coalesce(spread, F.lit(0)))
     cold = right.select(*[F.col(k).alias(f"c_{k}") for k in keys], F.struct(*values, F.lit(1).alias("is_")).alias("c_"), F.lit(0).cast("long").alias("c_s"))
     on = [F.col(k) == F.col(f"c_{k}") for k in keys] + [F.col("s_") == F.col("c_s")]
-    both = left.join(cold, on, "left").withColumn("v_", F.coalesce("h_", "c_"))
+    # merged at any size: the plan, and what it moves, is the same for small and for large inputs
+    both = left.join(cold.hint("merge"), on, "left").withColumn("v_", F.coalesce("h_", "c_"))
     if how == "inner":
         both = both.filter(F.col("v_").isNotNull())
     return both.select(*[c for c in left.columns if c not in ("h_", "s_")], *[F.col(f"v_.{c}").alias(c) for c in values])

@@ -22,44 +22,47 @@ def _places(symbols: np.ndarray, length: np.ndarray, kinds: int) -> tuple[np.nda
     return after - count, after
 
 
-def _induce(symbols: np.ndarray, length: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, begin: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Suffix array from the leftmost-smaller positions in the order ``seeds`` (rows padded with -1)."""
-    lanes, width = symbols.shape
-    kinds = begin.shape[1]
-    array = np.full((lanes, width), -1, dtype=np.int32)
-    flat_array, flat_symbols, flat_smaller = array.ravel(), symbols.ravel(), smaller.ravel()
-    row, pair = np.arange(lanes, dtype=np.int64) * width, np.arange(lanes, dtype=np.int64) * kinds
-    tail = after.copy().ravel()
-    for k in range(seeds.shape[1] - 1, -1, -1):
-        lane = np.flatnonzero(seeds[:, k] >= 0)
-        at = seeds[lane, k]
-        bucket = pair[lane] + flat_symbols[row[lane] + at]
-        tail[bucket] -= 1
-        flat_array[row[lane] + tail[bucket]] = at
-    by_column = np.ascontiguousarray
-    head = begin.copy().ravel()
+def _induce(bucket: np.ndarray, before_larger: np.ndarray, before_smaller: np.ndarray, seeds: np.ndarray, begin: np.ndarray, after: np.ndarray, width: int) -> np.ndarray:
+    """Suffix array, padded with -1, from the leftmost-smaller positions in the order ``seeds`` (rows padded with -1).
+
+    Texts are addressed by cell, lane * width + position; ``bucket`` has the bucket of each cell's symbol, and ``before_larger`` and
+    ``before_smaller`` that of the cell before, where it is of that kind, else -1. The array is kept with lanes side by side, so a step
+    reads one row; heads and tails of buckets are places in it.
+    """
+    lanes, none = len(begin), len(before_larger) - 1
+    array = np.full((width, lanes), none, dtype=np.int64)
+    flat, lane = array.reshape(-1), np.arange(lanes, dtype=np.int64)[:, None]
+    head, end = (begin * lanes + lane).ravel(), (after * lanes + lane).ravel()
+    tail = end.copy()
+    cells = np.where(seeds >= 0, seeds + lane * width, -1).T
+    for k in range(len(cells) - 1, -1, -1):
+        cell = cells[k]
+        cell = cell[cell >= 0]
+        home = bucket[cell]
+        place = tail[home] - lanes
+        flat[place] = cell
+        tail[home] = place
     for i in range(width):
-        before = array[:, i] - 1
-        lane = np.flatnonzero(before >= 0)
-        cell = row[lane] + before[lane]
-        larger = ~flat_smaller[cell]
-        lane, cell = lane[larger], cell[larger]
-        if len(lane):
-            bucket = pair[lane] + flat_symbols[cell]
-            flat_array[row[lane] + head[bucket]] = cell - row[lane]
-            head[bucket] += 1
-    tail = by_column(after).copy().ravel()
+        cell = array[i]
+        home = before_larger[cell]
+        some = (home >= 0).nonzero()[0]
+        if some.size:
+            home = home[some]
+            place = head[home]
+            flat[place] = cell[some] - 1
+            head[home] = place + lanes
+    tail = end
     for i in range(width - 1, -1, -1):
-        before = array[:, i] - 1
-        lane = np.flatnonzero(before >= 0)
-        cell = row[lane] + before[lane]
-        less = flat_smaller[cell]
-        lane, cell = lane[less], cell[less]
-        if len(lane):
-            bucket = pair[lane] + flat_symbols[cell]
-            tail[bucket] -= 1
-            flat_array[row[lane] + tail[bucket]] = cell - row[lane]
-    return array
+        cell = array[i]
+        home = before_smaller[cell]
+        some = (home >= 0).nonzero()[0]
+        if some.size:
+            home = home[some]
+            place = tail[home] - lanes
+            flat[place] = cell[some] - 1
+            tail[home] = place
+    out = array.T
+    return np.where(out == none, -1, out - lane * width).astype(np.int32)
 
 
 def _packed(values: np.ndarray, chosen: np.ndarray, count: np.ndarray, fill: int) -> np.ndarray:
@@ -95,9 +98,16 @@ def suffix_arrays(symbols: np.ndarray, length: np.ndarray) -> np.ndarray:
         return out
     kinds = int(symbols.max()) + 1
     begin, after = _places(symbols, length, kinds)
+    bucket = (np.arange(lanes, dtype=np.int64)[:, None] * kinds + symbols).ravel()
+    first = np.arange(lanes) * width
+    before_larger, before_smaller = (np.full(lanes * width + 1, -1, dtype=np.int64) for _ in range(2))
+    before_larger[1:-1] = np.where(~smaller.ravel()[:-1], bucket[:-1], -1)
+    before_smaller[1:-1] = np.where(smaller.ravel()[:-1], bucket[:-1], -1)
+    before_larger[first] = before_smaller[first] = -1
+    before_larger[-1] = before_smaller[-1] = -1
     place = np.broadcast_to(np.arange(width, dtype=np.int32)[None, :], symbols.shape)
     seeds = _packed(place, leftmost, count, -1)
-    array = _induce(symbols, length, smaller, seeds, begin, after)
+    array = _induce(bucket, before_larger, before_smaller, seeds, begin, after, width)
     in_order = (array >= 0) & np.take_along_axis(leftmost, np.maximum(array, 0), axis=1)
     ordered = _packed(array, in_order, count, -1)
     # names: one more than the predecessor's where the substrings differ
@@ -134,7 +144,7 @@ def suffix_arrays(symbols: np.ndarray, length: np.ndarray) -> np.ndarray:
         deeper = suffix_arrays(reduced, n_some)
         lane, k = np.nonzero(deeper >= 0)
         ordered[some[lane], k] = seeds[some[lane], deeper[lane, k]]
-    array = _induce(symbols, length, smaller, ordered, begin, after)
+    array = _induce(bucket, before_larger, before_smaller, ordered, begin, after, width)
     array[length == 1, 0] = 0
     return array
 

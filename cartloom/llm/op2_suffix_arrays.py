@@ -28,7 +28,7 @@ from cartloom.llm.induced import permuted_common_prefixes, suffix_arrays
 from cartloom.llm.repeats import Unit, covered, distinct_texts, marks_of_texts, repeated_pieces, with_digest
 
 WINDOW = 400
-GROUP_PIECES = 64
+GROUP_PIECES = 12
 #: Windows of a range at the second and at the last level.
 RANGES = (26, 1)
 #: Cells of the arrays that are worked on at once.
@@ -55,7 +55,7 @@ def repeated_positions(groups: list[list[bytes]], window: int) -> list[list[np.n
     while i < len(order):
         j = i + 1
         # lanes of like length together: little padding, and as many at once as the cells allow
-        while j < len(order) and (j + 1 - i) * size[order[j]] <= CELLS and size[order[j]] <= 1.5 * size[order[i]] + 64:
+        while j < len(order) and (j + 1 - i) * size[order[j]] <= CELLS and size[order[j]] <= 2 * size[order[i]] + 64:
             j += 1
         lanes = order[i:j]
         length = np.array([size[g] for g in lanes])

@@ -148,7 +148,7 @@ def repeated_pieces(texts: DataFrame, unit: Unit) -> DataFrame:
                         ["digest", "copies", "first", "windows", "anchor", "key", "piece"],
                     )
 
-    joined = texts.join(wanted, "digest").select("digest", "text", "copies", "keys")
+    joined = texts.join(wanted.hint("merge"), "digest").select("digest", "text", "copies", "keys")
     return written(joined.mapInArrow(run, "digest binary, copies long, first int, windows int, anchor int, key long, piece binary"), "pieces")
 
 
