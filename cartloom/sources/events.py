@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartloom.functions.urls import settled
+
 _CONTEXT = (
     "app_version string, application_type string, application_subtype string, browser string, browser_agent string, "
     "client string, platform string, page_url string, session_id bigint, tenant string, timestamp bigint, toolbarid bigint, "
@@ -96,7 +98,8 @@ def _is_object(raw_col: str) -> Column:
 
 def parse_product_views(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Replaces a JSON text column by the typed event struct ``e``, which is null where the text is no JSON object."""
-    return df.withColumn("e", F.when(_is_object(raw_col), F.from_json(raw_col, PRODUCT_VIEW_SCHEMA))).drop(raw_col)
+    # settled, so that the text is parsed once and not once for each field read later
+    return settled(df.withColumn("e", F.when(_is_object(raw_col), F.from_json(raw_col, PRODUCT_VIEW_SCHEMA))).drop(raw_col), "e")
 
 
 def parse_cart_events(df: DataFrame, raw_col: str = "raw") -> DataFrame:
@@ -104,7 +107,7 @@ def parse_cart_events(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     text is no JSON object."""
     parsed = df.withColumn("e", F.when(_is_object(raw_col), F.from_json(raw_col, CART_SCHEMA))).drop(raw_col)
     listed = F.coalesce(F.col("e.product_list"), F.from_json(F.lit("[]"), "array<" + _item_type() + ">"))
-    return parsed.withColumn("e", F.when(F.col("e").isNotNull(), F.col("e").withField("product_list", listed)))
+    return settled(parsed.withColumn("e", F.when(F.col("e").isNotNull(), F.col("e").withField("product_list", listed))), "e")
 
 
 def _item_type() -> str:
