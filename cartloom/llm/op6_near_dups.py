@@ -5,7 +5,7 @@ keys, and in each bucket the collision-corrected similarity estimate joins docum
 sets decide: blocks of sets are compared with each other, exactly, and the links' connected components are the classes.
 
 Documents with equal sets are one from the start, so thousands of copies cost one. Buckets and clusters are compared block by block, a
-block holding about BLOCK members, so a large group spreads over tasks; what a comparison returns is one row a member, not its pairs.
+block holding a bounded number of members, so a large group spreads over tasks; what a comparison returns is one row a member, not its pairs.
 
 Defined cases: a null or wordless text has an empty set and links with nothing; a text of fewer words than a shingle is one shingle; ids
 that are null never name a class unless all its ids are null; rows with the same id are documents of their own that share it; an empty
@@ -28,7 +28,9 @@ from cartloom.llm.components import components
 
 SHINGLE = 5
 PERCENT = 80
-BLOCK = 128
+#: Members of a block, for comparing sketches and full sets.
+SKETCH_BLOCK = 1024
+SET_BLOCK = 128
 #: Standard errors by which an estimate may fall short of the similarity.
 MARGIN = 4.5
 
@@ -44,10 +46,10 @@ def _labels(linked: np.ndarray) -> np.ndarray:
         label = least
 
 
-def _blocks(members: DataFrame, group: str, size: str, payload: list[str], compare: Callable[[list, int], Iterator[tuple[bytes, bytes]]]) -> DataFrame:
+def _blocks(members: DataFrame, group: str, size: str, block: int, payload: list[str], compare: Callable[[list, int], Iterator[tuple[bytes, bytes]]]) -> DataFrame:
     """Edges ``a``, ``b`` between members of a group. Members are dealt into blocks and every two blocks meet once; ``compare`` gets the members of
     two blocks, one after the other, and the size of the first (0: one block with itself)."""
-    count = F.ceil(F.col(size) / BLOCK).cast("int")
+    count = F.ceil(F.col(size) / block).cast("int")
     dealt = members.select(F.col(group).alias("g"), count.alias("blocks"), F.pmod(F.hash("node"), count).alias("i"), F.struct("node", *payload).alias("m"))
     packed = dealt.groupBy("g", "blocks", "i").agg(F.collect_list("m").alias("one"))
     one = packed.select("one", F.expr("slice(one, 1, 0)").alias("two")).filter(F.size("one") > 1)
@@ -57,10 +59,11 @@ def _blocks(members: DataFrame, group: str, size: str, payload: list[str], compa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[bytes, bytes]] = []
+            edges: set[tuple[bytes, bytes]] = set()
             for r in range(batch.num_rows):
                 first, second = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                found += compare(first + second, len(first) if second else 0)
+                edges.update(compare(first + second, len(first) if second else 0))
+            found = list(edges)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return one.unionByName(met).mapInArrow(run, "a binary, b binary")
@@ -163,8 +166,8 @@ def classes(docs: DataFrame, text: str, width: int, percent: int) -> tuple[DataF
     bands = written(_bands(sets), "bands")
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = lookup_join(bands, shared, ["band"], "size")
-    met = met.join(sets.select("node", "n", "registers"), "node")
-    near = components(_blocks(met, "band", "size", ["n", "registers"], _similar_sketches(percent / 100)))
+    met = met.join(sets.select("node", "n", "registers").hint("merge"), "node")
+    near = components(_blocks(met, "band", "size", SKETCH_BLOCK, ["n", "registers"], _similar_sketches(percent / 100)))
     clusters = written(near, "clusters")
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     members = written(lookup_join(clusters, sizes, ["root"], "size").join(sets.select("node", "text_digest"), "node"), "members")
@@ -179,7 +182,7 @@ def classes(docs: DataFrame, text: str, width: int, percent: int) -> tuple[DataF
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(found)), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "members"])
 
     full = texts.mapInArrow(collect, "node binary, members binary").join(members.select("node", "root", "size"), "node")
-    links = _blocks(full, "root", "size", ["members"], _similar_sets(percent))
+    links = _blocks(full, "root", "size", SET_BLOCK, ["members"], _similar_sets(percent))
     return table, components(links)
 
 
@@ -205,7 +208,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col(number))
     judged = near_duplicates(numbered.select(order.alias("o"), "text"), "o")
     best = judged.filter("kept").select(F.col(f"id.{number}").alias("best_"))
-    return numbered.join(best, F.col(number) == F.col("best_"), "left_semi").select(*docs.columns)
+    return numbered.join(best.hint("merge"), F.col(number) == F.col("best_"), "left_semi").select(*docs.columns)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ from cartloom.llm import op6_near_dups, sketches
 
 @pytest.mark.parametrize(("width", "percent", "block"), [(3, 85, 128), (5, 80, 4)])
 def test_equals_brute_force(docs, rows, width, percent, block, monkeypatch):
-    monkeypatch.setattr(op6_near_dups, "BLOCK", block)
+    monkeypatch.setattr(op6_near_dups, "SKETCH_BLOCK", block)
+    monkeypatch.setattr(op6_near_dups, "SET_BLOCK", block)
     got = {r.id: (r.n_shingles, r.component_id, r.kept) for r in op6_near_dups.near_duplicates(docs, width=width, percent=percent).collect()}
     texts = [r[1] for r in rows]
     for row, name in zip(rows, near_classes(texts, width, percent), strict=True):
