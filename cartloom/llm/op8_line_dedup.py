@@ -132,7 +132,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     counted = table.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     found = written(lookup_join(table, counted, ["hash"], "n").select("doc_key", "id", "line"), "chunks")
     asked = found.groupBy("doc_key").agg(F.collect_set("line").alias("lines"))
-    texts = keyed.join(asked, "doc_key").select("doc_key", F.col(at_id).alias("id"), "text", "lines").dropDuplicates(["doc_key"])
+    texts = keyed.join(asked.hint("merge"), "doc_key").select("doc_key", F.col(at_id).alias("id"), "text", "lines").dropDuplicates(["doc_key"])
     compared = written(_chunk_bytes(texts, divisor), "compared")
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("doc_key"), F.col("line"))
     # grouping by the bytes is the comparison; equal chunks of a task are added up before they are shuffled
@@ -141,7 +141,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     repeats = lookup_join(compared.select(F.unhex(F.md5("chunk")).alias("chunk_id"), order.alias("place")), equal, ["chunk_id"], "n")
     gone = repeats.filter("place > first").groupBy(F.col("place.doc_key").alias("doc_key")).agg(F.collect_set("place.line").alias("lines"))
     kept = [c for c in plain if names[c].lower() not in new]
-    out = _kept_lines(keyed.join(gone, "doc_key", "left"), kept, divisor)
+    out = _kept_lines(keyed.join(gone.hint("merge"), "doc_key", "left"), kept, divisor)
     return out.toDF(*[names.get(c, c) for c in out.columns])
 
 
