@@ -1,11 +1,15 @@
 """Removal of repeated multi-line chunks with content-defined boundaries.
 
-A rolling hash over the hashes of two neighbouring lines ends a chunk where it is divisible by ``DIVISOR``, so the boundaries within a passage are
-the same wherever it stands and whatever lines come before. Chunks of at least two lines with words whose hash repeats are fetched and
-compared byte by byte; of equal chunks the first stays (by document id, then place in the text) and the others are removed.
+Chunks come in two overlapping levels, and the boundaries of both follow from the lines themselves, so they are the same wherever a passage
+stands. Fine chunks reach from each line with words to the next one: any repeated run of lines is a union of them, so a match extends
+line by line to both sides as far as the lines are equal. Coarse chunks end where a line's own hash is divisible by ``DIVISOR``, hold two
+lines with words at least and cover the whole text, lines without words included. Chunks whose hash repeats are fetched and compared byte
+by byte; of equal chunks the first stays (by document id, then place in the text) and the lines of the others are removed, so the first
+place of every line stays. A single line that repeats between other neighbours stays as well.
 
 Defined cases: a null text stays null and has no lines; lines are what stands between line feeds, and those that stay are joined by line
-feeds again; a document whose every line goes keeps an empty text; rows that are equal in id and text count as one document; null ids
+feeds again; a document whose every line goes keeps an empty text; of lines that
+repeat at once (A A A) the first stays; rows that are equal in id and text count as one document; null ids
 come last in order; an empty table gives no rows; input columns named like an output column are replaced.
 """
 
@@ -15,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,58 +29,80 @@ from cartloom.llm.common import lookup_join, read, written
 
 DIVISOR = 3
 LEAST_LINES = 2
-_BYTES, _PAIRS, _CHUNKS = Rolling(51), Rolling(52), Rolling(53)
+_BYTES, _CHUNKS = Rolling(51), Rolling(53)
 
 
 def chunks(part: Slice, divisor: int = DIVISOR) -> tuple[np.ndarray, ...]:
-    """Row, first line in the row, number of lines, byte span and hash of the chunks with LEAST_LINES lines that hold a word."""
+    """Row, first line in the row, number of lines, byte span, hash and place of the chunks; each has LEAST_LINES lines that hold a word.
+
+    The place is twice the first line, plus one for coarse chunks."""
     start, end, row, bound = line_spans(part)
     key = mix(_BYTES.spans(_BYTES.prefix(_BYTES.table[part.data]), start, end) + (end - start).astype(np.uint64))
-    pair = np.append(np.uint64(1), mix(_PAIRS.windows(_PAIRS.prefix(key), 2)))  # of each line and the one before
-    last = pair % np.uint64(divisor) == 0
-    last[bound[:-1]] = False  # a text's first line has no line before it
-    last[bound[1:] - 1] = True
-    stop = np.flatnonzero(last) + 1
-    first = np.append(0, stop[:-1])
-    hashes = mix(_CHUNKS.spans(_CHUNKS.prefix(key), first, stop) + (stop - first).astype(np.uint64))
     w = words(part)
-    full = np.append(0, np.cumsum(np.searchsorted(w.start, end) > np.searchsorted(w.start, start)))
-    many = np.flatnonzero(full[stop] - full[first] >= LEAST_LINES)
-    first, stop = first[many], stop[many]
-    return row[first], first - bound[row[first]], stop - first, start[first], end[stop - 1], hashes[many]
+    full = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
+    before = np.append(0, np.cumsum(full))
+    worded = np.flatnonzero(full)
+    # fine: neighbours among the lines with words
+    last = LEAST_LINES - 1
+    near = np.flatnonzero(row[worded[last:]] == row[worded[: len(worded) - last]])
+    fine, fine_stop = worded[near], worded[near + last] + 1
+    # coarse: of lines with words in a row that could all end a chunk each second one does; none that leaves too few before or behind it
+    ends = key[worded] % np.uint64(divisor) == 0
+    at = before[worded] - before[bound[row[worded]]]
+    behind = before[bound[row[worded] + 1]] - before[worded] - 1
+    count = np.arange(len(worded))
+    since = count - np.maximum.accumulate(np.where(~ends | (at == 0), count, 0))
+    cut = ends & (since % LEAST_LINES == LEAST_LINES - 1) & (behind >= LEAST_LINES)
+    whole = bound[1:][before[bound[1:]] - before[bound[:-1]] >= LEAST_LINES]
+    stop = np.sort(np.concatenate([worded[cut] + 1, whole]))
+    first = np.maximum(np.append(0, stop[:-1]), bound[row[stop - 1]])
+    other = ~((before[stop] - before[first] == LEAST_LINES) & full[first] & full[stop - 1])  # those that aren't fine chunks
+    first, stop = np.append(fine, first[other]), np.append(fine_stop, stop[other])
+    level = np.arange(len(first)) >= len(fine)
+    order = np.lexsort((level, first))
+    first, stop, level = first[order], stop[order], level[order]
+    hashes = mix(_CHUNKS.spans(_CHUNKS.prefix(key), first, stop) + (stop - first).astype(np.uint64))
+    line = first - bound[row[first]]
+    return row[first], line, stop - first, start[first], end[stop - 1], hashes, 2 * line + level
+
+
+def _among(lists: pa.ListArray, part: Slice, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Indices of the chunks whose place stands in the list of their row."""
+    lists = lists.slice(part.first, len(part.start))
+    n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+    asked = (np.repeat(np.arange(len(n)), n) << 32) | np.asarray(lists.flatten()).astype(np.int64)
+    return np.flatnonzero(np.isin((row << 32) | place, asked))
 
 
 def _chunk_table(keyed: DataFrame, id_column: str, divisor: int) -> DataFrame:
-    """``hash``, ``doc_key``, ``id`` and ``line`` of every chunk."""
+    """``hash``, ``doc_key``, ``id`` and ``place`` of every chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(2)):
-                row, line, _, _, _, found = chunks(part, divisor)
+                row, _, _, _, _, found, place = chunks(part, divisor)
                 who = pa.array(row + part.first)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(0).take(who), batch.column(1).take(who), pa.array(line.astype(np.int32))], ["hash", "doc_key", "id", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(0).take(who), batch.column(1).take(who), pa.array(place.astype(np.int32))], ["hash", "doc_key", "id", "place"])
 
     source = keyed.select("doc_key", F.col(id_column).alias("id"), "text")
-    schema = T.StructType([T.StructField("hash", T.LongType()), T.StructField("doc_key", T.BinaryType()), T.StructField("id", source.schema["id"].dataType), T.StructField("line", T.IntegerType())])
+    schema = T.StructType([T.StructField("hash", T.LongType()), T.StructField("doc_key", T.BinaryType()), T.StructField("id", source.schema["id"].dataType), T.StructField("place", T.IntegerType())])
     return source.mapInArrow(run, schema)
 
 
 def _chunk_bytes(texts: DataFrame, divisor: int) -> DataFrame:
-    """The chunks at the lines ``lines`` of each text: ``doc_key``, ``id``, ``line`` and ``chunk``."""
+    """The chunks at the places ``places`` of each text: ``doc_key``, ``id``, ``place`` and ``chunk``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = batch.column(3).to_pylist()
             for part in slices(batch.column(2)):
-                row, line, _, begin, stop, _ = chunks(part, divisor)
-                wanted = [set(asked[part.first + i]) for i in range(len(part.start))]
-                pick = [i for i, (r, at) in enumerate(zip(row.tolist(), line.tolist(), strict=True)) if at in wanted[r]]
+                row, _, _, begin, stop, _, place = chunks(part, divisor)
+                pick = _among(batch.column(3), part, row, place)
                 who = pa.array(row[pick] + part.first, pa.int64())
                 found = [part.data[a:b].tobytes() for a, b in zip(begin[pick].tolist(), stop[pick].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(line[pick].astype(np.int32)), pa.array(found, pa.binary())], ["doc_key", "id", "line", "chunk"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(place[pick].astype(np.int32)), pa.array(found, pa.binary())], ["doc_key", "id", "place", "chunk"])
 
-    schema = T.StructType([T.StructField("doc_key", T.BinaryType()), T.StructField("id", texts.schema["id"].dataType), T.StructField("line", T.IntegerType()), T.StructField("chunk", T.BinaryType())])
-    return texts.select("doc_key", "id", "text", "lines").mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_key", T.BinaryType()), T.StructField("id", texts.schema["id"].dataType), T.StructField("place", T.IntegerType()), T.StructField("chunk", T.BinaryType())])
+    return texts.select("doc_key", "id", "text", "places").mapInArrow(run, schema)
 
 
 def _kept_lines(texts: DataFrame, kept: list[str], divisor: int) -> DataFrame:
@@ -83,29 +110,23 @@ def _kept_lines(texts: DataFrame, kept: list[str], divisor: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked, none = batch.column(len(kept) + 1).to_pylist(), np.asarray(batch.column(len(kept)).is_null())
+            none = np.asarray(batch.column(len(kept)).is_null())
             for part in slices(batch.column(len(kept))):
                 n_rows = len(part.start)
-                start, _, _, bound = line_spans(part)
-                row, line, count, begin, stop, _ = chunks(part, divisor)
-                gone = [set(asked[part.first + i] or ()) for i in range(n_rows)]
-                texts, removed, dropped = [], np.zeros(n_rows, dtype=np.int64), np.zeros(n_rows, dtype=np.int64)
-                at = np.searchsorted(row, np.arange(n_rows + 1))
+                start, end, of, bound = line_spans(part)
+                row, line, count, _, _, _, place = chunks(part, divisor)
+                pick = _among(batch.column(len(kept) + 1), part, row, place)
+                first = bound[row[pick]] + line[pick]
+                # chunks overlap: a line goes when any of them holds it
+                gone = np.cumsum(np.bincount(first, minlength=len(start) + 1) - np.bincount(first + count[pick], minlength=len(start) + 1))[:-1] > 0
+                removed, dropped = np.bincount(of[gone], minlength=n_rows), np.bincount(row[pick], minlength=n_rows)
+                texts = []
                 for i in range(n_rows):
-                    a, b = int(part.start[i]), int(part.end[i])
-                    if not gone[i]:
-                        texts.append(None if none[part.first + i] else part.data[a:b].tobytes())
-                        continue
-                    pieces = []
-                    for c in range(at[i], at[i + 1]):
-                        if line[c] in gone[i]:
-                            # the chunk and one of the line feeds around it
-                            pieces.append(part.data[a : max(a, begin[c] - 1)].tobytes() if begin[c] > a else None)
-                            a = int(stop[c]) + 1
-                            removed[i] += count[c]
-                            dropped[i] += 1
-                    pieces.append(part.data[a:b].tobytes() if a <= b else None)
-                    texts.append(b"\n".join(p for p in pieces if p is not None))
+                    if dropped[i]:
+                        stay = bound[i] + np.flatnonzero(~gone[bound[i] : bound[i + 1]])
+                        texts.append(b"\n".join(part.data[a:b].tobytes() for a, b in zip(start[stay].tolist(), end[stay].tolist(), strict=True)))
+                    else:
+                        texts.append(None if none[part.first + i] else part.text(i))
                 rows = batch.slice(part.first, n_rows)
                 lines = np.where(none[part.first : part.first + n_rows], 0, np.diff(bound))
                 yield pa.RecordBatch.from_arrays(
@@ -113,7 +134,7 @@ def _kept_lines(texts: DataFrame, kept: list[str], divisor: int) -> DataFrame:
                     [*kept, *new],
                 )
 
-    source = texts.select(*kept, "text", "lines")
+    source = texts.select(*kept, "text", "places")
     schema = T.StructType([*source.schema.fields[: len(kept)], T.StructField("kept_text", T.StringType()), *(T.StructField(c, T.LongType()) for c in new[1:])])
     return source.mapInArrow(run, schema)
 
@@ -130,16 +151,16 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     keyed = frame.withColumn("doc_key", key).withColumn("text", text)
     table = _chunk_table(keyed, at_id, divisor)
     counted = table.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = written(lookup_join(table, counted, ["hash"], "n").select("doc_key", "id", "line"), "chunks")
-    asked = found.groupBy("doc_key").agg(F.collect_set("line").alias("lines"))
-    texts = keyed.join(asked.hint("merge"), "doc_key").select("doc_key", F.col(at_id).alias("id"), "text", "lines").dropDuplicates(["doc_key"])
+    found = written(lookup_join(table, counted, ["hash"], "n").select("doc_key", "id", "place"), "chunks")
+    asked = found.groupBy("doc_key").agg(F.collect_set("place").alias("places"))
+    texts = keyed.join(asked.hint("merge"), "doc_key").select("doc_key", F.col(at_id).alias("id"), "text", "places").dropDuplicates(["doc_key"])
     compared = written(_chunk_bytes(texts, divisor), "compared")
-    order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("doc_key"), F.col("line"))
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("doc_key"), F.col("place"))
     # grouping by the bytes is the comparison; equal chunks of a task are added up before they are shuffled
     equal = compared.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter("n > 1")
     equal = equal.select(F.unhex(F.md5("chunk")).alias("chunk_id"), "n", "first")
     repeats = lookup_join(compared.select(F.unhex(F.md5("chunk")).alias("chunk_id"), order.alias("place")), equal, ["chunk_id"], "n")
-    gone = repeats.filter("place > first").groupBy(F.col("place.doc_key").alias("doc_key")).agg(F.collect_set("place.line").alias("lines"))
+    gone = repeats.filter("place > first").groupBy(F.col("place.doc_key").alias("doc_key")).agg(F.collect_set("place.place").alias("places"))
     kept = [c for c in plain if names[c].lower() not in new]
     out = _kept_lines(keyed.join(gone.hint("merge"), "doc_key", "left"), kept, divisor)
     return out.toDF(*[names.get(c, c) for c in out.columns])
