@@ -33,7 +33,7 @@ _TITLES = {
 _GENDER = {t: g for g, titles in _TITLES.items() for t in titles}
 ENTITY = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+(?<![.\-]))"
-    r"|(?P<secret>(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|(?=[A-Za-z0-9]{0,39}\d)(?=[A-Za-z0-9]{0,39}[A-Z])(?=[A-Za-z0-9]{0,39}[a-z])[A-Za-z0-9]{40})(?![A-Za-z0-9]))"
+    r"|(?P<secret>(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?=[A-Za-z0-9]{0,39}\d)(?=[A-Za-z0-9]{0,39}[A-Z])[A-Za-z0-9]{40})(?![A-Za-z0-9]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
@@ -41,8 +41,9 @@ ENTITY = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?<!\w)(?P<title>" + "|".join(_GENDER) + r")\.? (?P<name>[^\W\d_a-zа-я][^\W\d_]+(?: [^\W\d_a-zа-я][^\W\d_]+)?)"
 )
+_UPPER_HEX = re.compile("[0-9A-F]+")
 #: A text without a match of this has no entity.
-TRIGGER = r"[@0-9]|(" + "|".join(_GENDER) + r")\.? "
+TRIGGER = r"[@0-9]|[a-f]{32}|[A-F]{32}|(" + "|".join(_GENDER) + r")\.? "
 _SYLLABLES = {"latin": "ba ce di fo gu la me ni ro su ta ve".split(), "cyrillic": "ба ве ди го лу ма не ри со та".split(), "greek": "βα γε δι κο λυ μα νε ρι σο τα".split()}
 _ENDS = {("latin", "female"): "a", ("latin", "male"): "on", ("cyrillic", "female"): "а", ("cyrillic", "male"): "ов", ("greek", "female"): "α", ("greek", "male"): "ος", ("latin", "family"): "er", ("greek", "family"): "ου"}
 
@@ -83,7 +84,7 @@ def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
                 yield f"name/{'family' if family else _GENDER[m['title']]}", canonical, m.start("name") + word.start(), m.start("name") + word.end()
         elif _valid(kind, m.group()):
             surface = m.group()
-            canonical = {"email": str.lower, "ip": lambda s: ".".join(str(int(x)) for x in s.split("."))}.get(kind, lambda s: re.sub(r"[ ().-]", "", s))(surface)
+            canonical = {"email": str.lower, "secret": lambda s: s.lower() if _UPPER_HEX.fullmatch(s) else s, "ip": lambda s: ".".join(str(int(x)) for x in s.split("."))}.get(kind, lambda s: re.sub(r"[ ().-]", "", s))(surface)
             yield kind, canonical, m.start(), m.end()
 
 
@@ -142,7 +143,7 @@ def surrogate(kind: str, canonical: str, attempt: int = 0, key: bytes = KEY) ->
 def dressed(kind: str, surface: str, replacement: str) -> str:
     """The replacement in the format of the place where the entity stands: separators and capitals."""
     if kind in ("email", "ip", "secret"):
-        return replacement.upper() if surface.isupper() and kind == "email" else replacement
+        return replacement.upper() if surface.isupper() and kind != "ip" else replacement
     if kind.startswith("name/"):
         return replacement.upper() if surface.isupper() and len(surface) > 1 else replacement.capitalize()
     fresh = iter(replacement)

@@ -38,6 +38,16 @@ def test_entities_are_replaced_alike_and_in_kind(spark):
     assert all(e.kind and got[2].clean_text != TEXTS[2] for e in got[2].entities)
 
 
+def test_secrets_in_upper_case(spark):
+    low, letters, mixed = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "abcdefabcdefabcdefabcdefabcdefab", "Ab1" + "xYz" * 12 + "q"
+    texts = [f"token = {low}", f"TOKEN = {low.upper()}", f"key {letters}", f"KEY {letters.upper()}", f"KEY {mixed}", f"KEY {mixed.upper()}", "G" * 40]
+    got = run(spark, texts)
+    one = [got[i].entities[0].replacement for i in range(6)]
+    assert all(len(got[i].entities) == 1 and got[i].entities[0].kind == "secret" and got[i].clean_text.endswith(one[i]) and one[i] not in texts[i] for i in range(6))
+    assert re.fullmatch("[0-9a-f]{40}", one[0]) and one[1] == one[0].upper() and re.fullmatch("[0-9a-f]{32}", one[2]) and one[3] == one[2].upper()
+    assert re.fullmatch("[A-Z0-9]{40}", one[5]) and got[6].clean_text == texts[6]
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
     # only few numbers can be drawn at first, so many entities collide; each still gets its own, and none that is real
     numbers = [f"078-05-{1000 + i}" for i in range(40)]
