@@ -6,7 +6,8 @@ and a document is kept where enough of its words are in content lines.
 
 Defined cases: a null text has no words, so it fails the base rules; lines without a word take part in the chain but weigh nothing;
 without labelled documents of both kinds the field is untrained and every line counts as content; labels that are null or neither 0 nor 1 are
-unused; of repeated label rows each is one example; an empty table gives no rows; input columns named like an output column are replaced.
+unused; of label rows or documents with the same id and label one is
+an example; an empty table gives no rows; input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -262,10 +263,10 @@ def train(features: np.ndarray, bound: np.ndarray, labels: np.ndarray, steps: in
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Field:
     """Fits the field on SAMPLE_DOCUMENTS labelled documents at most. A line takes the label of its document: the lines that documents of both
     kinds share come out undecided, those that mark a kind don't."""
-    sample = labels.filter(F.col("quality").isin(0, 1)).select(F.col(id_column).alias("l_id"), F.col("quality").cast("int").alias("l_quality"))
+    sample = labels.filter(F.col("quality").isin(0, 1)).select(F.col(id_column).alias("l_id"), F.col("quality").cast("int").alias("l_quality")).filter("l_id IS NOT NULL").distinct()
     # bounded by SAMPLE_DOCUMENTS, so the broadcast is as well
     sample = sample.orderBy(seeded("l_id", SEED), "l_quality").limit(SAMPLE_DOCUMENTS)
-    chosen = docs.join(F.broadcast(sample), docs[id_column] == F.col("l_id")).select(F.col("l_quality"), docs[text_column].cast("binary").alias("t"))
+    chosen = docs.join(F.broadcast(sample), docs[id_column] == F.col("l_id")).select("l_quality", docs[text_column].cast("binary").alias("t"), "l_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, word_rolling = Rolling(1), Rolling(2)
@@ -273,10 +274,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
             for part in slices(batch.column(1)):
                 lines = measure(part, rolling, word_rolling)
                 found = [lines.features[a : min(b, a + SAMPLE_LINES)].tobytes() for a, b in zip(lines.bound[:-1], lines.bound[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(found)), pa.array(found, pa.binary())], ["l_quality", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(found)), pa.array(found, pa.binary()), batch.column(2).slice(part.first, len(found))], ["l_quality", "features", "l_id"])
 
-    # repeated ids could bring more rows than labels; an order makes the cut the same each time
-    rows = chosen.mapInArrow(run, "l_quality int, features binary").orderBy("l_quality", "features").limit(2 * SAMPLE_DOCUMENTS).collect()
+    # one row per id and label, so repeated ids bring no more rows than the sample has and crowd out no kind
+    examples = chosen.mapInArrow(run, T.StructType([T.StructField("l_quality", T.IntegerType()), T.StructField("features", T.BinaryType()), T.StructField("l_id", sample.schema["l_id"].dataType)]))
+    rows = examples.groupBy("l_id", "l_quality").agg(F.min("features").alias("features")).orderBy("l_quality", "features").collect()
     if len({r["l_quality"] for r in rows}) < 2:
         return Field.untrained()
     parts = [np.frombuffer(r["features"], dtype=np.int16).reshape(-1, len(BINS)).astype(np.int64) for r in rows]

@@ -56,6 +56,16 @@ def test_held_out_accuracy(spark):
     assert judged.count() > 50 and wrong <= 0.05 * judged.count()
 
 
+def test_repeated_ids_leave_both_kinds(spark):
+    texts = [(0, "# # # = =\n$ $ $ % %")] + [(i, "some plain words that make a sentence, and more of them.\nand another line of words") for i in range(1, 30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    often = docs.filter("doc_id = 0").crossJoin(spark.range(2 * q.SAMPLE_DOCUMENTS + 10)).select("doc_id", "text")
+    labels = spark.createDataFrame([(i, min(i, 1)) for i, _ in texts], "doc_id long, quality int")
+    again = labels.filter("doc_id = 0").crossJoin(spark.range(q.SAMPLE_DOCUMENTS)).select("doc_id", "quality")
+    want, got = q.fit(docs, labels), q.fit(docs.union(often), labels.union(again))
+    assert want.emit.any() and np.array_equal(want.emit, got.emit) and np.array_equal(want.step, got.step)
+
+
 def test_odd_input(spark, odd_docs, no_docs, tmp_path):
     spark.createDataFrame([(9, 1, 0), (9, None, None), (None, 0, 0), (5, 7, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     stage = q.stage(spark, odd_docs, str(tmp_path))
