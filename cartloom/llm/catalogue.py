@@ -14,6 +14,8 @@ from cartloom.llm import (
     op8_line_dedup,
     op9_topk,
     op10_warc,
+    op11_clusters,
+    op12_periodic_runs,
     op13_token_files,
 )
 
@@ -28,6 +30,8 @@ _PARTS = (
     op8_line_dedup,
     op9_topk,
     op10_warc,
+    op11_clusters,
+    op12_periodic_runs,
     op13_token_files,
 )
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
