@@ -5,7 +5,8 @@ keys, and in each bucket the collision-corrected similarity estimate joins docum
 sets decide: blocks of sets are compared with each other, exactly, and the links' connected components are the classes.
 
 Documents with equal sets are one from the start, so thousands of copies cost one. Buckets and clusters are compared block by block, a
-block holding a bounded number of members, so a large group spreads over tasks; what a comparison returns is one row a member, not its pairs.
+block holding a bounded number of members, so a large group spreads over tasks; members that are joined already aren't compared any more,
+so near copies by the thousand cost a comparison each, and what comes back is one row a member, not its pairs.
 
 Defined cases: a null or wordless text has an empty set and links with nothing; a text of fewer words than a shingle is one shingle; ids
 that are null never name a class unless all its ids are null; rows with the same id are documents of their own that share it; an empty
@@ -35,89 +36,127 @@ SET_BLOCK = 128
 MARGIN = 4.5
 
 
-def _labels(linked: np.ndarray) -> np.ndarray:
-    """The least index that each can reach in a symmetric matrix of links."""
-    label = np.arange(len(linked))
-    while True:
-        least = np.minimum(label, np.where(linked, label[None, :], len(label)).min(axis=1, initial=len(label)))
-        least = np.minimum(least, least[least])
-        if (least == label).all():
-            return label
-        label = least
+#: ``similar(i, others)`` of a block: which of the others member i is similar to.
+Similar = Callable[[int, np.ndarray], np.ndarray]
 
 
-def _blocks(members: DataFrame, group: str, size: str, block: int, payload: list[str], compare: Callable[[list, int], Iterator[tuple[bytes, bytes]]]) -> DataFrame:
-    """Edges ``a``, ``b`` between members of a group. Members are dealt into blocks and every two blocks meet once; ``compare`` gets the members of
-    two blocks, one after the other, and the size of the first (0: one block with itself)."""
-    count = F.ceil(F.col(size) / block).cast("int")
-    dealt = members.select(F.col(group).alias("g"), count.alias("blocks"), F.pmod(F.hash("node"), count).alias("i"), F.struct("node", *payload).alias("m"))
-    packed = dealt.groupBy("g", "blocks", "i").agg(F.collect_list("m").alias("one"))
-    one = packed.select("one", F.expr("slice(one, 1, 0)").alias("two")).filter(F.size("one") > 1)
-    left = packed.filter("i < blocks - 1").withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("blocks") - 1)))
-    right = packed.filter("i > 0").select(F.col("g").alias("h"), F.col("i").alias("k"), F.col("one").alias("two"))
-    met = left.join(right, (F.col("g") == F.col("h")) & (F.col("j") == F.col("k"))).select("one", "two")
+def _grouped(n: int, similar: Similar, group: np.ndarray, first: int = 0) -> np.ndarray:
+    """Groups of ``n`` members after joining all that are similar. Pairs within a group are never compared, since their link would change nothing,
+    so a block of near copies costs one comparison a member. ``first`` (0: none) is the size of the first of two blocks, whose members
+    are compared with the other's only."""
+    group = group.copy()
+    for i in range(first or n):
+        others = np.flatnonzero(group != group[i])
+        others = others[np.searchsorted(others, first or i + 1) :]
+        if len(others):
+            found = others[similar(i, others)]
+            if len(found):
+                group[np.isin(group, group[found])] = group[i]
+        elif not first and (group == group[0]).all():
+            break
+    return group
+
+
+def _edges(nodes: list[bytes], before: np.ndarray, after: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Links that join the members of each group which weren't together before."""
+    _, lead, which = np.unique(after, return_index=True, return_inverse=True)
+    apart = np.flatnonzero(before != before[lead[which]])
+    return [(nodes[i], nodes[k]) for i, k in zip(apart.tolist(), lead[which[apart]].tolist(), strict=True)]
+
+
+def _compared(blocks: DataFrame, similarity: Callable[[list], Similar], crossed: bool) -> DataFrame:
+    """Edges ``a``, ``b`` from rows of two member lists; ``crossed``: between the lists, else within them, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             edges: set[tuple[bytes, bytes]] = set()
             for r in range(batch.num_rows):
-                first, second = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                edges.update(compare(first + second, len(first) if second else 0))
+                one, two = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+                members = one + two
+                nodes = [m["node"] for m in members]
+                # the same text's set may come twice, and members that are linked already share a label
+                _, before = np.unique(np.array([m["label"] for m in members], dtype=object), return_inverse=True)
+                edges.update(_edges(nodes, before, _grouped(len(members), similarity(members), before, len(one) if crossed else 0)))
             found = list(edges)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return one.unionByName(met).mapInArrow(run, "a binary, b binary")
-
+    return blocks.select("one", "two").mapInArrow(run, "a binary, b binary")
 
-def _joined(members: list, linked: np.ndarray) -> list[tuple[bytes, bytes]]:
-    label = _labels(linked)
-    return [(members[i]["node"], members[k]["node"]) for i, k in enumerate(label.tolist()) if i != k]
 
+def _linked(members: DataFrame, group: str, size: str, lead: str, block: int, payload: list[str], similarity: Callable[[list], Similar]) -> DataFrame:
+    """Connected components (``node``, ``root``) of the links between members of the same group; ``lead`` is a node of the group, the same for all.
 
-def _similar_sketches(share: float) -> Callable[[list, int], list[tuple[bytes, bytes]]]:
+    Members are dealt into blocks. First each block is compared within itself and with the group's lead, which settles a group of near copies;
+    where a group of several blocks still falls apart, every two of its blocks meet once, and only members of different components are compared.
+    """
+    count = F.ceil(F.col(size) / block).cast("int")
+    dealt = members.select(F.col(group).alias("g"), count.alias("blocks"), F.pmod(F.hash("node"), count).alias("i"), "node", *payload, F.col(lead).alias("lead"))
+    dealt = written(dealt, "dealt")
+
+    def packed(rows: DataFrame, label: str) -> DataFrame:
+        return rows.groupBy("g", "blocks", "i").agg(F.collect_list(F.struct("node", F.col(label).alias("label"), *payload)).alias("two"))
+
+    leads = dealt.filter("node = lead AND blocks > 1").groupBy(F.col("g").alias("h")).agg(F.slice(F.collect_list(F.struct("node", F.col("node").alias("label"), *payload)), 1, 1).alias("one"))
+    blocks = packed(dealt, "node")
+    nobody = F.expr("slice(two, 1, 0)")
+    alone = blocks.filter("blocks = 1").filter(F.size("two") > 1).select(nobody.alias("one"), "two")
+    several = blocks.filter("blocks > 1").join(leads, F.col("g") == F.col("h")).select("one", "two")
+    near = written(components(_compared(alone.unionByName(several), similarity, False)), "joined")
+
+    large = dealt.filter("blocks > 1").join(near.withColumnRenamed("node", "joined"), F.col("node") == F.col("joined"), "left").withColumn("root", F.coalesce("root", "node"))
+    large = written(large.drop("joined", "lead"), "large")
+    apart = large.groupBy(F.col("g").alias("h")).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("h")
+    if apart.isEmpty():
+        return near
+    blocks = packed(large.join(apart, F.col("g") == F.col("h"), "left_semi"), "root")
+    left = blocks.filter("i < blocks - 1").withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("blocks") - 1))).withColumnRenamed("two", "one")
+    right = blocks.filter("i > 0").select(F.col("g").alias("h"), F.col("i").alias("k"), "two")
+    met = left.join(right, (F.col("g") == F.col("h")) & (F.col("j") == F.col("k")))
+    links = _compared(met, similarity, True).unionByName(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return components(links)
+
+
+def _similar_sketches(share: float) -> Callable[[list], Similar]:
     least = share - MARGIN * float(np.sqrt(share * (1 - share) / sketches.BUCKETS))
 
-    def compare(members: list, first: int) -> list[tuple[bytes, bytes]]:
-        n = len(members)
-        table = np.frombuffer(b"".join(m["registers"] for m in members), dtype=np.uint16).reshape(n, -1)
+    def similarity(members: list) -> Similar:
+        table = np.frombuffer(b"".join(m["registers"] for m in members), dtype=np.uint16).reshape(len(members), -1)
         size = np.array([m["n"] for m in members])
-        a, b = np.triu_indices(n, 1) if not first else (x.ravel() for x in np.meshgrid(np.arange(first), np.arange(first, n), indexing="ij"))
-        # sets whose sizes differ too much can't be similar
-        near = np.minimum(size[a], size[b]) >= share * np.maximum(size[a], size[b]) - 1e-9
-        a, b = a[near], b[near]
-        linked = np.zeros((n, n), dtype=bool)
-        for s in range(0, len(a), 20_000):
-            x, y = a[s : s + 20_000], b[s : s + 20_000]
-            like = sketches.estimate(table[x], table[y], size[x], size[y]) >= least
-            linked[x[like], y[like]] = linked[y[like], x[like]] = True
-        return _joined(members, linked)
-
-    return compare
-
-
-def _similar_sets(percent: int) -> Callable[[list, int], list[tuple[bytes, bytes]]]:
-    def compare(members: list, first: int) -> list[tuple[bytes, bytes]]:
+        distinct, which = np.unique(size, return_inverse=True)
+        levels = sketches.level_shares(distinct)
+
+        def similar(i: int, others: np.ndarray) -> np.ndarray:
+            # sets whose sizes differ too much can't be similar
+            near = np.minimum(size[i], size[others]) >= share * np.maximum(size[i], size[others]) - 1e-9
+            out = np.zeros(len(others), dtype=bool)
+            mine = others[near]
+            by_chance = sketches.chance(levels, which[i])[which[mine]]
+            out[near] = sketches.corrected((table[i] == table[mine]).mean(axis=1), by_chance) >= least
+            return out
+
+        return similar
+
+    return similarity
+
+
+def _similar_sets(percent: int) -> Callable[[list], Similar]:
+    def similarity(members: list) -> Similar:
         sets = [np.frombuffer(m["members"], dtype=np.uint64) for m in members]
         size = np.array([len(s) for s in sets])
-        every = np.concatenate(sets)
-        _, column = np.unique(every, return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(column, kind="stable")
-        column, owner = column[order], owner[order]
-        common = np.zeros((len(sets), len(sets)), dtype=np.float64)
-        for s in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-            a, b = np.searchsorted(column, [s, s + 4096])
-            held = np.zeros((len(sets), 4096), dtype=np.float32)
-            held[owner[a:b], column[a:b] - s] = 1.0
-            common += held @ held.T
-        either = size[:, None] + size[None, :] - common
-        linked = 100 * common >= percent * either
-        np.fill_diagonal(linked, False)
-        if first:
-            linked[:first, :first] = linked[first:, first:] = False
-        return _joined(members, linked)
-
-    return compare
+        distinct, column = np.unique(np.concatenate(sets), return_inverse=True)
+        held = np.zeros(len(distinct), dtype=bool)
+        begin = np.append(0, np.cumsum(size))
+
+        def similar(i: int, others: np.ndarray) -> np.ndarray:
+            mine = column[begin[i] : begin[i + 1]]
+            held[mine] = True
+            common = np.add.reduceat(held[column], begin[:-1], dtype=np.int64)[others]
+            held[mine] = False
+            return 100 * common >= percent * (size[i] + size[others] - common)
+
+        return similar
+
+    return similarity
 
 
 def _sketched(docs: DataFrame, text: str, width: int) -> DataFrame:
@@ -164,11 +203,10 @@ def classes(docs: DataFrame, text: str, width: int, percent: int) -> tuple[DataF
     sets = table.filter("n > 0").groupBy("node").agg(F.first("registers").alias("registers"), F.first("n").alias("n"), F.min("text_digest").alias("text_digest"))
     sets = written(sets, "sets")
     bands = written(_bands(sets), "bands")
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).filter("size > 1")
     met = lookup_join(bands, shared, ["band"], "size")
     met = met.join(sets.select("node", "n", "registers").hint("merge"), "node")
-    near = components(_blocks(met, "band", "size", SKETCH_BLOCK, ["n", "registers"], _similar_sketches(percent / 100)))
-    clusters = written(near, "clusters")
+    clusters = written(_linked(met, "band", "size", "lead", SKETCH_BLOCK, ["n", "registers"], _similar_sketches(percent / 100)), "clusters")
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     members = written(lookup_join(clusters, sizes, ["root"], "size").join(sets.select("node", "text_digest"), "node"), "members")
     wanted = members.select("text_digest", "node").join(table.select("node", "text_digest").groupBy("text_digest").agg(F.count(F.lit(1)).alias("copies")), "text_digest")
@@ -182,8 +220,8 @@ def classes(docs: DataFrame, text: str, width: int, percent: int) -> tuple[DataF
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(found)), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "members"])
 
     full = texts.mapInArrow(collect, "node binary, members binary").join(members.select("node", "root", "size"), "node")
-    links = _blocks(full, "root", "size", SET_BLOCK, ["members"], _similar_sets(percent))
-    return table, components(links)
+    # the cluster's name is one of its nodes
+    return table, _linked(full.withColumn("lead", F.col("root")), "root", "size", "lead", SET_BLOCK, ["members"], _similar_sets(percent))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -78,16 +78,22 @@ def band_keys(table: np.ndarray) -> np.ndarray:
     return mix(packed ^ mix(np.arange(packed.shape[1], dtype=np.uint64) + _U(1))[None, :])
 
 
-def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Probability that registers of unrelated sets of n and m members are equal."""
-    level = np.arange(58)
-    edge = np.append(2.0 ** -level, 0.0)  # a minimum with z leading zeros lies in [2**-(z+1), 2**-z)
-    share = lambda k: np.diff(-((1 - edge[None, :]) ** np.maximum(1.0, k[:, None] / BUCKETS)), axis=1) * -1
-    return np.abs(share(n) * share(m)).sum(axis=1) / (1 << MANTISSA)
-
-
-def estimate(one: np.ndarray, two: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from equal registers, less the share that is equal by chance."""
-    equal = (one == two).mean(axis=1)
-    by_chance = chance(n.astype(float), m.astype(float))
+def level_shares(sizes: np.ndarray) -> np.ndarray:
+    """For each set size, the probability of each number of leading zeros in a register."""
+    edge = np.append(2.0 ** -np.arange(58), 0.0)  # a minimum with z leading zeros lies in [2**-(z+1), 2**-z)
+    return np.diff((1 - edge[None, :]) ** np.maximum(1.0, np.asarray(sizes, dtype=float)[:, None] / BUCKETS), axis=1)
+
+
+def chance(levels: np.ndarray, i: int) -> np.ndarray:
+    """Probability that registers of unrelated sets of the i-th size and of each size are equal."""
+    return levels @ levels[i] / (1 << MANTISSA)
+
+
+def corrected(equal: np.ndarray, by_chance: np.ndarray) -> np.ndarray:
+    """Jaccard similarity from the share of equal registers, less what is equal by chance."""
     return np.maximum(0.0, (equal - by_chance) / (1 - by_chance))
+
+
+def estimate(one: np.ndarray, two: np.ndarray, n: int, m: int) -> float:
+    """Jaccard similarity of two sets of n and m members, from their registers."""
+    return float(corrected((one == two).mean(), chance(level_shares(np.array([n, m])), 0)[1]))
