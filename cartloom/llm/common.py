@@ -48,9 +48,17 @@ def seeded(column: Column | str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), value)), 1, 15), 16, 10).cast("long")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared folder: what several steps read is worked out once, and a lost executor costs no more than its tasks."""
+def parts_for(spark: SparkSession, rows: int, each: int = 100_000) -> int:
+    """Tasks for so many rows: one for every ``each``, up to the session's number of shuffle partitions."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each)))
+
+
+def written(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """The frame as a table in the shared folder: what several steps read is worked out once, and a lost executor costs no more than its tasks.
+    ``parts`` bounds the tasks that write, where the number of rows is known to be small."""
     path = scratch_dir(df.sparkSession, name)
+    if parts is not None:
+        df = df.coalesce(parts)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -65,15 +73,15 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(table)
 
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, how: str = "inner") -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, how: str = "inner", parts: int | None = None) -> DataFrame:
     """Adds the columns of ``right``, which has one row per key, to each row of ``left``; ``how`` is inner or left.
 
     ``weight`` is the number of rows of ``left`` with the key, or in proportion to it. The HOT_KEYS heaviest keys are broadcast, which is
     a fixed number of rows; the rows of ``left`` that they serve don't meet by key but are dealt out by a hash of the row. So no task gets
     more than 1/HOT_KEYS of the rows for one key, and nothing is dropped. Rows with a null key match nothing. ``right`` is written down
-    first, since it is read twice.
+    first, since it is read twice; ``parts`` as there.
     """
-    right = written(right, "lookup")
+    right = written(right, "lookup", parts)
     values = [c for c in right.columns if c not in keys]
     hot = right.orderBy(F.col(weight).desc(), *keys).limit(HOT_KEYS)
     hot = hot.select(*[F.col(k).alias(f"h_{k}") for k in keys], F.struct(*values, F.lit(1).alias("is_")).alias("h_"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.llm.common import lookup_join, written
+from cartloom.llm.common import lookup_join, parts_for, written
 
 
 def _stars(pairs: DataFrame) -> bool:
@@ -21,15 +21,16 @@ def components(edges: DataFrame) -> DataFrame:
     smaller ones and itself. The number of rounds grows with the logarithm of the longest path. No step gathers the neighbours of a node.
     """
     pairs = written(edges.filter("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "edges")
+    parts = parts_for(pairs.sparkSession, pairs.count())
     while not _stars(pairs):
         # larger neighbours go to the least neighbour; low < high throughout
         both = pairs.select(F.col("high").alias("u"), F.col("low").alias("v")).union(pairs.select(F.col("low").alias("u"), F.col("high").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("w")).select("u", F.least("u", "m").alias("m"), "w")
-        handed = lookup_join(pairs.select(F.col("low").alias("u"), F.col("high").alias("v")), least, ["u"], "w")
-        grown = written(handed.select(F.col("m").alias("low"), F.col("v").alias("high")).filter("low <> high").distinct(), "edges")
+        handed = lookup_join(pairs.select(F.col("low").alias("u"), F.col("high").alias("v")), least, ["u"], "w", parts=parts)
+        grown = written(handed.select(F.col("m").alias("low"), F.col("v").alias("high")).filter("low <> high").distinct(), "edges", parts)
         # smaller neighbours, and the node itself, go to the least of them
         least = grown.groupBy(F.col("high").alias("u")).agg(F.min("low").alias("m"), F.count(F.lit(1)).alias("w"))
-        handed = lookup_join(grown.select(F.col("high").alias("u"), F.col("low").alias("v")), least, ["u"], "w")
+        handed = lookup_join(grown.select(F.col("high").alias("u"), F.col("low").alias("v")), least, ["u"], "w", parts=parts)
         stars = handed.select(F.col("m").alias("low"), F.col("v").alias("high")).filter("low <> high")
-        pairs = written(stars.union(least.select(F.col("m").alias("low"), F.col("u").alias("high"))).distinct(), "edges")
-    return pairs.select(F.col("high").alias("node"), F.col("low").alias("root")).union(pairs.select("low", "low")).distinct()
+        pairs = written(stars.union(least.select(F.col("m").alias("low"), F.col("u").alias("high"))).distinct(), "edges", parts)
+    return pairs.select(F.col("high").alias("node"), F.col("low").alias("root")).union(pairs.select("low", "low")).distinct().coalesce(parts)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cartloom.llm import sketches
 from cartloom.llm.buffers import slices
-from cartloom.llm.common import lookup_join, own_columns, read, written
+from cartloom.llm.common import lookup_join, own_columns, parts_for, read, written
 from cartloom.llm.components import components
 
 SHINGLE = 5
@@ -92,6 +92,8 @@ def _linked(members: DataFrame, group: str, size: str, lead: str, block: int, pa
     count = F.ceil(F.col(size) / block).cast("int")
     dealt = members.select(F.col(group).alias("g"), count.alias("blocks"), F.pmod(F.hash("node"), count).alias("i"), "node", *payload, F.col(lead).alias("lead"))
     dealt = written(dealt, "dealt")
+    spark, rows = dealt.sparkSession, dealt.count()
+    parts = parts_for(spark, rows)
 
     def packed(rows: DataFrame, label: str) -> DataFrame:
         return rows.groupBy("g", "blocks", "i").agg(F.collect_list(F.struct("node", F.col(label).alias("label"), *payload)).alias("two"))
@@ -101,10 +103,11 @@ def _linked(members: DataFrame, group: str, size: str, lead: str, block: int, pa
     nobody = F.expr("slice(two, 1, 0)")
     alone = blocks.filter("blocks = 1").filter(F.size("two") > 1).select(nobody.alias("one"), "two")
     several = blocks.filter("blocks > 1").join(leads, F.col("g") == F.col("h")).select("one", "two")
-    near = written(components(_compared(alone.unionByName(several), similarity, False)), "joined")
+    # a task compares a few blocks
+    near = written(components(_compared(alone.unionByName(several).coalesce(parts_for(spark, rows, 2 * block)), similarity, False)), "joined", parts)
 
     large = dealt.filter("blocks > 1").join(near.withColumnRenamed("node", "joined"), F.col("node") == F.col("joined"), "left").withColumn("root", F.coalesce("root", "node"))
-    large = written(large.drop("joined", "lead"), "large")
+    large = written(large.drop("joined", "lead"), "large", parts)
     apart = large.groupBy(F.col("g").alias("h")).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("h")
     if apart.isEmpty():
         return near
