@@ -3,7 +3,9 @@
 Detected entities get replacements drawn from a keyed digest of the entity, so the same entity reads the same in every document. A replacement
 keeps type, format, script and, for names after a title, gender; card and account numbers stay valid. All entities of the corpus are
 compared: a replacement that another entity already has, or that is itself a real entity, is drawn again, so different entities stay
-different and nobody else's data turns up. Texts without a character that an entity needs skip all joins.
+different and nobody else's data turns up. Characters of any script are replaced within it; where a form leaves too little room, it gets
+longer after some vain draws, so draws come to an end. An e-mail's domain is an entity of its own. A name that stands behind a title
+once is replaced in the whole text. Texts without a character that an entity needs skip all joins.
 
 Defined cases: a null text stays null; entities within a longer one aren't replaced apart; digits that fail a card's or an account's check sum,
 and addresses with a part above 255, are no entities; rows with the same id are documents of their own; an empty table gives no rows;
@@ -15,10 +17,13 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache, reduce
+from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +47,8 @@ ENTITY = re.compile(
     r"|(?<!\w)(?P<title>" + "|".join(_GENDER) + r")\.? (?P<name>[^\W\d_a-zа-я][^\W\d_]+(?: [^\W\d_a-zа-я][^\W\d_]+)?)"
 )
 _UPPER_HEX = re.compile("[0-9A-F]+")
-#: A text without a match of this has no entity.
-TRIGGER = r"[@0-9]|[a-f]{32}|[A-F]{32}|(" + "|".join(_GENDER) + r")\.? "
+#: After so many vain draws, and again after as many more, a surrogate gets longer: forms too short or too plain to differ find room that way.
+WIDEN = 6
 _SYLLABLES = {"latin": "ba ce di fo gu la me ni ro su ta ve".split(), "cyrillic": "ба ве ди го лу ма не ри со та".split(), "greek": "βα γε δι κο λυ μα νε ρι σο τα".split()}
 _ENDS = {("latin", "female"): "a", ("latin", "male"): "on", ("cyrillic", "female"): "а", ("cyrillic", "male"): "ов", ("greek", "female"): "α", ("greek", "male"): "ος", ("latin", "family"): "er", ("greek", "family"): "ου"}
 
@@ -72,8 +77,7 @@ def _valid(kind: str, surface: str) -> bool:
     return True
 
 
-def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """Type, canonical form, start and end (in code points) of each entity, in order."""
+def _detected(text: str) -> Iterator[tuple[str, str, int, int]]:
     for m in ENTITY.finditer(text):
         kind = m.lastgroup
         if kind == "name":
@@ -88,6 +92,31 @@ def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
             yield kind, canonical, m.start(), m.end()
 
 
+def entities(text: str) -> list[tuple[str, str, int, int]]:
+    """Type, canonical form, start and end (in code points) of each entity, in order. The words of a name that stands behind a title are
+    entities wherever they stand in the text, as the person that was named first so."""
+    found = list(_detected(text))
+    names: dict[str, tuple[str, str]] = {}
+    for kind, canonical, start, end in found:
+        if kind.startswith("name/"):
+            names.setdefault(text[start:end], (kind, canonical))
+    if names:
+        taken = {start for _, _, start, _ in found}
+        inside = [(start, end) for kind, _, start, end in found if not kind.startswith("name/")]
+        words = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)")
+        for m in words.finditer(text):
+            if m.start() not in taken and not any(a < m.end() and m.start() < b for a, b in inside):
+                found.append((*names[m.group()], m.start(), m.end()))
+        found.sort(key=lambda e: e[2])
+    return found
+
+
+def may_hold(text: Column) -> Column:
+    """False only for texts without any entity."""
+    titled = [text.contains(f"{t}{end}") for t in _GENDER for end in (" ", ". ")]
+    return F.coalesce(text.rlike("[@0-9]") | text.rlike("[a-f]{32}|[A-F]{32}") | reduce(or_, titled), F.lit(False))
+
+
 def _draws(key: bytes, kind: str, canonical: str, attempt: int) -> Callable[[int], int]:
     state = {"n": 0, "pool": b""}
 
@@ -101,43 +130,59 @@ def _draws(key: bytes, kind: str, canonical: str, attempt: int) -> Callable[[int
     return draw
 
 
-def _like(c: str, draw: Callable[[int], int], hexadecimal: bool = False) -> str:
-    """A character of the same kind and script."""
-    if hexadecimal and c in "0123456789abcdef":
-        return "0123456789abcdef"[draw(16)]
+@cache
+def _kin(c: str) -> str:
+    """The characters that may stand for one: digits for a digit, letters of its script for a letter, itself for any other."""
     for first, last in ("09", "az", "AZ", "ая", "АЯ", "αω", "ΑΩ"):
         if first <= c <= last:
-            return chr(ord(first) + draw(ord(last) - ord(first) + 1))
-    return c
+            return "".join(map(chr, range(ord(first), ord(last) + 1)))
+    kind = unicodedata.category(c)
+    if kind == "Nd":
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(chr(zero + i) for i in range(10))
+    if kind[0] != "L":
+        return c
+    # a block of 256 code points doesn't mix living scripts of one category; lower case stays lower case
+    block = ord(c) & ~0xFF
+    return "".join(x for x in map(chr, range(block, block + 256)) if unicodedata.category(x) == kind and unicodedata.normalize("NFKC", x.casefold()) == x) or c
+
+
+def _like(c: str, draw: Callable[[int], int], hexadecimal: bool = False) -> str:
+    """A character of the same kind and script."""
+    kin = "0123456789abcdef" if hexadecimal and c in "0123456789abcdef" else _kin(c)
+    return kin[draw(len(kin))]
 
 
 def surrogate(kind: str, canonical: str, attempt: int = 0, key: bytes = KEY) -> str:
-    """The canonical form that stands in for an entity."""
+    """The canonical form that stands in for an entity. An e-mail's keeps the domain, which is an entity of its own."""
     draw = _draws(key, kind, canonical, attempt)
+    longer = attempt // WIDEN
     if kind == "email":
         local, _, domain = canonical.partition("@")
-        labels = domain.split(".")
+        return "".join(_like(c, draw) for c in local) + "".join(_like("a", draw) for _ in range(longer)) + "@" + domain
+    if kind == "domain":
         # the last label is kept; all addresses of a domain move to one domain
-        other = _draws(key, "domain", domain, 0)
-        return "".join(_like(c, draw) for c in local) + "@" + ".".join(["".join(_like(c, other) for c in x) for x in labels[:-1]] + labels[-1:])
+        *labels, last = canonical.split(".")
+        labels[0] += "a" * longer
+        return ".".join(["".join(_like(c, draw) for c in x) for x in labels] + [last])
     if kind == "ip":
-        return ".".join(str(1 + draw(254)) for _ in range(4))
+        return ".".join(str(1 + draw(254)) for _ in range(4 + longer))
     if kind == "card":
-        digits = canonical[0] + "".join(str(draw(10)) for _ in canonical[1:-1])
-        return digits + str(luhn(digits))
+        digits = canonical[0] + "".join(_like(c, draw) for c in canonical[1:-1] + "0" * longer)
+        return digits + _kin(canonical[-1])[luhn(digits)]
     if kind == "iban":
-        body = "".join(_like(c, draw) for c in canonical[4:])
+        body = "".join(_like(c, draw) for c in canonical[4:] + "0" * longer)
         return canonical[:2] + f"{98 - _iban_rest(canonical[:2] + '00' + body):02d}" + body
     if kind == "phone":
         kept = 2 if canonical.startswith("+") else 0
-        return canonical[:kept] + "".join(str(draw(10)) for _ in canonical[kept:])
+        return canonical[:kept] + "".join(_like(c, draw) for c in canonical[kept:] + "0" * longer)
     if kind == "secret":
-        return "".join(_like(c, draw, all(x in "0123456789abcdef" for x in canonical)) for c in canonical)
+        return "".join(_like(c, draw, all(x in "0123456789abcdef" for x in canonical)) for c in canonical + "a" * longer)
     if kind.startswith("name/"):
         script = "cyrillic" if "а" <= canonical[0] <= "я" else "greek" if "α" <= canonical[0] <= "ω" else "latin"
         parts = _SYLLABLES[script]
         return "".join(parts[draw(len(parts))] for _ in range(3 + attempt // 4)) + _ENDS[script, kind[5:]]
-    return "".join(_like(c, draw) for c in canonical)
+    return "".join(_like(c, draw) for c in canonical + "0" * longer)
 
 
 def dressed(kind: str, surface: str, replacement: str) -> str:
@@ -147,7 +192,29 @@ def dressed(kind: str, surface: str, replacement: str) -> str:
     if kind.startswith("name/"):
         return replacement.upper() if surface.isupper() and len(surface) > 1 else replacement.capitalize()
     fresh = iter(replacement)
-    return "".join(c if c in " ().-" else next(fresh) for c in surface)
+    return "".join([c if c in " ().-" else next(fresh) for c in surface]) + "".join(fresh)
+
+
+def named(text: str) -> Iterator[tuple[str, str]]:
+    """Type and canonical form of all that needs a replacement: the entities, and the domains of e-mails."""
+    for kind, canonical, _, _ in entities(text):
+        yield kind, canonical
+        if kind == "email":
+            yield "domain", canonical.partition("@")[2]
+
+
+def replaced(text: str, table: dict[tuple[str, str], str]) -> tuple[str, list[dict]]:
+    """The text with its entities' replacements, and where they stood."""
+    parts, spans, at = [], [], 0
+    for kind, canonical, start, end in entities(text) if table else ():
+        made = table[kind, canonical]
+        if kind == "email":
+            made = made.partition("@")[0] + "@" + table["domain", canonical.partition("@")[2]]
+        made = dressed(kind, text[start:end], made)
+        parts += [text[at:start], made]
+        spans.append({"kind": kind, "start": start, "end": end, "replacement": made})
+        at = end
+    return "".join([*parts, text[at:]]), spans
 
 
 def _found(docs: DataFrame) -> DataFrame:
@@ -155,7 +222,7 @@ def _found(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(row, kind, canonical) for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for kind, canonical in dict.fromkeys((k, c) for k, c, _, _ in entities(text))]
+            out = [(row, kind, canonical) for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for kind, canonical in dict.fromkeys(named(text))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[i] for x in out], pa.string()) for i in (1, 2))], ["row", "kind", "canonical"])
 
     return docs.select("row", "text").mapInArrow(run, "row long, kind string, canonical string")
@@ -199,7 +266,7 @@ def replace_entities(docs: DataFrame, text_column: str = "text", key: bytes = KE
     frame = docs.toDF(*plain)
     text = F.col(plain[docs.columns.index(text_column)])
     kept = [c for c in plain if names[c].lower() not in new]
-    may = F.coalesce(text.rlike(TRIGGER), F.lit(False))
+    may = may_hold(text)
     marks = "array<struct<kind:string,start:int,end:int,replacement:string>>"
     # a number for each row of the few texts that may hold an entity, in a written table
     few = written(frame.filter(may).select(*kept, text.alias("text")).withColumn("row", F.monotonically_increasing_id()), "candidates")
@@ -211,14 +278,8 @@ def replace_entities(docs: DataFrame, text_column: str = "text", key: bytes = KE
         for batch in batches:
             texts, found = [], []
             for text, known in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), strict=True):
-                table = {(k["kind"], k["canonical"]): k["replacement"] for k in known or ()}
-                parts, spans, at = [], [], 0
-                for kind, canonical, start, end in entities(text) if table else ():
-                    made = dressed(kind, text[start:end], table[kind, canonical])
-                    parts += [text[at:start], made]
-                    spans.append({"kind": kind, "start": start, "end": end, "replacement": made})
-                    at = end
-                texts.append("".join([*parts, text[at:]]))
+                text, spans = replaced(text, {(k["kind"], k["canonical"]): k["replacement"] for k in known or ()})
+                texts.append(text)
                 found.append(spans)
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("replacement", pa.string())]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string()), pa.array(found, kind)], [*kept, "clean_text", "entities"])

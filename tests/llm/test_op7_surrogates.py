@@ -59,6 +59,64 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert len(out) == 40 == len({r.replacement for r in out}) and not real & {r.replacement for r in out}
 
 
+def plain(texts):
+    """Replacements by a dictionary over all texts, in rounds: a draw counts if it is neither real nor taken, and its least entity gets it."""
+    open_ = {e for t in texts if t for e in p.named(t)}
+    real, table, attempt = set(open_), {}, 0
+    while open_:
+        offers = {}
+        for kind, canonical in sorted(open_):
+            offers.setdefault((kind, p.surrogate(kind, canonical, attempt)), (kind, canonical))
+        taken = real | {(kind, made) for (kind, _), made in table.items()}
+        table |= {e: made for (kind, made), e in offers.items() if (kind, made) not in taken}
+        open_ -= table.keys()
+        attempt += 1
+        assert attempt < 40
+    return [(t, []) if not t else p.replaced(t, table) for t in texts]
+
+
+ODD = [
+    "日本@例え.jp wrote to 日本@例え.jp, a@b.de, b@b.de, c@b.de and .@_.de; ٠٧٨-٠٥-١١٢٠ and ٠٧٨-٠٥-١١٢١",
+    "é́a@ñandú.es, Å@Å.se, ﬁ@ﬁ.com; " + ", ".join(f"{c}@x.y" for c in "abcdefghijklmnopqrstuvwxyz0123456789"),
+    ", ".join(f"{c}@{d}.io" for c in "αβγ" for d in "ąćę"),
+    "Mrs Smith came. Later Smith left, and Anna Smith wrote to smith@smith.org. Smithson stayed.",
+    "Herr Äß und Frau 王小明; 王小明 kam. Mr J. No. 4111 1111 1111 1111, ٤١١١١١١١١١١١١١١١",
+    "no entity at all", None, "", "Mr", "@", "+" * 30 + "@a.b",
+]
+
+
+def test_any_script_comes_to_an_end_and_equals_a_plain_dictionary(spark):
+    texts = [*ODD, *TEXTS]
+    got = run(spark, texts)
+    want = plain(texts)
+    for i, (text, spans) in enumerate(want):
+        assert got[i].clean_text == text and [e.asDict() for e in got[i].entities] == spans
+    # distinct entities stay distinct, and no real one is left
+    surfaces, made = {}, {}
+    for i, r in got.items():
+        for e in r.entities:
+            surfaces.setdefault(e.replacement.lower(), set()).add(re.sub(r"[ ().-]", "", texts[i][e.start : e.end].lower()) if e.kind != "email" else texts[i][e.start : e.end].lower())
+            made.setdefault(e.kind, set()).add(e.replacement)
+    assert all(len(v) == 1 for v in surfaces.values())
+    assert not made["email"] & {texts[i][e.start : e.end].lower() for i, r in got.items() for e in r.entities}
+    assert re.search("[\u4e00-\u9fff]", got[0].clean_text.split("@")[0]) and re.search("[٠-٩]{3}-[٠-٩]{2}-[٠-٩]{4}", got[0].clean_text)
+    assert len({m.partition("@")[2] for m in made["email"] if m.endswith(".io")}) == 3
+
+
+def test_a_name_behind_a_title_is_replaced_in_the_whole_text(spark):
+    text = ODD[3]
+    r = run(spark, [text])[0]
+    assert [text[e.start : e.end] for e in r.entities] == ["Smith", "Smith", "Smith", "smith@smith.org"]
+    assert "Smith " not in r.clean_text and "Smithson stayed" in r.clean_text and len({e.replacement for e in r.entities}) == 2
+
+
+def test_texts_that_may_hold_an_entity(spark):
+    texts = [*ODD, *TEXTS, "a" * 31, "a" * 32, "F" * 32, "Frau. X", "Sr Y"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    passed = {r.i for r in frame.filter(p.may_hold(frame["t"])).collect()}
+    assert {i for i, t in enumerate(texts) if t and p.entities(t)} <= passed
+
+
 def test_odd_input(odd_docs, no_docs):
     out = p.replace_entities(odd_docs)
     assert out.count() == 5 and out.columns[-2:] == ["clean_text", "entities"]
