@@ -11,7 +11,7 @@ common URL standard leaves to the implementer are settled here as follows:
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,45 +85,72 @@ def _resolve_dots(path: Column) -> Column:
     return F.array_join(F.aggregate(tagged, none, step), "/")
 
 
-def _with_clean_path(df: DataFrame) -> DataFrame:
-    """Adds ``pathname``; every step looks at the path first, since most paths need none of the rewriting."""
+#: Reads a column by name: ``F.col`` over a table, a field of the element within a list.
+Get = Callable[[str], Column]
+#: Named columns, each of which may read the ones before it; a name that comes again takes the place of the earlier one.
+Steps = list[tuple[str, Callable[[Get], Column]]]
+
+
+def path_steps() -> Steps:
+    """``pathname``; every step looks at the path first, since most paths need none of the rewriting."""
     reserved = r"%(2[346BCFbcf]|3[ABDFabdf]|40)"
-    p = F.col("c_path")
-    return (
-        df.withColumn("c_path", F.when(F.contains("u_path", F.lit("%")), _decode(F.regexp_replace("u_path", reserved, "%25$1"))).otherwise(F.col("u_path")))
-        .withColumn("c_path", F.when(p.rlike(r"""[^!$-;=@-_a-z|~]|[`\x7f]"""), _escape(p, "!$%&'()+,/:;=@[\\]|~")).otherwise(p))
-        .withColumn("c_path", F.when(F.contains(p, F.lit("/.")) & p.rlike(r"(^|/)\.{1,2}(/|$)"), _resolve_dots(p)).otherwise(p))
-        .withColumn("c_path", F.when(F.contains(p, F.lit("//")), F.regexp_replace(p, r"(?<!\b[a-z][a-z\d+.-]{1,50}:)/{2,}", "/")).otherwise(p))
-        .withColumn("c_path", F.when(p.endswith("/"), p.substr(F.lit(1), F.length(p) - 1)).otherwise(p))
-        .withColumn("pathname", F.when(F.col("u_error").isNull(), F.when(p == "", F.lit("/")).otherwise(p)))
-        .drop("c_path")
-    )
+
+    def step(change: Callable[[Column], Column]) -> tuple[str, Callable[[Get], Column]]:
+        return "c_path", lambda g: change(g("c_path"))
+
+    return [
+        ("c_path", lambda g: F.when(F.contains(g("u_path"), F.lit("%")), _decode(F.regexp_replace(g("u_path"), reserved, "%25$1"))).otherwise(g("u_path"))),
+        step(lambda p: F.when(p.rlike(r"""[^!$-;=@-_a-z|~]|[`\x7f]"""), _escape(p, "!$%&'()+,/:;=@[\\]|~")).otherwise(p)),
+        step(lambda p: F.when(F.contains(p, F.lit("/.")) & p.rlike(r"(^|/)\.{1,2}(/|$)"), _resolve_dots(p)).otherwise(p)),
+        step(lambda p: F.when(F.contains(p, F.lit("//")), F.regexp_replace(p, r"(?<!\b[a-z][a-z\d+.-]{1,50}:)/{2,}", "/")).otherwise(p)),
+        step(lambda p: F.when(p.endswith("/"), p.substr(F.lit(1), F.length(p) - 1)).otherwise(p)),
+        ("pathname", lambda g: F.when(g("u_error").isNull(), F.when(g("c_path") == "", F.lit("/")).otherwise(g("c_path")))),
+    ]
 
 
 def param_name(part: Column) -> Column:
     return F.substring_index(part, "=", 1)
 
 
-def _with_clean_query(df: DataFrame) -> DataFrame:
-    """Adds ``search``: tracking parameters dropped, the others sorted by name and escaped where a URL needs it."""
-    q = F.col("c_query")
-    named = F.transform(
-        F.split("u_query", "&"), lambda p, i: F.struct(_decode(param_name(p)).alias("n"), i.alias("i"), p.alias("p"))
-    )
-    kept = F.filter(
-        "c_params", lambda x: (x["p"] != "") & ~x["n"].isin(TRACKING_PARAMS) & ~x["n"].rlike(TRACKING_FAMILIES)
-    )
-    coded = F.contains(q, F.lit("%")) | F.contains(q, F.lit("+"))
-    return (
-        df.withColumn("c_params", F.when(F.col("u_query") != "", named))
-        .withColumn("c_params", F.when(F.col("c_params").isNotNull(), F.array_sort(kept)))
-        .withColumn("c_query", F.coalesce(F.array_join("c_params.p", "&"), F.lit("")))
-        .withColumn("c_query", F.when(coded, F.coalesce(F.try_url_decode(q), q)).otherwise(q))
-        .withColumn("c_query", F.when(q.rlike(r"[^!$-&(-;=?-~]"), _escape(q, "!$%&()+,/:;=?@[\\]^`{|}~")).otherwise(q))
-        .withColumn("c_query", F.when(q.endswith("/"), q.substr(F.lit(1), F.length(q) - 1)).otherwise(q))
-        .withColumn("search", F.when(F.col("u_error").isNull(), F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q))))
-        .drop("c_params", "c_query")
-    )
+def query_steps() -> Steps:
+    """``search``: tracking parameters dropped, the others sorted by name and escaped where a URL needs it."""
+
+    def named(g: Get) -> Column:
+        return F.transform(F.split(g("u_query"), "&"), lambda p, i: F.struct(_decode(param_name(p)).alias("n"), i.alias("i"), p.alias("p")))
+
+    def kept(g: Get) -> Column:
+        return F.filter(g("c_params"), lambda x: (x["p"] != "") & ~x["n"].isin(TRACKING_PARAMS) & ~x["n"].rlike(TRACKING_FAMILIES))
+
+    def step(change: Callable[[Column], Column]) -> tuple[str, Callable[[Get], Column]]:
+        return "c_query", lambda g: change(g("c_query"))
+
+    return [
+        ("c_params", lambda g: F.when(g("u_query") != "", named(g))),
+        ("c_params", lambda g: F.when(g("c_params").isNotNull(), F.array_sort(kept(g)))),
+        ("c_query", lambda g: F.coalesce(F.array_join(g("c_params")["p"], "&"), F.lit(""))),
+        step(lambda q: F.when(F.contains(q, F.lit("%")) | F.contains(q, F.lit("+")), F.coalesce(F.try_url_decode(q), q)).otherwise(q)),
+        step(lambda q: F.when(q.rlike(r"[^!$-&(-;=?-~]"), _escape(q, "!$%&()+,/:;=?@[\\]^`{|}~")).otherwise(q)),
+        step(lambda q: F.when(q.endswith("/"), q.substr(F.lit(1), F.length(q) - 1)).otherwise(q)),
+        ("search", lambda g: F.when(g("u_error").isNull(), F.when(g("c_query") == "", F.lit("")).otherwise(F.concat(F.lit("?"), g("c_query"))))),
+    ]
+
+
+def with_steps(df: DataFrame, steps: Steps) -> DataFrame:
+    """The table with the columns of the steps; names that begin with ``c_`` are only used on the way."""
+    for name, column in steps:
+        df = df.withColumn(name, column(F.col))
+    return df.drop(*{name for name, _ in steps if name.startswith("c_")})
+
+
+def over_elements(elements: Column, steps: Steps) -> Column:
+    """A list of structs, each with the fields of the steps added: the same steps as over a table, within a row."""
+
+    def added(name: str, column: Callable[[Get], Column]) -> Column:
+        return F.transform(elements, lambda x: x.withField(name, column(lambda field: x[field])))
+
+    for name, column in steps:
+        elements = added(name, column)
+    return elements
 
 
 def settled(df: DataFrame, *columns: str) -> DataFrame:
@@ -141,47 +168,62 @@ def with_url_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
 
     ``u_url, u_text, u_scheme, u_host, u_port, u_path, u_query, u_error, u_message``.
     """
-    url = F.col(url_col)
-    host, port = F.col("u_host"), F.col("u_port")
-    missing = F.coalesce(F.length(url), F.lit(0)) == 0
-    foreign = ~F.col("u_scheme").isin("http", "https")
-    name_form = host.rlike(r"^[^\x00-\x20#%/:<>?@\[\\\]^|\x7f]+$") | host.rlike(r"^\[[0-9a-f:.]+\]$")
-    numeric = host.rlike(r"(^|\.)\d+\.?$")
-    ipv4 = host.rlike(rf"^{_IPV4_OCTET}(?:\.{_IPV4_OCTET}){{3}}\.?$")
-    ascii_host = F.when(
-        F.col("u_host0").rlike(r"[^\x00-\x7f]"),
-        F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), F.col("u_host0"))),
-    ).otherwise(F.col("u_host0"))
     # one projection whose later columns refer to the earlier ones
-    steps = {
-        "u_url": F.when(url.startswith("www."), F.concat(F.lit("https://"), url)).otherwise(url),
-        "u_text": F.regexp_replace(F.regexp_replace("u_url", r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", ""),
-        "u_scheme": F.lower(F.regexp_extract("u_text", r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)),
-        "u_main": F.substring_index("u_text", "#", 1),
-        "u_rest": F.regexp_replace(F.translate(F.substring_index("u_main", "?", 1), "\\", "/"), r"^[A-Za-z]+:/*", ""),
-        "u_query": F.expr("substring(u_main, length(substring_index(u_main, '?', 1)) + 2)"),
-        "u_authority": F.substring_index("u_rest", "/", 1),
-        "u_path": F.expr("substring(u_rest, length(u_authority) + 1)"),
-        "u_hostport": F.lower(F.substring_index("u_authority", "@", -1)),
-        "u_port": F.regexp_extract("u_hostport", r":(\d*)$", 1),
-        "u_host0": _decode(F.regexp_replace("u_hostport", r":\d*$", "")),
-        "u_host": ascii_host,
-        "u_bad_host": host.isNull()
-        | ~name_form
-        | (numeric & ~ipv4)
-        | (F.coalesce(port.try_cast("int"), F.lit(0)) > 65535)
-        | (F.length(port) > 9),
-        "u_error": F.when(missing | foreign | F.col("u_bad_host"), F.lit("InvalidUrlError")),
-        # fixed values: the texts that go with an error
-        "u_message": F.when(missing, F.lit("URL must be a non-empty string"))
-        .when(F.col("u_scheme") == "", F.concat(F.lit("Invalid URL format: "), F.col("u_url")))
-        .when(foreign, F.concat(F.lit("Invalid protocol: "), "u_scheme", F.lit(":. Only HTTP(S) protocols are allowed")))
-        .when(F.col("u_bad_host"), F.concat(F.lit("Invalid URL format: "), F.col("u_url"))),
-    }
-    split = df.select("*", *[c.alias(n) for n, c in steps.items()]).select(*df.columns, *PART_COLUMNS)
+    split = df.select("*", *[c(F.col).alias(n) for n, c in part_steps(lambda g: F.col(url_col))]).select(*df.columns, *PART_COLUMNS)
     return settled(split, *PART_COLUMNS)
 
 
+def part_steps(url: Callable[[Get], Column]) -> Steps:
+    """The columns of ``with_url_parts`` and some that they are worked out from."""
+
+    def ascii_host(g: Get) -> Column:
+        host = g("u_host0")
+        return F.when(host.rlike(r"[^\x00-\x7f]"), F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host))).otherwise(host)
+
+    def bad_host(g: Get) -> Column:
+        host, port = g("u_host"), g("u_port")
+        name_form = host.rlike(r"^[^\x00-\x20#%/:<>?@\[\\\]^|\x7f]+$") | host.rlike(r"^\[[0-9a-f:.]+\]$")
+        numeric = host.rlike(r"(^|\.)\d+\.?$")
+        ipv4 = host.rlike(rf"^{_IPV4_OCTET}(?:\.{_IPV4_OCTET}){{3}}\.?$")
+        # an empty port is no number, and telling so by the cast costs an exception
+        high = F.coalesce(F.when(F.length(port).between(1, 9), port.try_cast("int")), F.lit(0)) > 65535
+        return host.isNull() | ~name_form | (numeric & ~ipv4) | high | (F.length(port) > 9)
+
+    def missing(g: Get) -> Column:
+        return F.coalesce(F.length(url(g)), F.lit(0)) == 0
+
+    def foreign(g: Get) -> Column:
+        return ~g("u_scheme").isin("http", "https")
+
+    def after(text: Column, head: Column, skip: int) -> Column:
+        return F.substr(text, F.length(head) + skip)
+
+    return [
+        ("u_url", lambda g: F.when(url(g).startswith("www."), F.concat(F.lit("https://"), url(g))).otherwise(url(g))),
+        ("u_text", lambda g: F.regexp_replace(F.regexp_replace(g("u_url"), r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")),
+        ("u_scheme", lambda g: F.lower(F.regexp_extract(g("u_text"), r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))),
+        ("u_main", lambda g: F.substring_index(g("u_text"), "#", 1)),
+        ("u_rest", lambda g: F.regexp_replace(F.translate(F.substring_index(g("u_main"), "?", 1), "\\", "/"), r"^[A-Za-z]+:/*", "")),
+        ("u_query", lambda g: after(g("u_main"), F.substring_index(g("u_main"), "?", 1), 2)),
+        ("u_authority", lambda g: F.substring_index(g("u_rest"), "/", 1)),
+        ("u_path", lambda g: after(g("u_rest"), g("u_authority"), 1)),
+        ("u_hostport", lambda g: F.lower(F.substring_index(g("u_authority"), "@", -1))),
+        ("u_port", lambda g: F.regexp_extract(g("u_hostport"), r":(\d*)$", 1)),
+        ("u_host0", lambda g: _decode(F.regexp_replace(g("u_hostport"), r":\d*$", ""))),
+        ("u_host", ascii_host),
+        ("u_bad_host", bad_host),
+        ("u_error", lambda g: F.when(missing(g) | foreign(g) | g("u_bad_host"), F.lit("InvalidUrlError"))),
+        # fixed values: the texts that go with an error
+        (
+            "u_message",
+            lambda g: F.when(missing(g), F.lit("URL must be a non-empty string"))
+            .when(g("u_scheme") == "", F.concat(F.lit("Invalid URL format: "), g("u_url")))
+            .when(foreign(g), F.concat(F.lit("Invalid protocol: "), g("u_scheme"), F.lit(":. Only HTTP(S) protocols are allowed")))
+            .when(g("u_bad_host"), F.concat(F.lit("Invalid URL format: "), g("u_url"))),
+        ),
+    ]
+
+
 # Second-level labels that are taken for suffixes below any two-letter country, so that unlisted countries' sites don't merge.
 COUNTRY_LEVELS = ["ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "mil", "ne", "net", "or", "org"]
 
@@ -213,20 +255,36 @@ def domain_of(host: Column, suffixes: Iterable[str] = PUBLIC_SUFFIXES) -> Column
     return F.when(host.rlike(r"^(\[.*\]|[\d.]+)$"), host).otherwise(by_suffix)
 
 
-def _with_domain(df: DataFrame, suffixes: Iterable[str]) -> DataFrame:
-    """Adds ``domain``: the registrable domain with the first brand subdomain kept in front of it."""
-    host, base, brand = F.col("hostname"), F.col("c_base"), F.col("c_brand")
-    inner = host.substr(F.lit(1), F.length(host) - F.length(base) - 1)
-    brands = F.array(*[F.lit(b) for b in BRAND_SUBDOMAINS])
-    return (
-        df.withColumn("c_base", domain_of(host, suffixes))
-        .withColumn("c_brand", F.when(F.length(host) > F.length(base), F.get(F.array_intersect(F.split(inner, r"\."), brands), 0)))
-        .withColumn(
-            "domain",
-            F.when(brand.isNotNull() & ~base.startswith(F.concat(brand, F.lit("."))), F.concat(brand, F.lit("."), base)).otherwise(base),
-        )
-        .drop("c_base", "c_brand")
-    )
+def host_steps() -> Steps:
+    """``hostname``: without a dot at the end and, where a whole domain follows, without ``www.``"""
+    www = r"^www\.(?!www\.)([a-z\d-]{1,63}\.[a-z\d.-]{2,63})$"
+
+    def hostname(g: Get) -> Column:
+        bare = F.regexp_replace(g("u_host"), r"\.$", "")
+        return F.when(g("u_error").isNull(), F.when(g("u_host").startswith("www."), F.regexp_replace(bare, www, "$1")).otherwise(bare))
+
+    return [("hostname", hostname)]
+
+
+def brand_steps() -> Steps:
+    """``domain``: the registrable domain ``c_base`` with the first brand subdomain kept in front of it."""
+
+    def brand(g: Get) -> Column:
+        host, base = g("hostname"), g("c_base")
+        inner = host.substr(F.lit(1), F.length(host) - F.length(base) - 1)
+        brands = F.array(*[F.lit(b) for b in BRAND_SUBDOMAINS])
+        return F.when(F.length(host) > F.length(base), F.get(F.array_intersect(F.split(inner, r"\."), brands), 0))
+
+    def domain(g: Get) -> Column:
+        first, base = g("c_brand"), g("c_base")
+        return F.when(first.isNotNull() & ~base.startswith(F.concat(first, F.lit("."))), F.concat(first, F.lit("."), base)).otherwise(base)
+
+    return [("c_brand", brand), ("domain", domain)]
+
+
+def domain_steps(suffixes: Iterable[str]) -> Steps:
+    """``domain`` by a short list of public suffixes."""
+    return [("c_base", lambda g: domain_of(g("hostname"), suffixes)), *brand_steps()]
 
 
 def url_key(text: Column) -> Column:
@@ -243,12 +301,9 @@ def with_url_components(
 ) -> DataFrame:
     """Adds href, encoded_href, hostname, pathname, search, domain, key, original, error and message."""
     ok = F.col("u_error").isNull()
-    bare = F.regexp_replace("u_host", r"\.$", "")
-    www = r"^www\.(?!www\.)([a-z\d-]{1,63}\.[a-z\d.-]{2,63})$"
-    parts = with_url_parts(df, url_col).withColumn(
-        "hostname", F.when(ok, F.when(F.col("u_host").startswith("www."), F.regexp_replace(bare, www, "$1")).otherwise(bare))
-    )
-    split = settled(_with_domain(_with_clean_query(_with_clean_path(parts)), suffixes), "pathname", "search", "domain")
+    parts = with_steps(with_url_parts(df, url_col), host_steps())
+    steps = [*path_steps(), *query_steps(), *domain_steps(suffixes)]
+    split = settled(with_steps(parts, steps), "pathname", "search", "domain")
     return (
         split.withColumn("href", F.concat(F.lit("https://"), "hostname", "pathname", "search"))
         .withColumn("encoded_href", encode_component(F.col("href")))

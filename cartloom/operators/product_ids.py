@@ -7,8 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.functions.urls import PUBLIC_SUFFIXES, with_url_components
-from cartloom.sources.registry import store_lookup
+from cartloom.functions.urls import PUBLIC_SUFFIXES, Get, Steps, domain_steps, host_steps, over_elements, part_steps, path_steps, query_steps, with_steps, with_url_components
+from cartloom.sources.registry import SETTINGS, settings_by_key, store_lookup
 
 # Generic identifier patterns and limits.
 MAX_IDS = 12
@@ -69,31 +69,51 @@ def with_product_ids(df: DataFrame, registry: DataFrame, store_col: str | None =
     ``found_ids`` is sorted and holds at most twelve ids. A malformed id fails the whole URL.
     """
     base = df if store_col else df.withColumn("no_store", F.lit(None).cast("string"))
-    path, query = F.lower("pathname"), F.lower("search")
-    out = (
-        store_lookup(base, registry, store_col or "no_store")
-        .withColumn(
-            "store_path_ids",
-            _capped(
-                rewrite_ids(store_pattern_ids(path, F.col("path_patterns")), F.col("rewrite_find"), F.col("rewrite_to"))
-            ),
-        )
-        .withColumn(
-            "path_ids", F.when(F.size("store_path_ids") > 0, F.col("store_path_ids")).otherwise(generic_path_ids(path))
-        )
-        .withColumn(
-            "query_ids",
-            F.when(
-                F.col("search") == "", F.expr(_NONE)
-            ).otherwise(F.concat(store_pattern_ids(query, F.col("query_patterns")), generic_query_ids(query))),
-        )
-        .withColumn("found_ids", F.array_sort(_capped(F.concat("path_ids", "query_ids"))))
-        .withColumn("id_error", F.when(F.exists("found_ids", lambda x: ~x.rlike(VALID_ID)), F.lit("ZodError")))
-        .withColumnRenamed("primary_id", "resolved_store_id")
-    )
-    return out.drop(
-        "no_store", "store_pos", "primary_domain", "path_patterns", "query_patterns", "rewrite_find", "rewrite_to",
-    )
+    found = with_steps(store_lookup(base, registry, store_col or "no_store"), id_steps()).withColumnRenamed("primary_id", "resolved_store_id")
+    return found.drop("no_store", "store_pos", "primary_domain", *SETTINGS)
+
+
+def id_steps() -> Steps:
+    """``found_ids`` and ``id_error`` from ``pathname``, ``search`` and the settings of the store."""
+
+    def store_path_ids(g: Get) -> Column:
+        return _capped(rewrite_ids(store_pattern_ids(F.lower(g("pathname")), g("path_patterns")), g("rewrite_find"), g("rewrite_to")))
+
+    def query_ids(g: Get) -> Column:
+        query = F.lower(g("search"))
+        return F.when(g("search") == "", F.expr(_NONE)).otherwise(F.concat(store_pattern_ids(query, g("query_patterns")), generic_query_ids(query)))
+
+    return [
+        ("store_path_ids", store_path_ids),
+        ("path_ids", lambda g: F.when(F.size(g("store_path_ids")) > 0, g("store_path_ids")).otherwise(generic_path_ids(F.lower(g("pathname"))))),
+        ("query_ids", query_ids),
+        ("found_ids", lambda g: F.array_sort(_capped(F.concat(g("path_ids"), g("query_ids"))))),
+        ("id_error", lambda g: F.when(F.exists(g("found_ids"), lambda x: ~x.rlike(VALID_ID)), F.lit("ZodError"))),
+    ]
+
+
+def nested_ids(urls: Column, store_id: Column, registry: DataFrame, suffixes: Iterable[str] = PUBLIC_SUFFIXES) -> Column | None:
+    """The ids of every URL of a list, as a list of lists in its order, worked out within the row: no explode, no join, so it suits streams.
+    Failures and missing URLs give an empty list. None where the registry is too large to go into the expression."""
+    settings = settings_by_key(registry)
+    if settings is None:
+        return None
+    by_id, by_domain = settings
+    given = F.nullif(store_id, F.lit(""))
+
+    def fields(e: Column, *names: str) -> Column:
+        return F.transform(e, lambda x: F.struct(*[x[n].alias(n) for n in names]))
+
+    def of_store(g: Get) -> Column:
+        return F.when(given.isNotNull(), F.try_element_at(by_id, given)).otherwise(F.try_element_at(by_domain, g("domain")))
+
+    found = over_elements(F.transform(urls, lambda u: F.struct(u.alias("u"))), [*part_steps(lambda g: g("u")), *host_steps()])
+    found = fields(found, "u_error", "u_path", "u_query", "hostname")
+    found = over_elements(found, [*path_steps(), *query_steps(), *domain_steps(suffixes)])
+    found = over_elements(fields(found, "u_error", "pathname", "search", "domain"), [("store", of_store)])
+    found = F.transform(found, lambda x: F.struct(x["u_error"].alias("u_error"), x["pathname"].alias("pathname"), x["search"].alias("search"), *[x["store"][n].alias(n) for n in SETTINGS]))
+    found = over_elements(found, id_steps())
+    return F.transform(found, lambda x: F.coalesce(F.when(x["u_error"].isNull() & x["id_error"].isNull(), x["found_ids"]), F.expr(_NONE)))
 
 
 def url_analysis(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cartloom.functions.prices import amount_to_cents, is_number, price_currency, price_to_cents
 from cartloom.functions.urls import settled
 from cartloom.functions.text import blank_to_null, js_trim, non_blank, parse_integer, parse_number
-from cartloom.operators.product_ids import extracted_ids
+from cartloom.operators.product_ids import extracted_ids, nested_ids
 from cartloom.sources.events import parse_product_views, texts
 
 VARIANT_FIELDS = "sku: string, url: string, image_url: string, price: bigint, currency: string, color: string"
@@ -247,10 +247,11 @@ def normalize_product_views(
     include_metadata: bool = True,
     variant_ids: bool = True,
 ) -> DataFrame:
-    """One normalised product per parsed event; all other input columns are kept and ``event_id`` must be unique. Events that could not be
-    read give none.
+    """One normalised product per parsed event; all other input columns are kept. Events that could not be read give none.
 
-    Without ``variant_ids`` only the product's own URL is analysed, which needs no shuffle and so suits streams.
+    The ids of variant URLs are worked out within the event's row, so the job needs no shuffle and suits streams. Only a registry too large
+    for that (``registry.MOST_ENTRIES``) makes them rows of their own; then ``event_id`` must be unique, and a stream is refused.
+    Without ``variant_ids`` only the product's own URL is analysed.
     """
     product = _products(events.where(F.col("e").isNotNull()), include_metadata)
     if extract_ids:
@@ -303,7 +304,25 @@ def _without_ids(v: Column) -> Column:
 
 
 def _with_variant_ids(products: DataFrame, registry: DataFrame) -> DataFrame:
-    """Adds the ids of every variant URL: variants are exploded, analysed like any URL and put back in order.
+    """Adds the ids of every variant URL; each distinct URL of an event is analysed once."""
+    urls = F.filter(F.array_distinct(F.col("variants.url")), lambda u: u.isNotNull())
+    found = nested_ids(F.col("variant_urls"), F.col("store_id"), registry)
+    if found is None:
+        if products.isStreaming:
+            raise ValueError("a registry of this size can't be looked up within the rows of a stream")
+        return _with_joined_variant_ids(products, registry)
+    listed = settled(products.withColumn("variant_urls", urls), "variant_urls", "store_id", "variants")
+    analysed = settled(listed.withColumn("variant_found", found), "variant_found")
+
+    def with_ids(v: Column) -> Column:
+        ids = F.get("variant_found", (F.array_position("variant_urls", v["url"]) - 1).cast("int"))
+        return v.withField("extracted_ids", F.when(F.size(ids) > 0, ids))
+
+    return analysed.withColumn("variants", F.transform("variants", with_ids)).select(*products.columns)
+
+
+def _with_joined_variant_ids(products: DataFrame, registry: DataFrame) -> DataFrame:
+    """The same for a registry of any size: variants are exploded, analysed like any URL and put back in order.
 
     A group is the variants of a single event, so its size is bounded by one JSON record.
     """

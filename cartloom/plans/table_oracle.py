@@ -93,6 +93,7 @@ ORACLE: dict[str, str] = {
     "image_retry_queue": f"""WITH {_CLASS} SELECT request_id, code AS error_code, CASE WHEN retry_after = '120' THEN 120 WHEN retry_after IS NOT NULL THEN 1680 END AS retry_seconds FROM cl WHERE NOT success AND NOT is_permanent""",
     "image_batch_summary": f"WITH {_CLASS} SELECT domain, coalesce(code, 'OK') AS code, count(*) AS total, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed FROM cl GROUP BY 1, 2",
     "stream_normalize_events": f"SELECT event_id, item_pos, title, url, price, extracted_ids FROM ({EVENTS['normalize_cart_events']})",
+    "stream_product_views": f"SELECT event_id, variant_pos, sku, url, price, extracted_ids FROM ({EVENTS['product_variants']})",
     "stream_session_enrich": f"""SELECT match_confidence, count(*) AS items FROM ({MATCHES['enrich_cart']})
         WHERE session_id IN (SELECT o_orderkey FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders)) GROUP BY 1""",
     "stream_url_dedup": f"""SELECT DISTINCT key, 1 AS rows FROM ({components_sql(f"SELECT url FROM events JOIN pages ON {_PAGE}")}) WHERE err IS NULL""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cartloom.operators import coverage, jsonld, media
 from cartloom.operators.product_ids import result_summary, url_analysis
+from cartloom.operators.product_views import product_variants
 from cartloom.plans.adapters import table, view
 from cartloom.plans.url_queries import Query, all_urls, joined
 from cartloom.session import scratch_dir
@@ -192,6 +193,14 @@ def stream_normalize_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.col("item_pos").cast("long").alias("item_pos"), "title", "url", "price", joined("extracted_ids").alias("extracted_ids"))
 
 
+def stream_product_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product views of a stream at variant grain, with the ids of the variants' URLs."""
+    stream = _as_stream(spark, view(spark, sf_dir, "raw_views"), "views-in")
+    out = _drained(spark, jobs.stream_normalize_views(stream, reg.builtin_registry(spark)), "views-out")
+    variants = product_variants(out)
+    return variants.select("event_id", F.col("variant_pos").cast("long").alias("variant_pos"), "sku", "url", "price", joined("extracted_ids").alias("extracted_ids"))
+
+
 def _timed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as visits of page URLs: the event id picks one of all pages."""
     events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
@@ -267,6 +276,7 @@ QUERIES: dict[str, Query] = {
     "image_retry_queue": image_retry_queue,
     "image_batch_summary": image_batch_summary,
     "stream_normalize_events": stream_normalize_events,
+    "stream_product_views": stream_product_views,
     "stream_url_dedup": stream_url_dedup,
     "stream_batch_summary": stream_batch_summary,
     "stream_session_enrich": stream_session_enrich,

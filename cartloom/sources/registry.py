@@ -9,6 +9,8 @@ when their size is below its threshold and shuffles otherwise.
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,6 +119,25 @@ def dim_store_patterns(registry: DataFrame) -> DataFrame:
     return path.unionByName(query).withColumnRenamed("id", "store_id")
 
 
+#: What a store's settings tell about its URLs.
+SETTINGS = ["path_patterns", "query_patterns", "rewrite_find", "rewrite_to"]
+#: Entries of a registry that may go into an expression; a larger one is joined.
+MOST_ENTRIES = 2000
+
+
+def settings_by_key(registry: DataFrame) -> tuple[Column, Column] | None:
+    """The stores' settings by id and by domain as constant maps; None for a registry of more than ``MOST_ENTRIES`` entries."""
+    by_id = dim_store_by_id(registry).select(F.lit(0).alias("map"), F.col("store_id").alias("key"), *SETTINGS)
+    by_domain = dim_store_by_domain(registry).select(F.lit(1), "store_domain", *SETTINGS)
+    rows = by_id.union(by_domain).limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        return None
+    # one literal each, read once when the query is planned
+    shape = f"map<string, struct<{SETTINGS[0]}: array<string>, {SETTINGS[1]}: array<string>, {SETTINGS[2]}: string, {SETTINGS[3]}: string>>"
+    texts = [json.dumps({r.key: {n: r[n] for n in SETTINGS} for r in rows if r["map"] == i}) for i in (0, 1)]
+    return tuple(F.from_json(F.lit(t), shape) for t in texts)
+
+
 def store_lookup(df: DataFrame, registry: DataFrame, id_col: str = "store_id", domain_col: str = "domain") -> DataFrame:
     """Adds the settings of the row's store: by id where the row has one, otherwise by domain, never both."""
     by_id = dim_store_by_id(registry)

@@ -16,8 +16,8 @@ from cartloom.operators.product_views import normalize_raw_views
 
 
 def stream_normalize_views(events: DataFrame, registry: DataFrame) -> DataFrame:
-    """Product views of a stream with the ids of the product URL; stateless, since variant URLs are left to the batch job."""
-    return normalize_raw_views(events, registry, variant_ids=False)
+    """Product views of a stream with the ids of the product's and all variants' URLs; stateless, like the batch job."""
+    return normalize_raw_views(events, registry)
 
 
 def stream_normalize_carts(events: DataFrame, registry: DataFrame) -> DataFrame:
