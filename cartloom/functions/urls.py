@@ -16,6 +16,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartloom.sources.public_suffixes import with_domain_base
+
 # Query parameters that only track visits.
 TRACKING_PARAMS = [
     "_ga", "gclid", "gclsrc", "_gl", "fbclid", "twclid", "t", "msclkid",
@@ -297,13 +299,21 @@ def encode_component(c: Column) -> Column:
 
 
 def with_url_components(
-    df: DataFrame, url_col: str = "url", suffixes: Iterable[str] = PUBLIC_SUFFIXES
+    df: DataFrame, url_col: str = "url", suffixes: Iterable[str] | DataFrame = PUBLIC_SUFFIXES
 ) -> DataFrame:
-    """Adds href, encoded_href, hostname, pathname, search, domain, key, original, error and message."""
+    """Adds href, encoded_href, hostname, pathname, search, domain, key, original, error and message.
+
+    ``suffixes`` is a short list of public suffixes, which becomes part of the expression, or a table of rules of any size
+    (``public_suffixes.suffix_rules``), which the distinct hosts are joined with; streams take the list.
+    """
     ok = F.col("u_error").isNull()
     parts = with_steps(with_url_parts(df, url_col), host_steps())
-    steps = [*path_steps(), *query_steps(), *domain_steps(suffixes)]
-    split = settled(with_steps(parts, steps), "pathname", "search", "domain")
+    if isinstance(suffixes, DataFrame):
+        cleaned = settled(with_steps(parts, [*path_steps(), *query_steps()]), "pathname", "search")
+        split = with_steps(with_domain_base(cleaned, suffixes, "hostname", "c_base"), brand_steps()).drop("c_base")
+    else:
+        steps = [*path_steps(), *query_steps(), *domain_steps(suffixes)]
+        split = settled(with_steps(parts, steps), "pathname", "search", "domain")
     return (
         split.withColumn("href", F.concat(F.lit("https://"), "hostname", "pathname", "search"))
         .withColumn("encoded_href", encode_component(F.col("href")))

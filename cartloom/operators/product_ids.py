@@ -117,7 +117,7 @@ def nested_ids(urls: Column, store_id: Column, registry: DataFrame, suffixes: It
 
 
 def url_analysis(
-    urls: DataFrame, registry: DataFrame, url_col: str = "url", store_col: str | None = "store_id", suffixes: Iterable[str] = PUBLIC_SUFFIXES
+    urls: DataFrame, registry: DataFrame, url_col: str = "url", store_col: str | None = "store_id", suffixes: Iterable[str] | DataFrame = PUBLIC_SUFFIXES
 ) -> DataFrame:
     """Identifiers per URL: ``store_id, product_ids, count, success, error, message`` next to the input columns."""
     kept = [c for c in urls.columns if c != store_col]
@@ -135,7 +135,7 @@ def url_analysis(
     )
 
 
-def extracted_ids(df: DataFrame, registry: DataFrame, url_col: str, store_col: str, out_col: str, suffixes: Iterable[str] = PUBLIC_SUFFIXES) -> DataFrame:
+def extracted_ids(df: DataFrame, registry: DataFrame, url_col: str, store_col: str, out_col: str, suffixes: Iterable[str] | DataFrame = PUBLIC_SUFFIXES) -> DataFrame:
     """Adds the ids of a URL column; failures and missing URLs give an empty array."""
     found = with_product_ids(with_url_components(df, url_col, suffixes), registry, store_col)
     usable = F.col("error").isNull() & F.col("id_error").isNull()

@@ -360,7 +360,28 @@ def fetch_log(d: Dialect) -> str:
     FROM {lineitem}"""
 
 
+def suffix_list(d: Dialect) -> str:
+    """A public suffix list with a rule per customer, of each kind and up to three labels, and some lines that are none."""
+    k = "cast(c_custkey {} as string)".format
+    return f"""
+    SELECT CASE c_custkey % 10 WHEN 0 THEN '*.w' || {k('')} || '.test' WHEN 1 THEN '!city.w' || {k('- 1')} || '.test' WHEN 2 THEN 'C' || {k('')} || '.d.e  as of today'
+        WHEN 3 THEN '// c' || {k('')} || '.f' ELSE 'c' || {k('')} || '.r' || cast(c_custkey % 7 as string) END AS rule
+    FROM {{customer}} UNION ALL SELECT rule FROM (VALUES ('co.uk'), ('com.au'), (''), ('*'), ('blogspot.com')) AS fixed(rule)"""
+
+
+def suffix_hosts(d: Dialect) -> str:
+    """URLs whose hosts end in the list's suffixes, are suffixes themselves, or have too few or many labels; one per customer and form."""
+    k = "cast(c_custkey {} as string)".format
+    of = f"""CASE c_custkey % 10 WHEN 0 THEN 'w' || {k('')} || '.test' WHEN 1 THEN 'city.w' || {k('- 1')} || '.test' WHEN 2 THEN 'c' || {k('')} || '.d.e' ELSE 'c' || {k('')} || '.r' || cast(c_custkey % 7 as string) END"""
+    return f"""
+    SELECT c_custkey, form, 'https://' || CASE form WHEN 0 THEN {of} WHEN 1 THEN 'Shop.' || {of} WHEN 2 THEN 'a.b.' || {of} WHEN 3 THEN 'gap.x.y.' || {of} WHEN 4 THEN 'www.example.co.uk'
+        ELSE '10.0.' || cast(c_custkey % 200 as string) || '.1' END || '/p/' || {k('')} AS url
+    FROM {{customer}} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS forms(form)"""
+
+
 ADAPTERS = {
+    "suffix_list": suffix_list,
+    "suffix_hosts": suffix_hosts,
     "product_urls": product_urls,
     "golden_urls": golden_urls,
     "cart_lines": cart_lines,

@@ -205,7 +205,21 @@ def _valid(columns: str) -> str:
     return f"SELECT url_id, {columns} FROM ({COMP}) WHERE err IS NULL"
 
 
+_BY_RULES = f"""WITH lines AS (SELECT lower(regexp_extract(rule, '^[ ]*([^ ]*)', 1)) AS l FROM ({view_sql("suffix_list")})),
+    rules AS (SELECT DISTINCT regexp_replace(l, '^(!|[*][.])', '') AS key, starts_with(l, '!') AS spared, starts_with(l, '*.') AS wild FROM lines WHERE l NOT IN ('', '*') AND NOT starts_with(l, '//')),
+    urls AS (SELECT url_id, url FROM ({ALL_URLS}) UNION ALL SELECT 'host-' || c_custkey || '-' || form, url FROM ({view_sql("suffix_hosts")})),
+    valid AS (SELECT url_id, hostname, string_split(hostname, '.') AS ls FROM ({components_sql("SELECT * FROM urls")}) WHERE err IS NULL),
+    hosts AS (SELECT DISTINCT hostname, ls FROM valid),
+    tails AS (SELECT hostname, ls, n, array_to_string(ls[len(ls) - n + 1:], '.') AS tail FROM hosts, range(1, 200) t(n) WHERE n <= len(ls)),
+    met AS (SELECT hostname, spared, n + CASE WHEN spared THEN -1 WHEN wild THEN 1 ELSE 0 END AS size FROM tails JOIN rules ON tail = key WHERE NOT wild OR n < len(ls)),
+    best AS (SELECT hostname, arg_max(size, size + CASE WHEN spared THEN 1000 ELSE 0 END) AS size FROM met GROUP BY hostname),
+    based AS (SELECT url_id, v.hostname, ls, CASE WHEN regexp_matches(v.hostname, '^[0-9.]+$') THEN v.hostname
+        ELSE array_to_string(ls[greatest(len(ls) - coalesce(size, 1), 1):], '.') END AS base FROM valid v LEFT JOIN best b ON b.hostname = v.hostname),
+    branded AS (SELECT *, list_filter(string_split(substr(hostname, 1, greatest(length(hostname) - length(base) - 1, 0)), '.'), lambda b: b IN {text_list(BRAND_SUBDOMAINS)})[1] AS brand FROM based)
+    SELECT url_id, hostname, CASE WHEN brand IS NOT NULL AND NOT starts_with(base, brand || '.') THEN brand || '.' || base ELSE base END AS domain FROM branded"""
+
 ORACLE: dict[str, str] = {
+    "url_domain_by_rules": _BY_RULES,
     "url_validate": f"""SELECT url_id, err IS NULL AS is_valid, err AS error,
         CASE WHEN err IS NULL THEN NULL WHEN coalesce(url, '') = '' THEN 'URL must be a non-empty string'
           WHEN sch = '' OR sch IN ('http', 'https') THEN 'Invalid URL format: ' || u

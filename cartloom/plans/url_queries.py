@@ -13,6 +13,7 @@ from cartloom.operators import product_ids as ids
 from cartloom.operators import url_mining as mining
 from cartloom.plans.adapters import table, view
 from cartloom.sources.files import catalog_from_table
+from cartloom.sources.public_suffixes import suffix_rules
 from cartloom.sources.registry import builtin_registry, store_lookup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +60,14 @@ def _select(*columns: str) -> Query:
     return query
 
 
+def url_domain_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains of all URLs by a suffix list held as a table."""
+    hosts = view(spark, sf_dir, "suffix_hosts").select(F.concat_ws("-", F.lit("host"), "c_custkey", "form").alias("url_id"), "url", F.lit(None).cast("string").alias("store_id"))
+    rules = suffix_rules(view(spark, sf_dir, "suffix_list"))
+    parts = with_url_components(all_urls(spark, sf_dir).unionByName(hosts), suffixes=rules)
+    return parts.where(F.col("error").isNull()).select("url_id", "hostname", "domain")
+
+
 def url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per key, the first by id."""
     keyed = _components(spark, sf_dir).where(F.col("error").isNull()).select("key", "url_id", "href")
@@ -194,6 +203,7 @@ QUERIES: dict[str, Query] = {
     "url_normalize": _select("href"),
     "url_strip_tracking": _select("search"),
     "url_domain": _select("hostname", "domain"),
+    "url_domain_by_rules": url_domain_by_rules,
     "url_key": _select("key"),
     "url_components": _select("href", "encoded_href", "hostname", "pathname", "search", "domain", "key", "original"),
     "url_dedup": url_dedup,
