@@ -180,6 +180,24 @@ def store_registry(d: Dialect) -> str:
     FROM {{supplier}}"""
 
 
+def registry_snapshots(d: Dialect) -> str:
+    """Four weekly registries: stores come, go and come again, and some change their rules."""
+    return f"""
+    SELECT pos, id, CASE WHEN pos % 13 = 5 AND week > 1 THEN 'moved' || cast(pos as string) || '.com' ELSE domain END AS domain, aliases, path_patterns, query_patterns,
+      CASE WHEN pos % 3 = 1 AND week > 0 THEN 'sk' ELSE rewrite_find END AS rewrite_find,
+      CASE WHEN pos % 3 = 1 AND week > 0 THEN 'week' || cast(floor(week / 2) as bigint) || '-' ELSE rewrite_to END AS rewrite_to, valid_from
+    FROM ({store_registry(d)}) r CROSS JOIN (VALUES (0, timestamp '2024-01-03 00:00:00'), (1, timestamp '2024-01-10 00:00:00'), (2, timestamp '2024-01-17 12:00:00'), (3, timestamp '2024-01-24 00:00:00')) AS weeks(week, valid_from)
+    WHERE (pos + week) % 6 <> 0"""
+
+
+def store_visits(d: Dialect) -> str:
+    """Events as visits of a store by id or, one in four, by domain."""
+    return """
+    SELECT event_id, ts, CASE WHEN event_id % 4 <> 0 THEN cast(user_id as string) ELSE CASE event_id % 8 WHEN 0 THEN '' END END AS store_id,
+      CASE WHEN event_id % 12 = 0 THEN 'moved' ELSE 'store' END || cast(user_id as string) || '.com' AS domain
+    FROM {events}"""
+
+
 def url_log(d: Dialect) -> str:
     """Logged product URLs per supplier store with the ids that earlier jobs found, many of them blank."""
     return f"""
@@ -380,6 +398,8 @@ def suffix_hosts(d: Dialect) -> str:
 
 
 ADAPTERS = {
+    "registry_snapshots": registry_snapshots,
+    "store_visits": store_visits,
     "suffix_list": suffix_list,
     "suffix_hosts": suffix_hosts,
     "product_urls": product_urls,

@@ -12,6 +12,11 @@ _ENTRIES = f"""r AS ({_REG}), entries AS (SELECT pos, -1 AS ap, id AS eid, domai
     UNION ALL SELECT pos, ap, a.id, a.domain, id, domain, path_patterns, query_patterns, rewrite_find, rewrite_to FROM (SELECT *, unnest(aliases) AS a, unnest(range(0, len(aliases))) AS ap FROM r)),
     by_id AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY pos DESC, ap DESC) AS rn FROM entries WHERE eid IS NOT NULL) WHERE rn = 1),
     by_domain AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edomain ORDER BY pos DESC, ap DESC) AS rn FROM entries) WHERE rn = 1)"""
+_ENTRY = "id, domain, path_patterns, query_patterns, rewrite_find, rewrite_to"
+_LAST = "row_number() OVER (PARTITION BY valid_from, {0} ORDER BY pos DESC, ap DESC) AS rn".format
+_VERSIONED = f"""snaps AS ({view_sql("registry_snapshots")}), dated AS (SELECT valid_from, pos, -1 AS ap, id AS eid, domain AS edomain, {_ENTRY} FROM snaps
+    UNION ALL SELECT valid_from, pos, ap, a.id, a.domain, {_ENTRY} FROM (SELECT *, unnest(aliases) AS a, unnest(range(0, len(aliases))) AS ap FROM snaps)),
+    held AS (SELECT * FROM (SELECT 'id' AS kind, eid AS key, *, {_LAST("eid")} FROM dated WHERE eid IS NOT NULL UNION ALL SELECT 'domain', edomain, *, {_LAST("edomain")} FROM dated) WHERE rn = 1)"""
 _STATS = f"""stats AS (SELECT trim(store_id) AS store_id, arg_min(coalesce(nullif(trim(store_name), ''), 'Unknown'), row_id) AS store_name, count(*) AS row_count,
     count(*) FILTER (coalesce(trim(url_ids_csv), '') <> '') AS rows_with_ids, count(*) FILTER (json_valid(product_ids) AND starts_with(product_ids, '["')) AS rows_with_product_ids
     FROM ({_LOG}) WHERE trim(store_id) <> '' GROUP BY 1)"""
@@ -56,6 +61,16 @@ ORACLE: dict[str, str] = {
     "store_lookup": f"""WITH {_ENTRIES}, l AS (SELECT row_id, trim(store_id) AS store_id, regexp_extract(url, 'www\\.([^/]+)', 1) AS domain FROM ({_LOG}))
         SELECT row_id, store_id, CASE WHEN store_id <> '' THEN i.id ELSE d.id END AS primary_id, CASE WHEN store_id <> '' THEN i.domain ELSE d.domain END AS primary_domain
         FROM l LEFT JOIN by_id i ON l.store_id = i.eid LEFT JOIN by_domain d ON l.domain = d.edomain""",
+    "registry_versions": f"""WITH {_VERSIONED},
+        keys AS (SELECT DISTINCT kind, key FROM held), grid AS (SELECT kind, key, valid_from FROM keys CROSS JOIN (SELECT DISTINCT valid_from FROM snaps)),
+        full_ AS (SELECT g.*, h.id IS NULL AND h.domain IS NULL AS is_gone, h.id, h.domain, h.rewrite_to, concat_ws('|', h.id, '#', h.domain, '#', h.pos, h.path_patterns, h.query_patterns, h.rewrite_find, '#', h.rewrite_to) AS print
+          FROM grid g LEFT JOIN held h USING (kind, key, valid_from)),
+        marked AS (SELECT *, lag(print) OVER w AS before, bool_or(NOT is_gone) OVER (PARTITION BY kind, key ORDER BY valid_from) AS met FROM full_ WINDOW w AS (PARTITION BY kind, key ORDER BY valid_from)),
+        changed AS (SELECT * FROM marked WHERE met AND (before IS NULL OR before <> print))
+        SELECT kind, key, strftime(valid_from, '%Y-%m-%d %H:%M') AS valid_from, strftime(lead(valid_from) OVER (PARTITION BY kind, key ORDER BY valid_from), '%Y-%m-%d %H:%M') AS valid_to, is_gone, id AS primary_id, domain AS primary_domain, rewrite_to FROM changed""",
+    "store_lookup_at": f"""WITH {_VERSIONED}, visits AS ({view_sql("store_visits")}), placed AS (SELECT v.*, s.valid_from FROM visits v ASOF LEFT JOIN (SELECT DISTINCT valid_from FROM snaps) s ON v.ts >= s.valid_from)
+        SELECT p.event_id, p.store_id, h.id AS primary_id, h.domain AS primary_domain, h.rewrite_to FROM placed p
+        LEFT JOIN held h ON h.valid_from = p.valid_from AND h.kind = CASE WHEN coalesce(p.store_id, '') <> '' THEN 'id' ELSE 'domain' END AND h.key = coalesce(nullif(p.store_id, ''), p.domain)""",
     "url_log_analysis": f"""WITH {_ENTRIES}, l AS (SELECT row_id, url, trim(store_id) AS store_id, regexp_extract(url, 'www\\.([^/]+)', 1) AS domain, 'c-item' || regexp_extract(url, 'item(\\d+)', 1) AS slug,
           regexp_extract(url, 'item(\\d+)', 1) AS item, regexp_extract(url, '/sku/(sk\\d+)', 1) AS sku, regexp_extract(url, 'code=(\\d+)', 1) AS code FROM ({_LOG})),
         j AS (SELECT l.*, x.id AS sid, x.path_patterns AS pp, x.query_patterns AS qp, x.rewrite_find AS f, x.rewrite_to AS t FROM l LEFT JOIN (SELECT true AS k, eid AS key, * FROM by_id UNION ALL SELECT false, edomain, * FROM by_domain) x

@@ -13,6 +13,7 @@ from cartloom.plans.url_queries import Query, all_urls, joined
 from cartloom.session import scratch_dir
 from cartloom.sources import files
 from cartloom.sources import registry as reg
+from cartloom.sources import registry_versions as versions
 from cartloom.streaming import jobs
 
 
@@ -76,6 +77,29 @@ def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reg.store_lookup(log, _registry(spark, sf_dir)).select("row_id", "store_id", "primary_id", "primary_domain")
 
 
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly registries, written as snapshots and read back."""
+    path, weekly = scratch_dir(spark, "registry"), view(spark, sf_dir, "registry_snapshots")
+    time = F.date_format("valid_from", "yyyy-MM-dd'T'HH:mm:ss")
+    for (week,) in weekly.select(time).distinct().collect():
+        versions.write_registry_snapshot(weekly.filter(time == week).drop("valid_from"), path, week)
+    return versions.read_registry_snapshots(spark, path)
+
+
+def registry_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When the settings of each store id and domain changed."""
+    found = versions.registry_versions(_snapshots(spark, sf_dir))
+    times = [F.date_format(c, "yyyy-MM-dd HH:mm").alias(c) for c in ("valid_from", "valid_to")]
+    return found.select("kind", "key", *times, F.col("config").isNull().alias("is_gone"), "config.primary_id", "config.primary_domain", "config.rewrite_to")
+
+
+def store_lookup_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of the visited stores as of the visit."""
+    visits = view(spark, sf_dir, "store_visits").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = versions.store_lookup_at(visits, versions.registry_versions(_snapshots(spark, sf_dir)), "ts")
+    return found.select("event_id", "store_id", "primary_id", "primary_domain", "rewrite_to")
+
+
 def url_log_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every logged URL against the registry with one store per supplier."""
     log = view(spark, sf_dir, "url_log").select("row_id", "url", F.trim("store_id").alias("store_id"))
@@ -254,6 +278,8 @@ QUERIES: dict[str, Query] = {
     "dim_store_name": dim_store_name,
     "dim_store_patterns": dim_store_patterns,
     "store_lookup": store_lookup,
+    "registry_versions": registry_versions,
+    "store_lookup_at": store_lookup_at,
     "url_log_analysis": url_log_analysis,
     "catalog_views": catalog_views,
     "catalog_enabled": catalog_enabled,

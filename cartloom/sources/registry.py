@@ -58,7 +58,7 @@ def builtin_registry(spark: SparkSession) -> DataFrame:
     return registry_from_rows(spark, STORES)
 
 
-def _entries(registry: DataFrame) -> DataFrame:
+def dim_entries(registry: DataFrame) -> DataFrame:
     """One row per primary or alias entry, with its place in the lookup order."""
     primary = registry.select("*", F.lit(-1).alias("alias_pos"), F.col("id").alias("entry_id"), F.col("domain").alias("entry_domain"))
     alias = registry.select("*", F.posexplode("aliases").alias("alias_pos", "a")).select(
@@ -90,18 +90,18 @@ def _last_entry(entries: DataFrame, key: str, name: str) -> DataFrame:
 
 def dim_store_by_id(registry: DataFrame) -> DataFrame:
     """Store settings per store id; alias ids lead to their store and the last entry of a repeated id wins."""
-    return _last_entry(_entries(registry), "entry_id", "store_id")
+    return _last_entry(dim_entries(registry), "entry_id", "store_id")
 
 
 def dim_store_by_domain(registry: DataFrame) -> DataFrame:
     """Store settings per domain, alias domains and stores without an id included."""
-    return _last_entry(_entries(registry), "entry_domain", "store_domain")
+    return _last_entry(dim_entries(registry), "entry_domain", "store_domain")
 
 
 def dim_store_name(registry: DataFrame) -> DataFrame:
     """Domain to store id; an alias domain keeps the id of the alias."""
     return (
-        _entries(registry)
+        dim_entries(registry)
         .where(F.col("entry_id").isNotNull())
         .groupBy(F.col("entry_domain").alias("store_domain"))
         .agg(F.max_by("entry_id", F.struct("pos", "alias_pos")).alias("store_id"))
