@@ -111,6 +111,8 @@ ORACLE: dict[str, str] = {
     "stream_product_views": f"SELECT event_id, variant_pos, sku, url, price, extracted_ids FROM ({EVENTS['product_variants']})",
     "stream_session_enrich": f"""SELECT match_confidence, count(*) AS items FROM ({MATCHES['enrich_cart']})
         WHERE session_id IN (SELECT o_orderkey FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders)) GROUP BY 1""",
+    "stream_late_lines": f"""SELECT match_confidence, count(*) AS items FROM ({MATCHES['enrich_cart']})
+        WHERE session_id IN (SELECT o_orderkey FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders)) GROUP BY 1""",
     "stream_url_dedup": f"""SELECT DISTINCT key, 1 AS rows FROM ({components_sql(f"SELECT url FROM events JOIN pages ON {_PAGE}")}) WHERE err IS NULL""",
     "stream_batch_summary": f"""WITH v AS (SELECT ts, date_trunc('hour', ts) AS w FROM events JOIN pages ON {_PAGE})
         SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, count(*) AS total, count(*) AS successful, cast(0 AS bigint) AS failed FROM v

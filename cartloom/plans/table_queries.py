@@ -14,7 +14,7 @@ from cartloom.session import scratch_dir
 from cartloom.sources import files
 from cartloom.sources import registry as reg
 from cartloom.sources import registry_versions as versions
-from cartloom.streaming import jobs
+from cartloom.streaming import corrections, jobs
 
 
 def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,6 +269,31 @@ def stream_session_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").groupBy("match_confidence").agg(F.count(F.lit(1)).alias("items"))
 
 
+def stream_late_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Carts of a stream in which every fifth line of the last month's orders comes after its session has closed: the first run closes the
+    sessions without them, the second corrects those that they belong to. The orders of the last day are still open."""
+    carts, products = view(spark, sf_dir, "cart_lines"), view(spark, sf_dir, "viewed_products")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    lines = carts.join(orders, "session_id")
+    (latest,) = orders.agg(F.max("ts")).first()
+    late = (F.col("ts") > F.lit(latest) - F.expr("interval 30 days")) & (F.crc32(F.col("item_pos").cast("binary")) % 5 == 0)
+    path = scratch_dir(spark, "late")
+
+    def keep(enriched: DataFrame, batch_id: int) -> None:
+        enriched.drop("enriched_at").write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+
+    def arrived(sessions: DataFrame) -> DataFrame:
+        return spark.read.schema(lines.schema).parquet(f"{path}/in").drop("ts").join(sessions, "session_id", "left_semi")
+
+    for part in (~late, late):
+        lines.filter(part).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(lines.schema).parquet(f"{path}/in")
+        closed = corrections.session_revisions(stream, "ts", gap="1 hour", delay="1 hour", lateness="45 days")
+        corrections.stream_enrich_with_corrections(closed, arrived, lambda s: products.join(s, "session_id", "left_semi"), keep, f"{path}/checkpoint").awaitTermination()
+    enriched = corrections.latest_revisions(spark.read.parquet(f"{path}/out").drop("batch"))
+    return enriched.groupBy("match_confidence").agg(F.count(F.lit(1)).alias("items"))
+
+
 QUERIES: dict[str, Query] = {
     "read_url_log": read_url_log,
     "read_store_catalog": read_store_catalog,
@@ -306,4 +331,5 @@ QUERIES: dict[str, Query] = {
     "stream_url_dedup": stream_url_dedup,
     "stream_batch_summary": stream_batch_summary,
     "stream_session_enrich": stream_session_enrich,
+    "stream_late_lines": stream_late_lines,
 }
