@@ -26,7 +26,7 @@ from cartloom.llm.common import read, replace_columns, seeded
 
 #: The classifier is fitted on so many labelled documents at most, chosen by a seeded digest of their ids.
 SAMPLE_DOCUMENTS = 1500
-#: Of a training document, so many lines at most enter the fit.
+#: Of a training document, so many consecutive lines at most enter the fit; where they begin is drawn over the whole document.
 SAMPLE_LINES = 200
 SEED = 5
 LEAST_WORDS = 10
@@ -266,14 +266,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     sample = labels.filter(F.col("quality").isin(0, 1)).select(F.col(id_column).alias("l_id"), F.col("quality").cast("int").alias("l_quality")).filter("l_id IS NOT NULL").distinct()
     # bounded by SAMPLE_DOCUMENTS, so the broadcast is as well
     sample = sample.orderBy(seeded("l_id", SEED), "l_quality").limit(SAMPLE_DOCUMENTS)
-    chosen = docs.join(F.broadcast(sample), docs[id_column] == F.col("l_id")).select("l_quality", docs[text_column].cast("binary").alias("t"), "l_id")
+    chosen = docs.join(F.broadcast(sample), docs[id_column] == F.col("l_id")).select("l_quality", docs[text_column].cast("binary").alias("t"), "l_id", seeded("l_id", SEED + 1).alias("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, word_rolling = Rolling(1), Rolling(2)
         for batch in batches:
             for part in slices(batch.column(1)):
                 lines = measure(part, rolling, word_rolling)
-                found = [lines.features[a : min(b, a + SAMPLE_LINES)].tobytes() for a, b in zip(lines.bound[:-1], lines.bound[1:], strict=True)]
+                ids = np.asarray(batch.column(3).slice(part.first, len(part.start)))
+                found = []
+                for a, b, place in zip(lines.bound[:-1].tolist(), lines.bound[1:].tolist(), ids.tolist(), strict=True):
+                    first = a + place % max(1, b - a - SAMPLE_LINES + 1)
+                    found.append(lines.features[first : min(b, first + SAMPLE_LINES)].tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(found)), pa.array(found, pa.binary()), batch.column(2).slice(part.first, len(found))], ["l_quality", "features", "l_id"])
 
     # one row per id and label, so repeated ids bring no more rows than the sample has and crowd out no kind
@@ -283,7 +287,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         return Field.untrained()
     parts = [np.frombuffer(r["features"], dtype=np.int16).reshape(-1, len(BINS)).astype(np.int64) for r in rows]
     size = np.array([len(p) for p in parts])
-    # both kinds weigh the same in total, so the share of good documents in the sample doesn't decide
     return train(np.concatenate(parts), np.append(0, np.cumsum(size)), np.repeat([r["l_quality"] for r in rows], size))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartloom.llm.buffers import Rolling, Slice, line_spans, mix, slices, words
-from cartloom.llm.common import lookup_join, read, written
+from cartloom.llm.common import WORD, lookup_join, read, written
 
 DIVISOR = 3
 LEAST_LINES = 2
@@ -167,9 +167,9 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the text that stays; ``n_chars`` follows it."""
-    out = dedup_lines(docs)
+    """The documents with the text that stays; ``n_chars`` follows it. A document that has no word left after lines went from it goes as well."""
     changed = F.col("n_removed_lines") > 0
+    out = dedup_lines(docs).filter(~changed | F.col("kept_text").rlike(WORD))
     values = {"text": F.col("kept_text"), "n_chars": F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
     return out.select(*[values.get(c, out[c]).alias(c) for c in docs.columns])
 

@@ -38,7 +38,8 @@ def test_run_equals_brute_force(spark, rows, tmp_path):
         if n_words >= 10 and 100 * n_repeat <= 20 * n_words and content_words(field, text) >= 0.5 * n_words:
             left.append((i, text, lang, source, n_chars))
     cleaned = kept_lines([r[1] for r in left])
-    left = [(i, kept, lang, source, len(kept) if removed else n) for (i, _, lang, source, n), (kept, removed, _) in zip(left, cleaned, strict=True)]
+    left = [(i, kept, lang, source, len(kept) if removed else n) for (i, _, lang, source, n), (kept, removed, _) in zip(left, cleaned, strict=True) if not removed or WORD.search(kept)]
+    assert len(left) < len(cleaned)
     names = near_classes([r[1] for r in left], 5, 80)
     left = [r for k, (r, name) in enumerate(zip(left, names, strict=True)) if k == name]
     chosen = mixed([(r[0], r[3], len(WORD.findall(r[1]))) for r in left])
