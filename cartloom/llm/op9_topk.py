@@ -7,7 +7,7 @@ blocks, every pair of blocks once; a task holds one pair.
 
 Defined cases: vectors that are null or hold null or a non-finite component take no part; only vectors of equal length are compared; a row
 without id is a candidate (last among ties) but no query; rows with the query's id are not its candidates; repeated query rows are answered
-once for each vector; repeated candidate rows each count; an empty table gives no rows. Scores are exact while they fit a long.
+once for each vector; repeated candidate rows each count, but are searched as one; an empty table gives no rows. Scores are exact while they fit a long.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cartloom.llm.common import read
+from cartloom.llm.common import read, written
 
 SEGMENTS = (1, 4, 16)
 K = 5
@@ -72,67 +72,71 @@ def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
             yield a + i, keep[order], found[i, order]
 
 
-def _packed(vectors: DataFrame, block: Column, name: str) -> DataFrame:
-    """One row for each block and length: ids and integer vectors one after another."""
+def _packed(rows: DataFrame, block: Column, name: str) -> DataFrame:
+    """One row for each block and length: ids, numbers (``number``) and integer vectors one after another."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blocks, dims = np.asarray(b.column(2)), np.asarray(b.column(3))
-            ids = np.asarray(b.column(0).fill_null(_LAST))
+            blocks, dims = np.asarray(b.column(3)), np.asarray(b.column(4))
+            ids, numbers = np.asarray(b.column(0).fill_null(_LAST)), np.asarray(b.column(1))
             for key in np.unique(np.stack([blocks, dims], axis=1), axis=0):
                 rows = np.flatnonzero((blocks == key[0]) & (dims == key[1]))
-                flat = b.column(1).take(pa.array(rows)).flatten().cast(pa.float64())
+                flat = b.column(2).take(pa.array(rows)).flatten().cast(pa.float64())
                 whole = np.clip(np.floor(SCALE * np.asarray(flat)), -(2.0**62), 2.0**62).astype(np.int64)
                 yield pa.record_batch(
-                    [pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([ids[rows].tobytes()], pa.binary()), pa.array([whole.tobytes()], pa.binary())],
-                    [f"{name}_block", f"{name}_dim", f"{name}_ids", f"{name}_data"],
+                    [pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[rows], numbers[rows], whole))],
+                    [f"{name}_block", f"{name}_dim", "ids", "numbers", "data"],
                 )
 
-    usable = F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.filter(usable).select("id", F.col("vector").cast("array<double>"), block.cast("long").alias("b"), F.size("vector").alias("d"))
-    return rows.mapInArrow(pack, f"{name}_block long, {name}_dim int, {name}_ids binary, {name}_data binary")
+    rows = rows.select("id", "number", F.col("vector").cast("array<double>"), block.cast("long").alias("b"), F.size("vector").alias("d"))
+    return rows.mapInArrow(pack, f"{name}_block long, {name}_dim int, ids binary, numbers binary, data binary")
+
+
+def _whole(parts: list, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, numbers, data = (np.concatenate([np.frombuffer(p[c], dtype=np.int64) for p in parts]) for c in ("ids", "numbers", "data"))
+    return ids, numbers, data.reshape(len(ids), dim)
 
 
 def top_k(vectors: DataFrame, queries: Column, id_column: str = "vec_id", vector_column: str = "embedding", k: int = K) -> DataFrame:
     """For each row where ``queries`` holds, its k best others: ``query_id``, ``rank`` from 1, ``id``, ``score``; ties to the smaller id."""
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asked"))
-    n, asked = rows.agg(F.count(F.lit(1)), F.count_if("asked")).first()
+    usable = F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asked")).filter(usable)
+    # equal rows are one row with their number, of which no answer needs more than k; in a written table each keeps its own query number
+    distinct = written(rows.groupBy("id", "vector").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("number"), F.max("asked").alias("asked")), "vectors")
+    n, asked = distinct.agg(F.count(F.lit(1)), F.count_if("asked")).first()
     n_query, n_block = max(1, -(-asked // QUERY_BLOCK)), max(1, -(-n // CANDIDATE_BLOCK))
     place = F.xxhash64("id", F.hash("vector"))
-    asking = rows.filter("asked AND id IS NOT NULL").dropDuplicates(["id", "vector"])
+    asking = distinct.withColumn("number", F.monotonically_increasing_id()).filter("asked AND id IS NOT NULL")
     q = _packed(asking, F.pmod(place, F.lit(n_query)), "q")
-    v = _packed(rows, F.pmod(place, F.lit(n_block)), "v")
+    v = _packed(distinct, F.pmod(place, F.lit(n_block)), "v")
     # each packed piece of candidates goes to every block of queries
-    q = q.groupBy("q_block", "q_dim").agg(F.collect_list(F.struct("q_ids", "q_data")).alias("q_parts"))
-    v = v.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long")))).groupBy("to", "v_dim", "v_block").agg(F.collect_list(F.struct("v_ids", "v_data")).alias("v_parts"))
+    part = F.struct("ids", "numbers", "data")
+    q = q.groupBy("q_block", "q_dim").agg(F.collect_list(part).alias("q_parts"))
+    v = v.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long")))).groupBy("to", "v_dim", "v_block").agg(F.collect_list(part).alias("v_parts"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def whole(parts: list, dim: int, name: str) -> tuple[np.ndarray, np.ndarray]:
-            ids = np.concatenate([np.frombuffer(p[f"{name}_ids"], dtype=np.int64) for p in parts])
-            return ids, np.concatenate([np.frombuffer(p[f"{name}_data"], dtype=np.int64) for p in parts]).reshape(len(ids), dim)
-
         for b in batches:
             for i in range(b.num_rows):
                 dim, q_parts, v_parts = (b.column(c)[i].as_py() for c in range(3))
-                query_ids, query_rows = whole(q_parts, dim, "q")
-                ids, data = whole(v_parts, dim, "v")
-                out = list(best_of_block(query_ids, query_rows, ids, data, k)) if dim else [(j, o := np.argsort(np.where(ids != query_ids[j], ids, _LAST), kind="stable")[:k], np.zeros(len(o), dtype=np.int64)) for j in range(len(query_ids))]
+                query_ids, query_rows, query_data = _whole(q_parts, dim)
+                ids, times, data = _whole(v_parts, dim)
+                if dim:
+                    out = list(best_of_block(query_ids, query_data, ids, data, k))
+                else:
+                    out = [(j, o := np.argsort(np.where(ids != own, ids, _LAST), kind="stable")[: k + 1], np.zeros(len(o), dtype=np.int64)) for j, own in enumerate(query_ids)]
                 rows = np.concatenate([r for _, r, _ in out]) if out else np.empty(0, dtype=np.int64)
+                score = np.concatenate([s for _, _, s in out]) if out else rows
                 which = np.repeat([j for j, _, _ in out], [len(r) for _, r, _ in out]).astype(np.int64)
+                again = np.where(ids[rows] != query_ids[which], times[rows], 0)
+                rows, which, score = (np.repeat(x, again) for x in (rows, which, score))
                 found = ids[rows]
-                yield pa.record_batch(
-                    [pa.array(query_ids[which]), pa.array(which + (1 << 20) * hash_of(query_rows)[which]), pa.array(found, mask=found == _LAST), pa.array(np.concatenate([s for _, _, s in out]) if out else rows)],
-                    ["query_id", "query_row", "id", "score"],
-                )
-
-    def hash_of(rows: np.ndarray) -> np.ndarray:
-        """Tells apart different vectors that share a query id."""
-        mixed = (rows.astype(np.uint64) * np.arange(1, 2 * rows.shape[1], 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(axis=1)
-        return (mixed >> np.uint64(24)).astype(np.int64) & 0x3FFFFFF
+                yield pa.record_batch([pa.array(query_ids[which]), pa.array(query_rows[which]), pa.array(found, mask=found == _LAST), pa.array(score)], ["query_id", "query_row", "id", "score"])
 
-    pairs = q.join(v, (F.col("q_block") == F.col("to")) & (F.col("q_dim") == F.col("v_dim"))).select("q_dim", "q_parts", "v_parts")
-    near = pairs.mapInArrow(search, "query_id long, query_row long, id long, score long")
-    order = Window.partitionBy("query_id", F.shiftright("query_row", 20)).orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
+    pairs = q.join(v, (F.col("q_block") == F.col("to")) & (F.col("q_dim") == F.col("v_dim"))).select("q_block", "v_block", "q_dim", "q_parts", "v_parts")
+    # a task for each pair of blocks, as far as there are tasks; left alone, small blocks would all go to one
+    tasks = min(n_query * n_block, 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    near = pairs.repartition(tasks, "q_block", "v_block").select("q_dim", "q_parts", "v_parts").mapInArrow(search, "query_id long, query_row long, id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 

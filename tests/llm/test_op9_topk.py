@@ -32,6 +32,16 @@ def test_equals_brute_force(spark, monkeypatch):
     assert run(spark, [(i, v, 0) for i, v in rows]) == best(rows, lambda q: q % 7 == 0, 5)
 
 
+def test_rows_that_are_equal_in_all(spark, monkeypatch):
+    """A third of the table is one row; queries that share an id are answered each."""
+    monkeypatch.setattr(t, "CANDIDATE_BLOCK", 16)
+    pick = random.Random(8)
+    rows = [(i, [float(pick.randint(-3, 3)) for _ in range(5)]) for i in range(60)] + [(33, [1.0, 2.0, 0.0, -1.0, 3.0])] * 30 + [(7, [0.5] * 5), (7, [-0.5] * 5)] + [(None, [2.0] * 5)] * 3
+    once = [r for i, r in enumerate(rows) if r not in rows[:i]]
+    want = [x for i, v in once if i is not None and i % 7 == 0 for x in best([(i, v), *[r for r in rows if r[0] != i]], lambda q, i=i: q == i, 5)]
+    assert run(spark, [(i, v, 0) for i, v in rows]) == sorted(want, key=str)
+
+
 def test_few_rows_and_large_values(spark):
     rows = [(0, [1e12, -1e3]), (7, [1.0, 1.0]), (3, [-2.5, 0.001])]
     assert run(spark, [(i, v, 0) for i, v in rows]) == best(rows, lambda q: q % 7 == 0, 5)
