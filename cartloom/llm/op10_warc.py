@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartloom.llm.common import lookup_join, read
@@ -46,19 +47,32 @@ def resolve_revisits(pages: DataFrame, id_column: str = "page_id", url_column: s
     return found.select("id", "url", "payload", "payload_bytes", "payload_digest", F.when(repeats, F.col("first_").cast("string")).alias("refers_to"))
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """A gzip file per partition: response records with payload, revisit records without."""
+def record_urn(record_id: Column, payload_digest: Column) -> Column:
+    """The record's name: a UUID made of its id and payload, so a revisit can name its response without looking it up."""
+    digest = F.md5(F.concat_ws(":", F.when(record_id.isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(record_id, F.lit("")), payload_digest))
+    # the version and variant that mark a UUID made of a digest
+    parts = [F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("3"), F.substring(digest, 14, 3)), F.concat(F.lit("8"), F.substring(digest, 18, 3)), F.substring(digest, 21, 12)]
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
+
+
+def write_archives(records: DataFrame, path: str, content_type: str = "text/html; charset=utf-8") -> None:
+    """A gzip file per partition: response records with payload, revisit records without; all are dated by the start of the job."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(END))
-    urn = lambda c: F.concat(F.lit("<urn:record:"), F.coalesce(c, F.lit("")), F.lit(">"))
+    flat = lambda c: F.regexp_replace(F.col(c), r"[\r\n]", " ")
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     revisit = F.col("refers_to").isNotNull()
     text = F.concat(
         F.lit(f"WARC/1.1{END}"),
         F.when(revisit, F.lit(f"WARC-Type: revisit{END}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{END}")).otherwise(F.lit(f"WARC-Type: response{END}")),
-        line("WARC-Record-ID", urn(F.col("id"))),
-        F.when(revisit, line("WARC-Refers-To", urn(F.col("refers_to")))).otherwise(F.lit("")),
+        line("WARC-Record-ID", record_urn(F.col("id"), F.col("payload_digest"))),
+        line("WARC-Date", F.lit(date)),
+        F.when(revisit, line("WARC-Refers-To", record_urn(F.col("refers_to"), F.col("payload_digest")))).otherwise(F.lit("")),
+        F.coalesce(line("X-Row-ID", flat("id")), F.lit("")),
+        F.coalesce(line("X-Refers-To-Row-ID", flat("refers_to")), F.lit("")),
         F.coalesce(line("WARC-Target-URI", F.col("url")), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         line("X-Payload-Length", F.col("payload_bytes").cast("string")),
+        F.when(revisit, F.lit("")).otherwise(line("Content-Type", F.lit(content_type))),
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
         F.lit(END),
         F.when(revisit, F.lit("")).otherwise(F.col("payload")),
@@ -97,12 +111,11 @@ def _records(lines: Iterator[tuple[str, bytes]], with_payload: bool) -> Iterator
             raise ValueError(f"a record of {file} is longer than its header says")
         payload = b"\n".join(body)[:-3]  # without the closing \r\n\r, whose last line feed was split off
         digest = fields[b"WARC-Payload-Digest"].removeprefix(b"sha256:").decode()
-        name = lambda x: (x[12:-1].decode() or None) if x is not None else None
+        text = lambda x: x.decode() if x is not None else None
         kind = fields[b"WARC-Type"].decode()
         if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
             raise ValueError(f"a payload of {file} differs from its digest")
-        url = fields.get(b"WARC-Target-URI")
-        row = (name(fields[b"WARC-Record-ID"]), url.decode() if url is not None else None, kind, int(fields[b"X-Payload-Length"]), digest, name(fields.get(b"WARC-Refers-To")))
+        row = (text(fields.get(b"X-Row-ID")), text(fields.get(b"WARC-Target-URI")), kind, int(fields[b"X-Payload-Length"]), digest, text(fields.get(b"X-Refers-To-Row-ID")))
         yield (*row, payload if kind == "response" else None) if with_payload else row
         head, need = None, -1
     if head is not None or need >= 0:
