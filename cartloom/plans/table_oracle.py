@@ -51,6 +51,8 @@ _PAGE = "event_id % (SELECT max(page_id) + 1 FROM pages) = page_id"
 
 ORACLE: dict[str, str] = {
     "read_url_log": f"SELECT nullif(trim(store_id), '') AS store_id, count(*) AS row_count, count(nullif(trim(url_ids_csv), '')) AS with_ids FROM ({_LOG}) GROUP BY 1",
+    "read_url_log_faults": f"""SELECT CASE cast(split_part(row_id, '-', 1) AS bigint) % 17 WHEN 3 THEN 'short' WHEN 5 THEN 'long' WHEN 9 THEN 'long' ELSE 'whole' END AS fault, count(*) AS rows, count(*) FILTER (cast(split_part(row_id, '-', 1) AS bigint) % 17 = 7) AS breaks
+        FROM ({_LOG}) WHERE url <> '' GROUP BY 1""",
     "read_store_catalog": f"WITH {_CATALOG} SELECT * FROM cat",
     "read_golden_urls": f"SELECT store_name AS name, count(*) AS cases, cast(sum(len(expected_skus)) AS bigint) AS skus FROM ({view_sql('golden_urls')}) GROUP BY 1",
     "dim_store_by_id": f"WITH {_ENTRIES} SELECT eid AS store_id, id AS primary_id, domain AS primary_domain, array_to_string(path_patterns, '|') AS path_patterns, rewrite_to FROM by_id",

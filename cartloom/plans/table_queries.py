@@ -38,6 +38,24 @@ def read_url_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy(F.trim("store_id").alias("store_id")).agg(F.count(F.lit(1)).alias("row_count"), F.count(F.nullif(F.trim("url_ids_csv"), F.lit(""))).alias("with_ids"))
 
 
+def read_url_log_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URL log through CSV files in which some rows lack cells, some have too many, and some hold a line break: what is read, what is put aside."""
+    path = scratch_dir(spark, "faulty-log")
+    k = F.split("row_id", "-")[0].cast("long") % 17
+    cells = [F.coalesce(c, F.lit("")) for c in ("url", "store_id")]
+    ids = F.concat(F.lit('"'), F.coalesce("url_ids_csv", F.lit("")), F.when(k == 7, F.lit("\n,")).otherwise(F.lit("")), F.lit('"'))
+    line = F.when(k == 3, cells[0]).when(k == 5, F.concat_ws(",", *cells, ids, F.lit("more"), F.lit('"and, more"'))).when(k == 9, F.concat_ws(",", *cells, F.lit('a"b"c'), F.lit("d"))).otherwise(F.concat_ws(",", *cells, ids))
+    log = view(spark, sf_dir, "url_log").filter("url <> ''").select(line.alias("value"))
+    # each file begins with the header
+    width = 8
+    header = spark.range(0, width, 1, width).select(F.lit(-1).alias("n"), F.lit("URL,Merchant_ID,IDS").alias("value"), F.col("id").cast("int").alias("part"))
+    rows = log.select(F.lit(0).alias("n"), "value", F.pmod(F.hash("value"), F.lit(width)).alias("part"))
+    header.unionByName(rows).repartition(width, "part").sortWithinPartitions("part", "n").select("part", "value").write.partitionBy("part").text(path)
+    whole, faulty = files.read_url_log_checked(spark, f"{path}/part=*")
+    counted = whole.select(F.lit("whole").alias("fault"), F.length(F.regexp_replace("url_ids_csv", r"[^\n]", "")).alias("breaks")).unionByName(faulty.select("fault", F.lit(0).alias("breaks")))
+    return counted.groupBy("fault").agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("breaks"), F.lit(0)).cast("long").alias("breaks"))
+
+
 def read_store_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog through JSON documents, one per line, in the shared folder."""
     path = scratch_dir(spark, "catalog")
@@ -296,6 +314,7 @@ def stream_late_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "read_url_log": read_url_log,
+    "read_url_log_faults": read_url_log_faults,
     "read_store_catalog": read_store_catalog,
     "read_golden_urls": read_golden_urls,
     "dim_store_by_id": dim_store_by_id,

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cartloom.functions.urls import settled
 
 # Accepted column names of URL logs, in order of preference.
 LOG_COLUMNS = {
@@ -37,6 +40,29 @@ def read_url_log(spark: SparkSession, path: str, quoted_breaks: bool = True) ->
     return resolve_log_columns(raw)
 
 
+def read_url_log_checked(spark: SparkSession, path: str, quoted_breaks: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The whole rows of a CSV URL log, as ``read_url_log`` gives them, and the others: ``file``, ``fault`` and ``raw``, the row's text.
+
+    A row is ``short`` or ``long`` if it has fewer or more cells than the header, and ``broken`` if quotes leave its cells unclear. Every row of
+    the files is in one of the two tables; blank lines are no rows.
+    """
+    options = {"header": True, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "multiLine": quoted_breaks}
+    columns = spark.read.options(**options).csv(path).columns
+    fault = next(n for i in range(len(columns) + 1) if (n := f"raw_row_{i}") not in columns)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, fault]])
+    # without pruning, so that the cells of every row are counted whatever columns are read
+    scan = spark.read.schema(schema).options(**options, enforceSchema=False, columnNameOfCorruptRecord=fault, columnPruning=False).csv(path)
+    # and settled, since Spark doesn't read the faults alone
+    scan = settled(scan.select("*", F.col("_metadata.file_name").alias(f"{fault}_file")), *columns, fault)
+    raw = F.col(fault)
+    # cells in quotes count as one whatever they hold
+    cells = F.size(F.split(F.regexp_replace(raw, r'"(?:[^"]|"")*"', "q"), ",", -1))
+    kind = F.when(F.regexp_replace(raw, r'"(?:[^"]|"")*"', "").contains('"'), F.lit("broken")).when(cells < len(columns), F.lit("short")).when(cells > len(columns), F.lit("long")).otherwise(F.lit("broken"))
+    whole = resolve_log_columns(scan.filter(raw.isNull()).select(*[F.col(f"`{c}`") for c in columns]))
+    faulty = scan.filter(raw.isNotNull()).select(F.col(f"{fault}_file").alias("file"), kind.alias("fault"), raw.alias("raw"))
+    return whole, faulty
+
+
 def resolve_log_columns(raw: DataFrame) -> DataFrame:
     """Renames the columns of a URL log to their canonical names; all other columns are kept."""
     found = {name: _first_alias(raw.columns, aliases) for name, aliases in LOG_COLUMNS.items()}
