@@ -12,8 +12,9 @@ output column are replaced.
 from __future__ import annotations
 
 import math
-from collections import Counter, deque
+from collections import deque
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,20 +52,20 @@ def source_quotas(sizes: dict[str | None, int], weights: Sequence[float] = WEIGH
     return out
 
 
-def route(supply: Sequence[int], members: Sequence[Sequence[int]], quota: Sequence[float], max_epochs: int = MAX_EPOCHS) -> list[dict[int, float]]:
+def route(supply: Sequence[int], members: Sequence[Sequence[int]], quota: Sequence[float], max_epochs: int = MAX_EPOCHS) -> list[dict[int, Fraction]]:
     """Least-cost flow of words from patterns to quotas: the n-th repetition of a pattern costs n - 1 per word.
 
-    Successive shortest paths on the residual graph; returns the flow of each pattern to each of its sources.
+    Successive shortest paths on the residual graph, in exact fractions; returns the flow of each pattern to each of its sources.
     """
     n, m = len(supply), len(quota)
-    sink, tiny = n + m + 1, 1e-9 * max([1.0, *quota])
+    sink = n + m + 1
     to: list[int] = []
-    room: list[float] = []
+    room: list[Fraction | float] = []  # exact, or without bound
     cost: list[int] = []
     out: list[list[int]] = [[] for _ in range(sink + 1)]
 
-    def arc(a: int, b: int, capacity: float, price: int) -> None:
-        for x, y, c, p in ((a, b, capacity, price), (b, a, 0.0, -price)):
+    def arc(a: int, b: int, capacity: Fraction | float, price: int) -> None:
+        for x, y, c, p in ((a, b, capacity, price), (b, a, Fraction(0), -price)):
             out[x].append(len(to))
             to.append(y)
             room.append(c)
@@ -72,7 +73,7 @@ def route(supply: Sequence[int], members: Sequence[Sequence[int]], quota: Sequen
 
     for p in range(n):
         for epoch in range(max_epochs):
-            arc(0, 1 + p, float(supply[p]), epoch)
+            arc(0, 1 + p, Fraction(supply[p]), epoch)
     first = len(to)
     owner = []
     for p in range(n):
@@ -80,7 +81,7 @@ def route(supply: Sequence[int], members: Sequence[Sequence[int]], quota: Sequen
             arc(1 + p, 1 + n + s, math.inf, 0)
             owner.append((p, s))
     for s in range(m):
-        arc(1 + n + s, sink, float(quota[s]), 0)
+        arc(1 + n + s, sink, Fraction(quota[s]), 0)
     while True:
         far, came = [math.inf] * (sink + 1), [-1] * (sink + 1)
         far[0], todo, queued = 0, deque([0]), [False] * (sink + 1)
@@ -88,7 +89,7 @@ def route(supply: Sequence[int], members: Sequence[Sequence[int]], quota: Sequen
             x = todo.popleft()
             queued[x] = False
             for e in out[x]:
-                if room[e] > tiny and far[x] + cost[e] < far[to[e]]:
+                if room[e] > 0 and far[x] + cost[e] < far[to[e]]:
                     far[to[e]], came[to[e]] = far[x] + cost[e], e
                     if not queued[to[e]]:
                         queued[to[e]] = True
@@ -103,9 +104,9 @@ def route(supply: Sequence[int], members: Sequence[Sequence[int]], quota: Sequen
         for e in path:
             room[e] -= push
             room[e ^ 1] += push
-    flows: list[dict[int, float]] = [{} for _ in range(n)]
+    flows: list[dict[int, Fraction]] = [{} for _ in range(n)]
     for i, (p, s) in enumerate(owner):
-        if (moved := room[first + 2 * i + 1]) > tiny:
+        if (moved := room[first + 2 * i + 1]) > 0:
             flows[p][s] = moved
     return flows
 
@@ -139,21 +140,18 @@ def mix_sources(
     for r in rows:
         for s in r["members"]:
             totals[s] = totals.get(s, 0) + r["words"]
-    patterns = Counter(s for r in rows for s in r["members"])
     quotas = source_quotas(totals, weights, max_epochs)
     names = list(quotas)
     at = {s: i for i, s in enumerate(names)}
     flows = route([r["words"] for r in rows], [[at[s] for s in r["members"]] for r in rows], [quotas[s] for s in names], max_epochs)
     plan = []
     for r, flow in zip(rows, flows, strict=True):
-        given = sum(flow.values())
-        # where a source and a pattern have only each other, the flow is the quota to the last bit
-        given = quotas[r["members"][0]] if len(r["members"]) == 1 and patterns[r["members"][0]] == 1 else given
+        given = float(sum(flow.values()))
         full = int(given // r["words"]) if r["words"] else 0
-        steps, upto = [], 0.0
+        steps, upto = [], Fraction(0)
         for s, words in sorted(flow.items()):
             upto += words
-            steps.append((upto / r["words"], names[s]))
+            steps.append((float(upto / r["words"]), names[s]))
         first = r["members"][0]
         plan.append((r[pattern], full, given - full * r["words"], totals[first], quotas[first], steps))
     schema = T.StructType(
