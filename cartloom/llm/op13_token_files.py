@@ -1,12 +1,14 @@
 """Token-id files: texts as ids, range-coded in independent blocks, with an index of documents.
 
 A file holds a run of documents in ascending id order; the files' numbers give the order of the runs. Ids stand one after another and are
-cut into blocks of ``range_coder.BLOCK``, whatever documents they belong to; each block starts from nothing and carries a checksum of its ids.
+cut into blocks of ``range_coder.BLOCK``, whatever documents they belong to; each block carries a checksum of its ids and is coded by itself,
+given how often each id comes up in the blocks written together with it.
 Files are written and read through Spark's own sources, so any store that Spark reaches will do.
 
 Layout of a file: records of a tag byte, the payload's length (32 bits), the payload and a line feed; numbers are little-endian.
 
     H  file's number (64), size of the vocabulary (32), ids of a block (32)
+    T  the ids that come up in the blocks up to the next such record, and what each takes of the code space (32 each; compressed by zlib)
     B  number of ids (32), CRC-32 of the ids as 32-bit numbers (32), code: one for each block, in order
     D  number of documents (32), their ids (64 each), a byte each that is 1 for a null id, their numbers of ids (64 each)
     E  number of documents (64), of ids (64), of blocks (64): the last record; a file without it, or with other sums, is refused
@@ -33,12 +35,14 @@ from pyspark.sql.window import Window
 from cartloom.llm import range_coder
 from cartloom.llm.buffers import slices
 from cartloom.llm.common import read, written
-from cartloom.llm.word_ids import WordIds
+from cartloom.llm.word_ids import kept
 from cartloom.session import scratch_dir
 
 END_ID = 1
 #: Bytes of text in a file, on average.
 FILE_BYTES = 32_000_000
+#: Bytes of text encoded at once, unless a text is longer.
+ENCODE_BYTES = 6_000_000
 _MISSING = "no end of the file's records"
 
 
@@ -72,7 +76,10 @@ class FileWriter:
         blocks = [every[i : min(i + range_coder.BLOCK, n)] for i in range(0, n, range_coder.BLOCK)]
         for first in range(0, len(blocks), range_coder.LANES):
             part = blocks[first : first + range_coder.LANES]
-            for block, code in zip(part, range_coder.encode(part, self.vocabulary), strict=True):
+            table = range_coder.frequencies(every[first * range_coder.BLOCK : min((first + len(part)) * range_coder.BLOCK, n)], self.vocabulary)
+            used = np.flatnonzero(table)
+            yield _record(b"T", zlib.compress(used.astype("<u4").tobytes() + table[used].astype("<u4").tobytes()))
+            for block, code in zip(part, range_coder.encode(part, self.vocabulary, table), strict=True):
                 self.blocks += 1
                 yield _record(b"B", struct.pack("<II", len(block), zlib.crc32(block.astype("<u4").tobytes())) + code)
 
@@ -87,6 +94,8 @@ class FileReader:
 
     def __init__(self, content: bytes):
         self.blocks: list[tuple[int, int, bytes]] = []
+        #: The frequencies, and the number of blocks before the first that is coded by them.
+        self.tables: list[tuple[np.ndarray, int]] = []
         doc_ids, nulls, sizes = [np.empty(0, dtype="<i8")], [np.empty(0, dtype="u1")], [np.empty(0, dtype="<u8")]
         at, ended = 0, not content
         while at < len(content):
@@ -97,6 +106,11 @@ class FileReader:
             at += size + 6
             if tag == b"H":
                 self.number, self.vocabulary, self.block = struct.unpack("<QII", payload)
+            elif tag == b"T":
+                used, size = np.frombuffer(zlib.decompress(payload), "<u4").reshape(2, -1)
+                table = np.zeros(self.vocabulary, dtype=np.uint32)
+                table[used] = size
+                self.tables.append((table, len(self.blocks)))
             elif tag == b"B":
                 self.blocks.append((*struct.unpack_from("<II", payload), payload[8:]))
             elif tag == b"D":
@@ -127,14 +141,16 @@ class FileReader:
 
 
 def decoded(files: list[FileReader]) -> Iterator[np.ndarray]:
-    """Every block of the files, decoded side by side."""
-    blocks = [(f.vocabulary, *b) for f in files for b in f.blocks]
-    for vocabulary in dict.fromkeys(b[0] for b in blocks):
-        if vocabulary != blocks[0][0]:
+    """Every block of the files; those of a table are decoded side by side."""
+    files = [f for f in files if f.blocks]
+    for f in files:
+        if f.vocabulary != files[0].vocabulary:
             raise ValueError("files of different vocabularies in one folder")
-    for first in range(0, len(blocks), range_coder.LANES):
-        part = blocks[first : first + range_coder.LANES]
-        yield from range_coder.decode([b[3] for b in part], [b[1] for b in part], part[0][0])
+        ends = [first for _, first in f.tables[1:]] + [len(f.blocks)]
+        for (table, first), end in zip(f.tables, ends, strict=True):
+            for at in range(first, end, range_coder.LANES):
+                part = f.blocks[at : min(at + range_coder.LANES, end)]
+                yield from range_coder.decode([b[2] for b in part], [b[0] for b in part], f.vocabulary, table)
 
 
 def write_token_files(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> None:
@@ -148,17 +164,19 @@ def write_token_files(docs: DataFrame, path: str, id_column: str = "doc_id", tex
     order = [F.col("id").asc_nulls_last(), F.col("row")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(content.value)
+        encoder = kept(content.value)
         writer = FileWriter(TaskContext.get().partitionId(), max(encoder.tokenizer.get_vocab_size(), end_id + 1))
         end = np.array([end_id], dtype=np.int32)
         for batch in batches:
             nulls, doc_ids = np.asarray(batch.column(0).is_null()), np.asarray(batch.column(0).fill_null(0))
-            for part in slices(batch.column(1)):
-                ids, sizes = encoder.encode([part.text(i) for i in range(len(part.start))])
-                rows = slice(part.first, part.first + len(sizes))
+            for part in slices(batch.column(1), ENCODE_BYTES):
+                rows = slice(part.first, part.first + len(part.start))
+                ids, sizes = encoder.encode(batch.column(1)[rows])
                 ids = np.insert(ids, np.cumsum(sizes), end)
                 for record in writer.add(doc_ids[rows], nulls[rows], sizes + 1, ids):
                     yield pa.record_batch([pa.array([record], pa.binary())], ["value"])
+        # what Arrow keeps from the texts gives way to the blocks
+        pa.default_memory_pool().release_unused()
         for record in writer.end():
             yield pa.record_batch([pa.array([record], pa.binary())], ["value"])
 

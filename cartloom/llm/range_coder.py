@@ -1,9 +1,11 @@
-"""Range coder for token ids, driven by adaptive predictions of order 0 to 2.
+"""Range coder for token ids, driven by adaptive weights of predictions of order 0 to 2.
 
 Blocks are coded side by side, one lane each, so every step of the loop is a few array operations over all lanes; no block needs another to
 be decoded. In each block the last two ids choose a slot, and so does the last one; a slot holds the id that followed there and a confidence.
-Order 0 counts the ids that neither slot foresaw, in a tree of 16-way nodes. The three predictions share the code space in proportion to
-how often each was right in this block at these confidences; the arithmetic code is carryless with 64-bit bounds and 16-bit output.
+Order 0 says how often each id comes up in the blocks coded together (``frequencies``, which the caller keeps beside them; without
+them every id is as likely). The three predictions share the code space in proportion to how often each was right in this block at these
+confidences, after every id anew; the arithmetic code is carryless with 64-bit bounds and 16-bit output. Weights are single-precision
+quotients and products, which IEEE 754 rounds the same everywhere.
 """
 
 from __future__ import annotations
@@ -12,110 +14,177 @@ from collections.abc import Sequence
 
 import numpy as np
 
-#: Ids of a block, and blocks coded side by side. The file records the first; only speed and memory depend on the second.
-BLOCK = 4096
-LANES = 1024
-BLOCK_LIMIT = 4096
-_LEVELS = 3
-_SLOT_BITS = 12
-_SLOTS = (1 << _SLOT_BITS) - 1
-#: What each earlier use of an id weighs, against an id that hasn't come up.
-_GAIN = 48
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_SHIFT, _HEAD, _LOW = np.uint64(16), np.uint64(48), np.uint64((1 << 32) - 1)
-_BEFORE = np.triu(np.ones((16, 16), dtype=np.float32), 1)
-_EACH, _COUNT = np.uint64(0x0101010101010101), np.uint64(56)
-#: How often nothing, order 1 and order 2 are taken to have been right before anything is seen, by both confidences.
-_PRIOR = np.array([[[4.0, 2 * one, 4 * two] for one in range(8)] for two in range(8)])
-_MOST_WEIGHT = 1 << 30
+#: Ids of a block, and blocks coded side by side. The file records the first; only speed, memory and the frequencies depend on the second.
+BLOCK = 2048
+LANES = 4096
+#: Ids counted, and blocks turned round, at once; only memory depends on them.
+_COUNTED, _TURNED = 1 << 19, 64
+#: The counts of a block are kept in 16 bits each.
+BLOCK_LIMIT = 16_384
+_SLOT_BITS = 10
+_SLOTS = np.uint16((1 << _SLOT_BITS) - 1)
+#: Slots hold a mark (an id's rank from 1, times 64) and a confidence: in the lowest three bits for order 1, in the next for order 2.
+_MARK, _MARK_BITS, _FIRST = np.uint32(64), np.uint32(6), np.uint32(1)
+_MOST_VOCABULARY = (1 << 26) - 2
+_CONFIDENCE = np.uint32(7), np.uint32(56)
+_SURER = np.uint32(1), np.uint32(8)
+_FACTORS = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+_WEIGHT_BITS, _WEIGHTS, _WHOLE = np.uint64(15), np.uint64(1 << 15), np.float32(1 << 15)
+_NONE, _ZERO = np.int32(0), np.int8(0)
+_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
+_SHIFT, _HEAD, _LOW, _NEXT = np.uint64(16), np.uint64(48), np.uint64((1 << 40) - 1), np.uint64(1)
+#: 16 bits each: how often any order, order 1 and order 2 are taken to have been right before anything is seen, by both confidences.
+_PRIOR = np.array([(4 + 2 * one + 4 * two) | (2 * one) << 16 | (4 * two) << 32 for two in range(8) for one in range(8)], dtype="<u8")
+#: What an id adds to these, by the order that it was coded by.
+_RIGHT = np.array([2, 2 | 2 << 16, 2 | 2 << 32], dtype="<u8")
+
+
+def frequencies(ids: np.ndarray, vocabulary: int) -> np.ndarray:
+    """What each id takes of the code space of order 0, given the ids to be coded; an id that isn't among them takes nothing."""
+    counts = np.zeros(vocabulary, dtype=np.int64)
+    for first in range(0, len(ids), _COUNTED):
+        counts += np.bincount(ids[first : first + _COUNTED], minlength=vocabulary)
+    used = np.flatnonzero(counts)
+    total = _places(len(used))
+    out = np.zeros(vocabulary, dtype=np.uint32)
+    out[used] = 1 + counts[used] * (total - len(used)) // max(1, len(ids))
+    out[int(counts.argmax())] += total - int(out.sum())
+    return out
+
+
+def _places(used: int) -> int:
+    """The code space of order 0 for so many ids: a place for each takes at most a thirty-second of it."""
+    return 1 << max(16, used.bit_length() + 5)
+
+
+class _Order0:
+    """The code space of order 0: ids stand for their rank among those that take some of it."""
+
+    def __init__(self, vocabulary: int, table: np.ndarray | None):
+        if vocabulary > _MOST_VOCABULARY:
+            raise ValueError(f"vocabularies of more than {_MOST_VOCABULARY} ids are not supported")
+        if table is None:
+            total = _places(vocabulary)
+            table = np.full(vocabulary, total // vocabulary, dtype=np.uint32)
+            table[0] += total % vocabulary
+        self.used = np.flatnonzero(table)
+        self.size = table[self.used].astype(np.uint64)
+        self.total = _places(len(self.used))
+        if len(table) != vocabulary or int(self.size.sum()) != self.total:
+            raise ValueError("the frequencies don't fill the code space")
+        self.bits = np.uint64(self.total.bit_length() - 1)
+        self.begin = np.cumsum(self.size) - self.size
+        #: What is wide enough for every rank.
+        self.dtype = np.min_scalar_type(len(self.used))
+
+    def ranks(self, vocabulary: int) -> np.ndarray:
+        """The rank of each id."""
+        out = np.zeros(vocabulary, dtype=self.dtype)
+        out[self.used] = np.arange(len(self.used))
+        return out
+
+    def lookup(self) -> np.ndarray:
+        """The rank at each place."""
+        return np.repeat(np.arange(len(self.size), dtype=self.dtype), self.size.astype(np.int64))
+
+    def narrow(self, low: np.ndarray, span: np.ndarray, lanes: np.ndarray, ranks: np.ndarray, each: np.ndarray) -> None:
+        """Sets the bounds of the lanes to their ids' share, ``each`` being a place's."""
+        low[lanes] += self.begin.take(ranks) * each
+        span[lanes] = self.size.take(ranks) * each
 
 
 class _Predictions:
-    """The state of ``lanes`` blocks; ``a`` in its methods is the number of lanes still going, always the first ones."""
-
-    def __init__(self, lanes: int, vocabulary: int):
-        self.vocabulary = vocabulary
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.counts = [np.zeros((lanes << 4 * level, 16), dtype=np.uint16) for level in range(_LEVELS)]
-        self.slots = [np.zeros(lanes << _SLOT_BITS, dtype=np.int64) for _ in range(2)]
-        self.right = np.tile(_PRIOR.reshape(1, 64, 3), (lanes, 1, 1)).reshape(-1, 3)
-        self.whole = np.full(lanes, vocabulary, dtype=np.int64)
-        self.last = np.zeros(lanes, dtype=np.int64)
-        self.last_but_one = np.zeros(lanes, dtype=np.int64)
+    """The state of ``lanes`` blocks of at most ``steps`` ids; ``a`` in its methods is the number of lanes still going, always the first ones."""
+
+    def __init__(self, lanes: int, steps: int):
+        if steps > BLOCK_LIMIT:
+            raise ValueError(f"blocks of more than {BLOCK_LIMIT} ids are not supported")
+        self.base = np.arange(lanes, dtype=np.int64) << _SLOT_BITS
+        self.rows = np.arange(lanes, dtype=np.int64) << 6
+        self.slots = [np.zeros(lanes << _SLOT_BITS, dtype=np.uint32) for _ in range(2)]
+        self.right = np.tile(_PRIOR, lanes)
+        self.last = np.zeros(lanes, dtype=np.uint32)
+        self.last_but_one = np.zeros(lanes, dtype=np.uint32)
 
     def weigh(self, a: int) -> None:
-        """Sets what both slots hold and the code space of each order."""
-        one = self.last[:a] * 0x9E3779B1
-        two = (one + self.last_but_one[:a]) * 0x85EBCA77
-        base = self.lane[:a] << _SLOT_BITS
-        one >>= 10
-        two >>= 22
-        one &= _SLOTS
-        two &= _SLOTS
-        one += base
-        two += base
-        self.at = (one, two)
-        self.held = first, second = self.slots[0].take(one), self.slots[1].take(two)
-        self.row = (self.lane[:a] << 6) + ((second & 7) << 3) + (first & 7)
-        share = self.right.take(self.row, axis=0)
-        scale = self.whole[:a] / share[:, 0]
-        one, two = (scale * share[:, 1]).astype(np.int64), (scale * share[:, 2]).astype(np.int64)
-        alike = first >> 3 == second >> 3
-        two += one * alike
-        one *= ~alike
-        self.space = self.whole[:a], np.minimum(one, _MOST_WEIGHT), np.minimum(two, _MOST_WEIGHT)
-
-    def interval(self, lanes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of earlier uses of the ids that came up before the given ones, and of those themselves."""
-        below, every = np.zeros(len(index), dtype=np.int64), np.arange(len(index)) << 4
-        for level, counts in enumerate(self.counts):
-            node = index >> 4 * (_LEVELS - 1 - level)
-            rows = counts.take((lanes << 4 * level) + (node >> 4), axis=0).astype(np.float32)
-            node &= 15
-            node += every
-            below += (rows @ _BEFORE).ravel().take(node).astype(np.int64)
-        return below, rows.ravel().take(node).astype(np.int64)
-
-    def find(self, lanes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of the ids whose uses, one after another, hold the places; the uses before them, and their own."""
-        index, rest, every = np.zeros(len(place), dtype=np.int64), place.astype(np.float32), np.arange(len(place)) << 4
-        for level, counts in enumerate(self.counts):
-            rows = counts.take((lanes << 4 * level) + index, axis=0).astype(np.float32)
-            before = rows @ _BEFORE
-            child = (((before <= rest[:, None]).view(np.uint64).reshape(-1, 2).sum(axis=1) * _EACH) >> _COUNT).astype(np.int64) - 1
-            index = (index << 4) + child
-            child += every
-            rest -= before.ravel().take(child)
-        return index, place - rest.astype(np.int64), rows.ravel().take(child).astype(np.int64)
-
-    def learn(self, a: int, ids: np.ndarray, order: np.ndarray, lanes: np.ndarray, index: np.ndarray) -> None:
-        """Takes in the ids that came and the order (0 to 2) that each was coded by; those of order 0 are the ``index``-th of their lanes."""
-        fresh = ids + 1 << 3
-        for at, held, slots in zip(self.at, self.held, self.slots, strict=True):
-            slots[at] = np.where(held >> 3 == fresh >> 3, np.minimum(held + 1, held | 7), fresh + 1)
-        at = self.row * 3 + order
-        right = self.right.ravel()
-        right[at] = right.take(at) + 2
-        for level, counts in enumerate(self.counts):
-            flat, at = counts.ravel(), (lanes << 4 * level + 4) + (index >> 4 * (_LEVELS - 1 - level))
-            flat[at] = flat.take(at) + np.uint16(1)
-        self.whole[lanes] += _GAIN
+        """Sets the marks that both slots hold and the code space of each order, out of _WEIGHTS."""
+        one = self.last[:a] * _FACTORS[0]
+        two = (one + self.last_but_one[:a]) * _FACTORS[1]
+        base = self.base[:a]
+        # from the upper half of each product
+        self.at = base + (one.view("<u2")[1::2] & _SLOTS), base + (two.view("<u2")[1::2] & _SLOTS)
+        self.held = first, second = self.slots[0].take(self.at[0]), self.slots[1].take(self.at[1])
+        sure_1, sure_2 = first & _CONFIDENCE[0], second & _CONFIDENCE[1]
+        self.marks = first ^ sure_1, second ^ sure_2
+        sure_1 |= sure_2
+        self.row = self.rows[:a] + sure_1
+        self.seen = self.right.take(self.row)
+        seen = self.seen.view("<u2").reshape(-1, 4)
+        scale = _WHOLE / seen[:, 0].astype(np.float32)
+        # slots that hold the same id share one interval
+        alike = self.marks[0] == self.marks[1]
+        one = seen[:, 1] * scale
+        two = (seen[:, 2] * scale).astype(np.int32)
+        one = one.astype(np.int32)
+        moved = one * alike
+        one -= moved
+        two += moved
+        self.some = one > _NONE, two > _NONE
+        self.space = one.astype(np.uint64), two.astype(np.uint64)
+
+    def learn(self, a: int, marks: np.ndarray, order: np.ndarray) -> None:
+        """Takes in the ids that came and the order that each was coded by."""
+        for at, held, mark, slots, confidence, surer in zip(self.at, self.held, self.marks, self.slots, _CONFIDENCE, _SURER, strict=True):
+            known = np.flatnonzero(mark == marks)
+            fresh = marks + surer
+            held = held.take(known)
+            fresh[known] = np.minimum(held + surer, held | confidence)
+            slots[at] = fresh
+        self.seen += _RIGHT.take(order.astype(np.int64))
+        self.right[self.row] = self.seen
         self.last_but_one[:a] = self.last[:a]
-        self.last[:a] = ids
+        self.last[:a] = marks
+
+
+def _order(by_one: np.ndarray, by_two: np.ndarray) -> np.ndarray:
+    """0 to 2 for each lane; order 2 goes before order 1."""
+    order = by_two.view(np.int8) << 1
+    order |= by_one.view(np.int8) & ~by_two
+    return order
 
 
 def _settle(low: np.ndarray, span: np.ndarray):
-    """Yields the lanes whose topmost 16 bits are due, until every span is wide enough; the caller moves them out before it goes on."""
-    while True:
-        done = (low ^ (low + span)) < _TOP
-        due = np.flatnonzero(done | (span < _BOTTOM))
-        if not len(due):
-            return
-        narrow = due[~done[due]]
-        span[narrow] = (~low[narrow] + np.uint64(1)) & _LOW
-        yield due
-        low[due] <<= _SHIFT
-        span[due] <<= _SHIFT
+    """Yields the lanes whose topmost 16 bits are due and those bits, until every span is wide enough."""
+    due = (span < _TOP).nonzero()[0]
+    while len(due):
+        l, s = low.take(due), span.take(due)
+        differ = l + s
+        differ ^= l
+        open_ = (differ >= _TOP).nonzero()[0]
+        if len(open_):
+            # the topmost bits may still change: a narrow span is cut so that they can't, others wait
+            small = s.take(open_) < _BOTTOM
+            narrow = open_[small]
+            s[narrow] = (~l[narrow] + _NEXT) & _LOW
+            ready = np.ones(len(due), dtype=bool)
+            ready[open_[~small]] = False
+            ready = ready.nonzero()[0]
+            due, l, s = due.take(ready), l.take(ready), s.take(ready)
+        yield due, l >> _HEAD
+        l <<= _SHIFT
+        s <<= _SHIFT
+        low[due] = l
+        span[due] = s
+        due = due.take((s < _TOP).nonzero()[0])
+
+
+def _narrow(low: np.ndarray, span: np.ndarray, order: np.ndarray, rest: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+    """Sets the bounds of the lanes that a slot foresaw; ``span`` is a weight's."""
+    lanes = order.nonzero()[0]
+    later = order.take(lanes) >> 1
+    each, first = span.take(lanes), one.take(lanes)
+    low[lanes] += (rest.take(lanes) + first * later.view(np.uint8)) * each
+    span[lanes] = np.where(later, two.take(lanes), first) * each
 
 
 def _by_length(sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,111 +194,113 @@ def _by_length(sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), side="left")
 
 
-def _first_uses(ids: np.ndarray) -> np.ndarray:
-    """For each id of a block, the number of different ids that had come up before its first use."""
-    _, first, which = np.unique(ids, return_index=True, return_inverse=True)
-    rank = np.empty(len(first), dtype=np.int64)
-    rank[np.argsort(first)] = np.arange(len(first))
-    return rank[which]
-
-
-def encode(blocks: Sequence[np.ndarray], vocabulary: int) -> list[bytes]:
+def encode(blocks: Sequence[np.ndarray], vocabulary: int, table: np.ndarray | None = None) -> list[bytes]:
     """The code of each block of ids."""
-    order, going = _by_length([len(b) for b in blocks])
-    ids, indexes = np.zeros((2, len(going), len(blocks)), dtype=np.int64)
-    for lane, b in enumerate(order.tolist()):
-        ids[: len(blocks[b]), lane], indexes[: len(blocks[b]), lane] = blocks[b], _first_uses(blocks[b])
-    model = _Predictions(len(blocks), vocabulary)
+    lane_of, going = _by_length([len(b) for b in blocks])
+    zero, model = _Order0(vocabulary, table), _Predictions(len(blocks), len(going))
+    rank_of = zero.ranks(vocabulary)
+    by_step = np.zeros((len(going), len(blocks)), dtype=zero.dtype)
+    for first in range(0, len(blocks), _TURNED):
+        some = lane_of[first : first + _TURNED].tolist()
+        by_lane = np.zeros((len(some), len(going)), dtype=by_step.dtype)
+        for row, b in zip(by_lane, some, strict=True):
+            row[: len(blocks[b])] = rank_of[blocks[b]]
+        by_step[:, first : first + len(some)] = by_lane.T
     low, span = np.zeros(len(blocks), dtype=np.uint64), np.full(len(blocks), 2**64 - 1, dtype=np.uint64)
-    known = np.zeros(len(blocks), dtype=np.int64)
     # no step moves out more than three words
-    out, used = np.zeros((len(blocks), 3 * len(going) + 4), dtype=np.uint16), np.zeros(len(blocks), dtype=np.int64)
-    flat, width = out.ravel(), out.shape[1]
+    width = 3 * len(going) + 4
+    out, begin = np.empty(len(blocks) * width, dtype=np.uint16), np.arange(len(blocks)) * width
+    used = begin.copy()
     for step, a in enumerate(going.tolist()):
         model.weigh(a)
-        now = ids[step, :a]
-        whole, first, second = model.space
-        order_2 = (model.held[1] >> 3 == now + 1) & (second > 0)
-        order_1 = (model.held[0] >> 3 == now + 1) & (first > 0) & ~order_2
-        by = order_2 * 2 + order_1
-        begin, size = whole + first * order_2, second * order_2 + first * order_1
-        lanes = np.flatnonzero(by == 0)
-        index = indexes[step].take(lanes)
-        below, uses = model.interval(lanes, index)
-        new = index == known.take(lanes)
-        begin[lanes] = np.where(new, now.take(lanes), model.vocabulary + _GAIN * below)
-        size[lanes] = np.where(new, 1, _GAIN * uses)
-        known[lanes] += new
+        ranks = by_step[step, :a]
+        marks = ranks.astype(np.uint32)
+        marks += _FIRST
+        marks *= _MARK
+        one, two = model.space
+        rest = _WEIGHTS - one
+        rest -= two
+        by_two = (model.marks[1] == marks) & model.some[1]
+        by_one = (model.marks[0] == marks) & model.some[0]
+        order = _order(by_one, by_two)
         l, s = low[:a], span[:a]
-        s //= (whole + first + second).astype(np.uint64)
-        l += begin.astype(np.uint64) * s
-        s *= size.astype(np.uint64)
-        for due in _settle(l, s):
-            flat[due * width + used.take(due)] = l.take(due) >> _HEAD
-            used[due] += 1
-        model.learn(a, now, by, lanes, index)
+        s >>= _WEIGHT_BITS
+        _narrow(l, s, order, rest, one, two)
+        lanes = (order == _ZERO).nonzero()[0]
+        each = s.take(lanes)
+        each *= rest.take(lanes)
+        each >>= zero.bits
+        zero.narrow(l, s, lanes, ranks.take(lanes).astype(np.int64), each)
+        for due, words in _settle(l, s):
+            at = used.take(due)
+            out[at] = words
+            at += 1
+            used[due] = at
+        model.learn(a, marks, order)
     for _ in range(4):
-        flat[np.arange(len(blocks)) * width + used] = low >> _HEAD
+        out[used] = low >> _HEAD
         used += 1
         low <<= _SHIFT
     coded = [b""] * len(blocks)
-    for lane, b in enumerate(order.tolist()):
-        coded[b] = out[lane, : used[lane]].astype(">u2").tobytes()
+    for b, first, end in zip(lane_of.tolist(), begin.tolist(), used.tolist(), strict=True):
+        coded[b] = out[first:end].astype(">u2").tobytes()
     return coded
 
 
-def decode(coded: Sequence[bytes], sizes: Sequence[int], vocabulary: int) -> list[np.ndarray]:
-    """The ids of each block, given its code and its number of ids."""
-    order, going = _by_length(sizes)
+def decode(coded: Sequence[bytes], sizes: Sequence[int], vocabulary: int, table: np.ndarray | None = None) -> list[np.ndarray]:
+    """The ids of each block, given its code, its number of ids and the frequencies that it was coded by."""
+    lane_of, going = _by_length(sizes)
     width = max((len(c) // 2 for c in coded), default=0) + 4
     words = np.zeros((len(coded), width), dtype=np.uint16)
-    for lane, b in enumerate(order.tolist()):
+    for lane, b in enumerate(lane_of.tolist()):
         words[lane, : len(coded[b]) // 2] = np.frombuffer(coded[b], dtype=">u2")
     flat = words.ravel()
-    model = _Predictions(len(coded), vocabulary)
+    zero, model = _Order0(vocabulary, table), _Predictions(len(coded), len(going))
+    lookup, last_place = zero.lookup(), np.uint64(zero.total - 1)
     low, span, code = np.zeros(len(coded), dtype=np.uint64), np.full(len(coded), 2**64 - 1, dtype=np.uint64), np.zeros(len(coded), dtype=np.uint64)
     for k in range(4):
         code = code << _SHIFT | words[:, k]
-    used = np.full(len(coded), 4, dtype=np.int64)
-    known, seen = np.zeros(len(coded), dtype=np.int64), np.zeros((len(coded), BLOCK_LIMIT), dtype=np.int32)
-    met = seen.ravel()
-    ids = np.zeros((len(going), len(coded)), dtype=np.int64)
+    used = np.arange(len(coded)) * width + 4
+    most = used + width - 5
+    by_step = np.zeros((len(going), len(coded)), dtype=zero.dtype)
     for step, a in enumerate(going.tolist()):
         model.weigh(a)
-        whole, first, second = model.space
-        total = whole + first + second
+        one, two = model.space
+        rest = _WEIGHTS - one
+        rest -= two
         l, s, c = low[:a], span[:a], code[:a]
-        s //= total.astype(np.uint64)
-        place = np.minimum(((c - l) // s).astype(np.int64), total - 1)
-        order_2 = place >= whole + first
-        order_1 = (place >= whole) ^ order_2
-        by = order_2 * 2 + order_1
-        begin, size = whole + first * order_2, second * order_2 + first * order_1
-        now = np.where(order_2, model.held[1], model.held[0]) >> 3
-        now -= 1
-        lanes = np.flatnonzero(by == 0)
+        s >>= _WEIGHT_BITS
+        place = c - l
+        # what no valid code holds goes to an order that has room, and fails the checksum
+        by_two = (place >= (rest + one) * s) & model.some[1]
+        by_one = (place >= rest * s) & model.some[0]
+        order = _order(by_one, by_two)
+        _narrow(l, s, order, rest, one, two)
+        marks = np.where(by_two, model.marks[1], model.marks[0])
+        lanes = (order == _ZERO).nonzero()[0]
+        each = s.take(lanes)
+        each *= rest.take(lanes)
+        each >>= zero.bits
         at = place.take(lanes)
-        old = at >= vocabulary
-        index = known.take(lanes)
-        which = np.flatnonzero(old)
-        again = lanes.take(which)
-        index[which], below, uses = model.find(again, (at.take(which) - vocabulary) // _GAIN)
-        known[lanes] += ~old
-        at_seen = lanes * BLOCK_LIMIT + index
-        # an id that is new is its own place
-        came = np.where(old, met.take(at_seen), at)
-        met[at_seen] = came
-        now[lanes] = came
-        begin[lanes], size[lanes] = at, 1
-        begin[again], size[again] = vocabulary + _GAIN * below, _GAIN * uses
-        l += begin.astype(np.uint64) * s
-        s *= size.astype(np.uint64)
-        for due in _settle(l, s):
-            c[due] = c.take(due) << _SHIFT | flat.take(due * width + np.minimum(used.take(due), width - 1))
-            used[due] += 1
-        model.learn(a, now, by, lanes, index)
-        ids[step, :a] = now
-    found: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(coded)
-    for lane, b in enumerate(order.tolist()):
-        found[b] = ids[: sizes[b], lane]
+        at //= each
+        ranks = lookup.take(np.minimum(at, last_place).astype(np.int64)).astype(np.int64)
+        zero.narrow(l, s, lanes, ranks, each)
+        ranks += 1
+        ranks <<= 6
+        marks[lanes] = ranks
+        for due, _ in _settle(l, s):
+            at = used.take(due)
+            c[due] = (c.take(due) << _SHIFT) | flat.take(np.minimum(at, most.take(due)))
+            at += 1
+            used[due] = at
+        model.learn(a, marks, order)
+        marks >>= _MARK_BITS
+        marks -= _FIRST
+        by_step[step, :a] = marks
+    found: list[np.ndarray] = [np.empty(0, dtype=np.uint32)] * len(coded)
+    used_ids = zero.used.astype(np.uint32)
+    for first in range(0, len(coded), _TURNED):
+        some = lane_of[first : first + _TURNED].tolist()
+        for row, b in zip(np.ascontiguousarray(by_step[:, first : first + len(some)].T), some, strict=True):
+            found[b] = used_ids.take(row[: sizes[b]])
     return found

@@ -65,6 +65,35 @@ def test_blocks_round_trip(vocabulary):
     assert len(coded[8]) < 200
 
 
+def test_counted_frequencies_shorten_the_code():
+    pick = np.random.default_rng(1)
+    ids = (pick.zipf(1.5, 40_000) * 7 - 1) % 49_408
+    blocks = [ids[i : i + 3000] for i in range(0, len(ids), 3000)]
+    table = range_coder.frequencies(ids, 49_408)
+    assert set(np.flatnonzero(table)) == set(ids)
+    coded = range_coder.encode(blocks, 49_408, table)
+    back = range_coder.decode(coded, [len(b) for b in blocks], 49_408, table)
+    assert np.concatenate(back).tolist() == ids.tolist()
+    assert sum(map(len, coded)) < 0.8 * sum(map(len, range_coder.encode(blocks, 49_408)))
+    # an adversarial order changes nothing, and one id alone costs next to nothing
+    for b in (np.sort(ids)[:4096], np.full(4096, 9)):
+        table = range_coder.frequencies(b, 300_000)
+        assert range_coder.decode(range_coder.encode([b], 300_000, table), [len(b)], 300_000, table)[0].tolist() == b.tolist()
+
+
+def test_later_tasks_of_a_process_know_the_words():
+    with open(PATH, "rb") as f:
+        content = f.read()
+    encoder = word_ids.kept(content)
+    first = encoder.encode([b"the same words, twice", b"", "ÉTÉ 日本 été".encode()])
+    words, pieces = len(encoder.words), len(encoder.pieces)
+    assert word_ids.kept(bytes(bytearray(content))) is encoder
+    again = encoder.encode([b"twice words,  the", "日本".encode()])
+    assert (len(encoder.words), len(encoder.pieces)) == (words, pieces)
+    assert [x.tolist() for x in first] == [x.tolist() for x in word_ids.WordIds(content).encode([b"the same words, twice", b"", "ÉTÉ 日本 été".encode()])]
+    assert again[0].tolist() == [i for x in ("twice words,  the", "日本") for i in library().encode(x, add_special_tokens=False).ids]
+
+
 def test_damaged_files_are_refused():
     writer = t.FileWriter(4, 300)
     records = [*writer.add(np.array([5, 6]), np.array([False, True]), np.array([3, 1]), np.array([7, 8, 9, 10])), *writer.end()]
