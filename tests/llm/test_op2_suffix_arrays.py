@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from brute import repeated, sha, windows
@@ -50,3 +52,26 @@ def test_odd_input(odd_docs, no_docs):
     assert got == [(False, 0, 0), (False, 0, 0), (False, size, size), (True, size, size), (True, size, size)]
     assert set(odd_docs.columns) <= set(out.columns)
     assert op2_suffix_arrays.remove_repeats(no_docs).collect() == []
+
+
+def test_planted_passages_go_from_400_bytes_on(spark, tmp_path):
+    pick = random.Random(5)
+    words = lambda n: " ".join("".join(pick.choices("abcdefghijklmnop", k=pick.randint(2, 7))) for _ in range(n))
+    rows, want = [], {}
+    # size, neighbours in the two documents, bytes that go
+    cases = [(340, "<[", ">]", 0), (399, "<[", ">]", 0), (400, "<[", ">]", 400), (401, "<[", ">]", 401), (700, "<[", ">]", 700), (398, "||", "||", 400)]
+    for size, left, right, gone in cases:
+        passage = words(200)[:size]
+        assert len(passage) == size and len(passage.split()) > 50
+        for k, (a, b) in enumerate(zip(left, right, strict=True)):
+            # with equal neighbours, the bytes beyond them differ
+            text = f"{words(40)}{'()'[k]}{a}{passage}{b}{'{}'[k]}{words(40)}"
+            want[len(rows)] = (len(text), gone, int(gone > 0))
+            rows.append((len(rows), text))
+    for _ in range(8):
+        text = words(150)
+        want[len(rows)] = (len(text), 0, 0)
+        rows.append((len(rows), text))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op2_suffix_arrays.op2_repeated_bytes(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in got} == want
